@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from failcast.functions.expressions import day_number, hash_order, log2p1, month_key, parse_day
 from failcast.operators import features as feat
 from failcast.operators import labels as lab
+from failcast.operators import sampling as smp
 from failcast.plans import scenario as S
 from failcast.sources.standins import EVENT_METRICS, EVENTS_SPEC, device_day, event_fault_tags, load_table
 
@@ -130,3 +131,83 @@ def q_time_split_counts(spark, sf):
     splits = {"train": S.TRAIN, "val": S.VAL, "test": S.TEST}
     df = labelled(spark, sf).withColumn("split", lab.split_label("dt", splits)).filter(F.col("split").isNotNull())
     return df.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- sampling ---------------------------------------------------------------
+
+def labelled_month(spark, sf) -> DataFrame:
+    return lab.with_month(labelled(spark, sf))
+
+
+def closed_form_score(col: str = "m_error"):
+    """A deterministic stand-in score in [0, 1): x / (x + scale), NULL -> 0."""
+    x = F.coalesce(F.col(col), F.lit(0.0))
+    return x / (x + F.lit(S.SCORE_SCALE))
+
+
+def _order():
+    return hash_order("serial_number", "model", "dt", seed=S.SEED)
+
+
+@query("sample_per_group")
+def q_sample_per_group(spark, sf):
+    df = lab.time_range(labelled_month(spark, sf), *S.TRAIN).filter(F.col("label") == 0)
+    out = smp.sample_per_group(df, ["serial_number", "model", "month"], S.PER_GROUP, S.SEED,
+                               ["serial_number", "model", "dt"])
+    return out.select(*KEYS, "month")
+
+
+@query("training_cohort")
+def q_training_cohort(spark, sf):
+    df = smp.training_cohort(labelled_month(spark, sf), S.TRAIN, S.TAGS_END, S.HORIZON, S.PER_GROUP, S.SEED,
+                             mode="all", leak_guard=False)
+    return df.select(*KEYS, "label")
+
+
+@query("faulty_only_cohort")
+def q_faulty_only_cohort(spark, sf):
+    df = smp.training_cohort(labelled_month(spark, sf), S.TRAIN, S.TAGS_END, S.HORIZON, S.PER_GROUP, S.SEED,
+                             mode="faulty_only", leak_guard=False)
+    return df.select(*KEYS, "label")
+
+
+def _classes(spark, sf):
+    df = labelled(spark, sf).select(*KEYS, "label", closed_form_score().alias("p"))
+    return df.filter(F.col("label") == 0), df.filter(F.col("label") == 1)
+
+
+@query("undersample_random")
+def q_undersample_random(spark, sf):
+    maj, mino = _classes(spark, sf)
+    return smp.undersample_random(maj, mino, _order()).select(*KEYS, "label")
+
+
+@query("hardness_bins")
+def q_hardness_bins(spark, sf):
+    maj, _ = _classes(spark, sf)
+    out = smp.hardness_bins(smp.hardness(maj, "p"), S.K_BINS)
+    return out.select(*KEYS, r6("hardness").alias("hardness"), "bin")
+
+
+@query("bin_quotas")
+def q_bin_quotas(spark, sf):
+    maj, mino = _classes(spark, sf)
+    binned = smp.hardness_bins(smp.hardness(maj, "p"), S.K_BINS)
+    n_min = mino.select(F.count(F.lit(1))).scalar()
+    out = smp.bin_quotas(binned, n_min, S.ROUND, S.N_ROUNDS)
+    return out.select("bin", "n_rows", r6("mean_hardness").alias("mean_hardness"), r6("weight").alias("weight"), "quota")
+
+
+@query("undersample_self_paced")
+def q_undersample_self_paced(spark, sf):
+    maj, mino = _classes(spark, sf)
+    out = smp.undersample_self_paced(maj, mino, _order(), S.ROUND, S.N_ROUNDS, S.K_BINS, keep_bin=True)
+    return out.select(*KEYS, "label", "bin")
+
+
+@query("undersample_last_round")
+def q_undersample_last_round(spark, sf):
+    """The final paced round, where the weights are equal by definition."""
+    maj, mino = _classes(spark, sf)
+    out = smp.undersample_self_paced(maj, mino, _order(), S.N_ROUNDS - 1, S.N_ROUNDS, S.K_BINS, keep_bin=True)
+    return out.select(*KEYS, "label", "bin")

@@ -123,3 +123,72 @@ def split_case(col: str = "dt") -> str:
 
 ORACLE["time_split_counts"] = with_(**LABEL_CTES, s=f"SELECT *, {split_case()} AS split FROM lab") + (
     "SELECT split, label, count(*) AS n_rows FROM s WHERE split IS NOT NULL GROUP BY split, label")
+
+
+# --- sampling ---------------------------------------------------------------
+
+def md5_order(seed=S.SEED) -> str:
+    return ("md5(concat_ws('|', CAST(serial_number AS VARCHAR), CAST(model AS VARCHAR), "
+            f"CAST(dt AS VARCHAR), '{seed}'))")
+
+
+LABM = dict(LABEL_CTES, labm="SELECT *, strftime(dt, '%Y-%m') AS month FROM lab")
+TRAIN_RANGE = f"dt >= DATE '{S.TRAIN[0]}' AND dt < DATE '{S.TRAIN[1]}'"
+
+NEG_SAMPLE = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY serial_number, model, month "
+              f"ORDER BY {md5_order()}) AS rn FROM labm WHERE {TRAIN_RANGE} AND label = 0) WHERE rn <= {S.PER_GROUP}")
+
+POSITIVES = (f"SELECT * FROM labm WHERE label = 1 AND datediff('day', dt, fault_time) <= {S.HORIZON} "
+             f"AND dt >= DATE '{S.TRAIN[0]}' AND fault_time < DATE '{S.TAGS_END}'")
+
+ORACLE["sample_per_group"] = with_(**LABM, s=NEG_SAMPLE) + f"SELECT {KEYS}, month FROM s"
+
+ORACLE["training_cohort"] = with_(**LABM, neg=NEG_SAMPLE, pos=POSITIVES) + (
+    f"SELECT {KEYS}, label FROM neg UNION ALL SELECT {KEYS}, label FROM pos")
+
+ORACLE["faulty_only_cohort"] = with_(**LABM, pos=POSITIVES) + (
+    f"SELECT {KEYS}, label FROM labm WHERE {TRAIN_RANGE} AND fault_time IS NOT NULL AND label = 0 "
+    f"UNION ALL SELECT {KEYS}, label FROM pos")
+
+SCORE = f"coalesce(m_error, 0.0) / (coalesce(m_error, 0.0) + CAST({S.SCORE_SCALE} AS DOUBLE))"
+CLASSES = dict(LABEL_CTES, sc=f"SELECT {KEYS}, label, {SCORE} AS p FROM lab",
+               maj="SELECT * FROM sc WHERE label = 0", mino="SELECT * FROM sc WHERE label = 1")
+
+ORACLE["undersample_random"] = with_(**CLASSES) + (
+    f"SELECT {KEYS}, label FROM (SELECT *, row_number() OVER (ORDER BY {md5_order()}) AS rn FROM maj) "
+    f"WHERE rn <= (SELECT count(*) FROM mino) UNION ALL SELECT {KEYS}, label FROM mino")
+
+BINNED = dict(CLASSES,
+              hm="SELECT *, (CAST(label AS DOUBLE) - p) * (CAST(label AS DOUBLE) - p) AS hardness FROM maj",
+              hb="SELECT min(hardness) AS lo, max(hardness) AS hi FROM hm",
+              binned=f"SELECT hm.*, CASE WHEN hb.hi = hb.lo THEN 0 ELSE CAST(least(floor((hardness - hb.lo) / "
+                     f"((hb.hi - hb.lo) / CAST({S.K_BINS} AS DOUBLE))), {S.K_BINS - 1}) AS INTEGER) END AS bin "
+                     "FROM hm, hb")
+
+ORACLE["hardness_bins"] = with_(**BINNED) + f"SELECT {KEYS}, round(hardness, 6) AS hardness, bin FROM binned"
+
+
+def quota_ctes(i: int, n: int) -> dict:
+    import math
+    weight = "1.0" if i >= n - 1 else f"1.0 / (mean_hardness + CAST({math.tan(math.pi * 0.5 * i / (n - 1))!r} AS DOUBLE))"
+    return dict(
+        BINNED,
+        st=f"SELECT bin, count(*) AS n_rows, avg(hardness) AS mean_hardness FROM binned GROUP BY bin",
+        wt=f"SELECT *, {weight} AS weight FROM st",
+        qt="SELECT wt.*, CASE WHEN (SELECT hi = lo FROM hb) THEN (SELECT count(*) FROM mino) ELSE "
+           "CAST(floor((SELECT count(*) FROM mino) * weight / sum(weight) OVER ()) AS BIGINT) + 1 END AS quota FROM wt")
+
+
+ORACLE["bin_quotas"] = with_(**quota_ctes(S.ROUND, S.N_ROUNDS)) + (
+    "SELECT bin, n_rows, round(mean_hardness, 6) AS mean_hardness, round(weight, 6) AS weight, quota FROM qt")
+
+
+def paced_draw_sql(i: int, n: int) -> str:
+    return with_(**quota_ctes(i, n)) + (
+        f"SELECT {KEYS}, label, bin FROM (SELECT b.*, q.quota, row_number() OVER (PARTITION BY b.bin "
+        f"ORDER BY {md5_order()}) AS rn FROM binned b JOIN qt q USING (bin)) WHERE rn <= quota "
+        f"UNION ALL SELECT {KEYS}, label, CAST(NULL AS INTEGER) AS bin FROM mino")
+
+
+ORACLE["undersample_self_paced"] = paced_draw_sql(S.ROUND, S.N_ROUNDS)
+ORACLE["undersample_last_round"] = paced_draw_sql(S.N_ROUNDS - 1, S.N_ROUNDS)
