@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from failcast.functions.expressions import day_number, hash_order, log2p1, month_key, parse_day
 from failcast.operators import features as feat
+from failcast.operators import alerts as alr
 from failcast.operators import labels as lab
+from failcast.operators import metrics as met
 from failcast.operators import sampling as smp
 from failcast.plans import scenario as S
 from failcast.sources.standins import EVENT_METRICS, EVENTS_SPEC, device_day, event_fault_tags, load_table
@@ -211,3 +213,82 @@ def q_undersample_last_round(spark, sf):
     maj, mino = _classes(spark, sf)
     out = smp.undersample_self_paced(maj, mino, _order(), S.N_ROUNDS - 1, S.N_ROUNDS, S.K_BINS, keep_bin=True)
     return out.select(*KEYS, "label", "bin")
+
+
+# --- alerts and metrics ---------------------------------------------------------
+
+def scored(spark, sf) -> DataFrame:
+    return labelled(spark, sf).select(*KEYS, "fault_time", "label", closed_form_score().alias("p"))
+
+
+def _with_thresh(spark, sf):
+    return alr.threshold_schedule(scored(spark, sf), S.THRESH_HI, S.THRESH_LO, S.THRESH_BEGIN, S.THRESH_DAYS)
+
+
+@query("threshold_alerts")
+def q_threshold_alerts(spark, sf):
+    out = alr.threshold_alerts(_with_thresh(spark, sf), "p", "thresh")
+    return out.select(*KEYS, r6("p").alias("p"), r6("thresh").alias("thresh"))
+
+
+@query("first_alerts")
+def q_first_alerts(spark, sf):
+    first = alr.first_alerts(alr.threshold_alerts(_with_thresh(spark, sf), "p", "thresh"))
+    return alr.order_alerts(first)
+
+
+def _test_scores(spark, sf):
+    return lab.time_range(scored(spark, sf), *S.TEST)
+
+
+def _first_faults(spark, sf):
+    return lab.first_faults(event_fault_tags(spark, sf), ["model", "serial_number"])
+
+
+@query("alert_metrics")
+def q_alert_metrics(spark, sf):
+    first = alr.first_alerts(alr.threshold_alerts(_test_scores(spark, sf), "p", S.SWEEP[2]), ["model", "serial_number"])
+    out = met.alert_metrics(first, _first_faults(spark, sf), S.TEST, S.HORIZON)
+    return _doubles_rounded(out)
+
+
+@query("threshold_sweep")
+def q_threshold_sweep(spark, sf):
+    out = met.threshold_sweep(_test_scores(spark, sf), _first_faults(spark, sf), S.SWEEP, S.TEST, S.HORIZON,
+                              score_col="p")
+    return _doubles_rounded(out)
+
+
+@query("pr_curve")
+def q_pr_curve(spark, sf):
+    return _doubles_rounded(met.pr_curve(scored(spark, sf), "p"))
+
+
+@query("pr_auc")
+def q_pr_auc(spark, sf):
+    return _doubles_rounded(met.pr_auc(scored(spark, sf), "p"))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    return _doubles_rounded(met.roc_auc(scored(spark, sf), "p"))
+
+
+@query("average_precision")
+def q_average_precision(spark, sf):
+    return _doubles_rounded(met.average_precision(scored(spark, sf), "p"))
+
+
+@query("best_f1")
+def q_best_f1(spark, sf):
+    return _doubles_rounded(met.best_f1_threshold(scored(spark, sf), "p"))
+
+
+@query("precision_at_n")
+def q_precision_at_n(spark, sf):
+    return _doubles_rounded(met.precision_at_n(scored(spark, sf), "p"))
+
+
+@query("score_histogram")
+def q_score_histogram(spark, sf):
+    return met.score_histogram(scored(spark, sf), "p", S.HIST_BINS)

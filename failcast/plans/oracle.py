@@ -192,3 +192,95 @@ def paced_draw_sql(i: int, n: int) -> str:
 
 ORACLE["undersample_self_paced"] = paced_draw_sql(S.ROUND, S.N_ROUNDS)
 ORACLE["undersample_last_round"] = paced_draw_sql(S.N_ROUNDS - 1, S.N_ROUNDS)
+
+
+# --- alerts and metrics ---------------------------------------------------------
+
+SCORED = dict(LABEL_CTES, sc=f"SELECT {KEYS}, fault_time, label, {SCORE} AS p FROM lab")
+_SLOPE = (float(S.THRESH_HI) - float(S.THRESH_LO)) / float(S.THRESH_DAYS)
+THRESH = dict(SCORED, th=f"SELECT *, CAST({S.THRESH_HI!r} AS DOUBLE) - datediff('day', DATE '{S.THRESH_BEGIN}', dt) "
+                         f"* CAST({_SLOPE!r} AS DOUBLE) AS thresh FROM sc")
+
+ORACLE["threshold_alerts"] = with_(**THRESH) + (
+    f"SELECT {KEYS}, round(p, 6) AS p, round(thresh, 6) AS thresh FROM th WHERE p > thresh")
+
+ORACLE["first_alerts"] = with_(**THRESH) + (
+    "SELECT manufacturer, model, serial_number, min(dt) AS dt FROM th WHERE p > thresh "
+    "GROUP BY manufacturer, model, serial_number ORDER BY dt, serial_number")
+
+TEST_RANGE = f"dt >= DATE '{S.TEST[0]}' AND dt < DATE '{S.TEST[1]}'"
+FT_PERIOD = f"fault_time >= DATE '{S.TEST[0]}' AND fault_time < DATE '{S.TEST[1]}'"
+EVAL = dict(SCORED, ff="SELECT model, serial_number, min(fault_time) AS fault_time FROM tags GROUP BY model, serial_number")
+
+
+def prf_select(src: str, extra: str = "") -> str:
+    p = "CAST(ntpp AS DOUBLE) / (npp + 1e-20)"
+    r = "CAST(ntpr AS DOUBLE) / (npr + 1e-20)"
+    return (f"SELECT {extra}npp, ntpp, npr, ntpr, round({p}, 6) AS precision, round({r}, 6) AS recall, "
+            f"round(2.0 * ({p}) * ({r}) / (({p}) + ({r}) + 1e-10), 6) AS F1 FROM {src}")
+
+
+ORACLE["alert_metrics"] = with_(
+    **EVAL,
+    fa=f"SELECT model, serial_number, min(dt) AS dt FROM sc WHERE {TEST_RANGE} AND p > CAST({S.SWEEP[2]!r} AS DOUBLE) "
+       "GROUP BY model, serial_number",
+    j="SELECT * FROM fa FULL OUTER JOIN ff USING (model, serial_number)",
+    c="SELECT count(*) FILTER (WHERE dt IS NOT NULL) AS npp, "
+      f"count(*) FILTER (WHERE dt IS NOT NULL AND fault_time IS NOT NULL AND fault_time - {S.HORIZON} <= dt) AS ntpp, "
+      f"count(*) FILTER (WHERE {FT_PERIOD}) AS npr, "
+      f"count(*) FILTER (WHERE {FT_PERIOD} AND dt IS NOT NULL AND fault_time >= dt) AS ntpr FROM j") + prf_select("c")
+
+ORACLE["threshold_sweep"] = with_(
+    **EVAL,
+    t="SELECT * FROM (VALUES " + ", ".join(f"(CAST({x!r} AS DOUBLE))" for x in S.SWEEP) + ") v(threshold)",
+    fa=f"SELECT t.threshold, model, serial_number, min(dt) AS dt FROM sc JOIN t ON sc.p > t.threshold "
+       f"WHERE {TEST_RANGE} GROUP BY t.threshold, model, serial_number",
+    c="SELECT t.threshold, "
+      "(SELECT count(*) FROM fa WHERE fa.threshold = t.threshold) AS npp, "
+      "(SELECT count(*) FROM fa JOIN ff USING (model, serial_number) WHERE fa.threshold = t.threshold "
+      f"AND ff.fault_time - {S.HORIZON} <= fa.dt) AS ntpp, "
+      f"(SELECT count(*) FROM ff WHERE {FT_PERIOD}) AS npr, "
+      "(SELECT count(*) FROM ff JOIN fa USING (model, serial_number) WHERE fa.threshold = t.threshold "
+      f"AND ff.{FT_PERIOD} AND ff.fault_time >= fa.dt) AS ntpr FROM t") + prf_select("c", "threshold, ")
+
+CURVE = dict(
+    SCORED,
+    cnt="SELECT p AS threshold, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg "
+        "FROM sc GROUP BY p",
+    cum="SELECT threshold, pos, neg, "
+        "CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp, "
+        "CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp, "
+        "(SELECT CAST(sum(pos) AS BIGINT) FROM cnt) AS P, (SELECT CAST(sum(neg) AS BIGINT) FROM cnt) AS N FROM cnt",
+    pts="SELECT threshold, tp, fp, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / P AS recall, "
+        "coalesce(CAST(tp - pos AS DOUBLE) / nullif(tp - pos + fp - neg, 0), 1.0) AS p_prev, "
+        "CAST(tp - pos AS DOUBLE) / P AS r_prev FROM cum WHERE tp - pos < P")
+
+ORACLE["pr_curve"] = with_(**CURVE) + (
+    "SELECT round(threshold, 6) AS threshold, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall "
+    "FROM pts")
+ORACLE["pr_auc"] = with_(**CURVE) + (
+    "SELECT round(sum((recall - r_prev) * (precision + p_prev) / 2.0), 6) AS pr_auc FROM pts")
+ORACLE["average_precision"] = with_(**CURVE) + (
+    "SELECT round(sum((recall - r_prev) * precision), 6) AS average_precision FROM pts")
+ORACLE["roc_auc"] = with_(**CURVE) + (
+    "SELECT round(sum((CAST(fp AS DOUBLE) / N - CAST(fp - neg AS DOUBLE) / N) * "
+    "(CAST(tp AS DOUBLE) / P + CAST(tp - pos AS DOUBLE) / P) / 2.0), 6) AS roc_auc FROM cum")
+ORACLE["best_f1"] = with_(**CURVE, f="SELECT threshold, precision, recall, "
+                          "2.0 * precision * recall / nullif(precision + recall, 0) AS f1 FROM pts") + (
+    "SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, "
+    "round(f1, 6) AS f1 FROM f WHERE f1 IS NOT NULL ORDER BY f1 DESC, threshold ASC LIMIT 1")
+ORACLE["precision_at_n"] = with_(
+    **SCORED,
+    n="SELECT count(*) AS N, sum(label) AS P FROM sc",
+    h="SELECT (1.0 - CAST(P AS DOUBLE) / CAST(N AS DOUBLE)) * CAST(N - 1 AS DOUBLE) AS h, N FROM n",
+    r="SELECT p, row_number() OVER (ORDER BY p) - 1 AS rk FROM sc",
+    v="SELECT max(p) FILTER (WHERE rk = (SELECT floor(h) FROM h)) AS v_lo, "
+      "max(p) FILTER (WHERE rk = (SELECT least(floor(h) + 1, N - 1) FROM h)) AS v_hi FROM r",
+    t="SELECT CASE WHEN h - floor(h) > 0 THEN v_lo + (v_hi - v_lo) * (h - floor(h)) ELSE v_lo END AS thr FROM h, v",
+    c="SELECT thr, count(*) FILTER (WHERE p > thr) AS n_pred, "
+      "CAST(coalesce(sum(label) FILTER (WHERE p > thr), 0) AS BIGINT) AS tp FROM sc, t GROUP BY thr") + (
+    "SELECT round(thr, 6) AS threshold, n_pred, tp, "
+    "round(CASE WHEN n_pred = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / n_pred END, 6) AS precision FROM c")
+ORACLE["score_histogram"] = with_(**SCORED, b="SELECT min(p) AS lo, max(p) AS hi FROM sc") + (
+    f"SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((p - lo) / (hi - lo) * {float(S.HIST_BINS)!r}), "
+    f"{S.HIST_BINS - 1}) END AS INTEGER) AS bin, count(*) AS n_rows FROM sc, b WHERE p IS NOT NULL GROUP BY 1")
