@@ -6,17 +6,24 @@ names equal those of the matching SQL in ``failcast.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failcast.functions.expressions import day_number, hash_order, log2p1, month_key, parse_day
 from failcast.operators import features as feat
 from failcast.operators import alerts as alr
+from failcast.operators import ensemble as ens
 from failcast.operators import labels as lab
 from failcast.operators import metrics as met
 from failcast.operators import sampling as smp
 from failcast.plans import scenario as S
+from failcast.schema import ALERT_SCHEMA
 from failcast.sources.standins import EVENT_METRICS, EVENTS_SPEC, device_day, event_fault_tags, load_table
+from failcast.sources.telemetry import (
+    read_faults, read_features, read_telemetry, shared_dir, write_alerts, write_daily_csv, write_features,
+)
 
 QUERIES: dict = {}
 KEYS = ["serial_number", "manufacturer", "model", "dt"]
@@ -292,3 +299,113 @@ def q_precision_at_n(spark, sf):
 @query("score_histogram")
 def q_score_histogram(spark, sf):
     return met.score_histogram(scored(spark, sf), "p", S.HIST_BINS)
+
+
+# --- sources and sinks ------------------------------------------------------------
+
+def _scratch(spark, name: str) -> str:
+    return shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """Device-days written as daily text dumps (one folder per day), read back typed with the
+    day bound applied as a partition filter."""
+    dd = device_day(spark, sf)
+    path = _scratch(spark, "daily-csv")
+    write_daily_csv(dd, path)
+    back = read_telemetry(spark, path, columns=dd.columns, since=S.TEST[0], metric_pattern="m_", layout="by_day")
+    return _doubles_rounded(back)
+
+
+@query("feature_cache")
+def q_feature_cache(spark, sf):
+    path = _scratch(spark, "features")
+    write_features(_features(spark, sf), path)
+    return _doubles_rounded(read_features(spark, path))
+
+
+@query("alert_file")
+def q_alert_file(spark, sf):
+    first = alr.first_alerts(alr.threshold_alerts(_with_thresh(spark, sf), "p", "thresh"))
+    path = _scratch(spark, "alerts")
+    write_alerts(first, path)
+    return spark.read.schema(ALERT_SCHEMA).option("header", False).csv(path)
+
+
+@query("fault_log")
+def q_fault_log(spark, sf):
+    path = _scratch(spark, "faults")
+    tags = event_fault_tags(spark, sf)
+    tags.select(*[F.col(c).cast("string") for c in ["manufacturer", "model", "serial_number", "fault_time"]]) \
+        .write.mode("overwrite").option("header", True).csv(path)
+    return read_faults(spark, path)
+
+
+@query("first_alerts_sql")
+def q_first_alerts_sql(spark, sf):
+    """The alert reduction through a temp view and SQL text."""
+    view = f"alerts_{uuid.uuid4().hex[:12]}"
+    alr.threshold_alerts(_with_thresh(spark, sf), "p", "thresh").createOrReplaceTempView(view)
+    return spark.sql(f"SELECT manufacturer, model, serial_number, min(dt) AS dt FROM {view} "
+                     "GROUP BY manufacturer, model, serial_number ORDER BY 4 ASC, 3 ASC")
+
+
+# --- ensemble (no SQL oracle: a learned model) --------------------------------------
+
+SMALL_LEARNER = dict(n_trees=5, max_depth=3)
+_MODELS: dict = {}
+
+
+def _ensemble(spark, sf):
+    """Train once per session and table folder: featurizer + 3-member ensemble on the
+    labelled device-days before the test range."""
+    key = (id(spark), sf)
+    if key not in _MODELS:
+        df = lab.label_horizon(lab.attach_faults(_features(spark, sf), event_fault_tags(spark, sf),
+                                                 dedup="first_fault"), S.HORIZON)
+        cols = ens.feature_columns(df)
+        train = lab.time_range(df, S.TRAIN[0], S.TEST[0])
+        featurizer = ens.assembler(cols).fit(train)
+        spe = ens.SelfPacedEnsemble(ens.base_learner(seed=S.SEED, **SMALL_LEARNER), n_estimators=3, k_bins=S.K_BINS,
+                                    seed=S.SEED)
+        _MODELS[key] = (featurizer, spe.fit(featurizer.transform(train)), df, cols)
+    return _MODELS[key]
+
+
+def _ensemble_scored(spark, sf):
+    featurizer, model, df, _ = _ensemble(spark, sf)
+    test = lab.time_range(df, *S.TEST)
+    return ens.score(featurizer.transform(test), model)
+
+
+@query("ensemble_score")
+def q_ensemble_score(spark, sf):
+    return _ensemble_scored(spark, sf).select(*KEYS, "label", r6("probability").alias("probability"))
+
+
+@query("ensemble_predict")
+def q_ensemble_predict(spark, sf):
+    return ens.predict(_ensemble_scored(spark, sf)).select(*KEYS, "prediction")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    _, model, _, cols = _ensemble(spark, sf)
+    return model.feature_importance(spark, cols)
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    featurizer, model, df, _ = _ensemble(spark, sf)
+    path = _scratch(spark, "model")
+    model.save(path)
+    loaded = ens.SelfPacedEnsembleModel.load(path)
+    test = lab.time_range(df, *S.TEST)
+    return ens.score(featurizer.transform(test), loaded).select(*KEYS, r6("probability").alias("probability"))
+
+
+@query("ensemble_alerts")
+def q_ensemble_alerts(spark, sf):
+    scored = alr.threshold_schedule(_ensemble_scored(spark, sf), 0.5, 0.5, S.TEST[0], S.THRESH_DAYS)
+    return alr.order_alerts(alr.first_alerts(alr.threshold_alerts(scored, "probability", "thresh")))

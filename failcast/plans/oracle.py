@@ -284,3 +284,25 @@ ORACLE["precision_at_n"] = with_(
 ORACLE["score_histogram"] = with_(**SCORED, b="SELECT min(p) AS lo, max(p) AS hi FROM sc") + (
     f"SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((p - lo) / (hi - lo) * {float(S.HIST_BINS)!r}), "
     f"{S.HIST_BINS - 1}) END AS INTEGER) AS bin, count(*) AS n_rows FROM sc, b WHERE p IS NOT NULL GROUP BY 1")
+
+
+# --- sources and sinks ------------------------------------------------------------
+
+ORACLE["csv_roundtrip"] = with_(dd=DD) + (
+    "SELECT CAST(serial_number AS VARCHAR) AS serial_number, manufacturer, CAST(model AS VARCHAR) AS model, dt, "
+    + ", ".join(r6(m, m) for m in EVENT_METRICS) + f" FROM dd WHERE dt >= DATE '{S.TEST[0]}'")
+
+ORACLE["feature_cache"] = with_(**_F) + (
+    f"SELECT {KEYS}, strftime(dt, '%Y-%m') AS month, "
+    + ", ".join(r6(c, c) for c in EVENT_METRICS + EVENTS_SPEC.window_names() + ["anomaly_sum"]
+                + EVENTS_SPEC.pair_names()) + " FROM f3")
+
+ORACLE["alert_file"] = with_(**THRESH) + (
+    "SELECT manufacturer, CAST(model AS VARCHAR) AS model, CAST(serial_number AS VARCHAR) AS serial_number, "
+    "min(dt) AS dt FROM th WHERE p > thresh GROUP BY manufacturer, model, serial_number")
+
+ORACLE["fault_log"] = with_(tags=TAGS) + (
+    "SELECT manufacturer, CAST(model AS VARCHAR) AS model, CAST(serial_number AS VARCHAR) AS serial_number, "
+    "fault_time FROM tags")
+
+ORACLE["first_alerts_sql"] = ORACLE["first_alerts"]

@@ -2,5 +2,6 @@ from failcast.sources.standins import (  # noqa: F401
     EVENT_METRICS, EVENTS_SPEC, device_day, event_fault_tags, load_table,
 )
 from failcast.sources.telemetry import (  # noqa: F401
-    read_faults, read_features, read_telemetry, shared_dir, write_alerts, write_features,
+    count_rejected_days, read_faults, read_features, read_telemetry, shared_dir, write_alerts,
+    write_daily_csv, write_features,
 )

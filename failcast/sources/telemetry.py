@@ -30,35 +30,56 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts]) if parts else base
 
 
+def _day_token(day) -> str:
+    return str(day).replace("-", "")[:8]
+
+
 def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, until=None,
                    day_format: str = "yyyyMMdd", metric_pattern: str = "smart",
-                   fmt: str = "csv") -> DataFrame:
+                   fmt: str = "csv", layout: str = "flat", day_col: str = "dt") -> DataFrame:
     """Daily telemetry dumps -> typed device-day rows.
 
     One relation over the whole directory (no per-file union); CSV headers are matched
     by name against the declared all-text schema. Metrics are cast with ``try_cast`` and
     the day parsed with ``try_to_date``; rows whose day does not parse are dropped
-    (``count_rejected_days`` reports them). ``since``/``until`` bound the day early so
-    the filter sits below any window and reaches the scan when the layout is
-    partitioned by day.
+    (``count_rejected_days`` reports them).
+
+    ``layout='by_day'`` reads dumps stored one folder per day (``day=yyyyMMdd``, see
+    ``write_daily_csv``): ``since``/``until`` then become partition filters and whole
+    days are skipped at listing time. In either layout the day bound also sits below
+    any later window.
     """
     columns = list(columns or TELEMETRY_COLUMNS)
+    schema = telemetry_raw_schema(columns)
+    if layout == "by_day":
+        schema = schema.add("day", "string")
     if fmt == "csv":
-        raw = (spark.read.schema(telemetry_raw_schema(columns))
-               .option("header", True).option("enforceSchema", False)
-               .csv(path))
+        raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path))
     else:
-        raw = spark.read.format(fmt).load(path)
-    df = raw.select(*columns).withColumn("dt", parse_day("dt", day_format))
+        raw = spark.read.format(fmt).schema(schema).load(path)
+    if layout == "by_day":
+        if since is not None:
+            raw = raw.filter(F.col("day") >= F.lit(_day_token(since)))
+        if until is not None:
+            raw = raw.filter(F.col("day") < F.lit(_day_token(until)))
+    df = raw.select(*columns).withColumn(day_col, parse_day(day_col, day_format))
     df = cast_metrics(df, [c for c in columns if metric_pattern in c])
-    df = df.filter(F.col("dt").isNotNull())
+    df = df.filter(F.col(day_col).isNotNull())
     if since is not None:
-        df = df.filter(F.col("dt") >= F.lit(since).cast("date"))
+        df = df.filter(F.col(day_col) >= F.lit(since).cast("date"))
     if until is not None:
-        df = df.filter(F.col("dt") < F.lit(until).cast("date"))
+        df = df.filter(F.col(day_col) < F.lit(until).cast("date"))
     return df
 
 
+def write_daily_csv(df: DataFrame, path: str, day_col: str = "dt", day_format: str = "yyyyMMdd") -> None:
+    """Telemetry as daily text dumps: CSV with header, every value as text, one folder per day."""
+    text = df.select(*[F.date_format(F.col(c), day_format).alias(c) if c == day_col else F.col(c).cast("string")
+                       for c in df.columns])
+    (text.withColumn("day", F.col(day_col))
+     .write.mode("overwrite").partitionBy("day").option("header", True).csv(path))
+
+
 def count_rejected_days(spark: SparkSession, path: str, day_format: str = "yyyyMMdd") -> DataFrame:
     """How many raw rows have a NULL or unparseable day (one-row result)."""
     raw = (spark.read.schema(telemetry_raw_schema()).option("header", True)
@@ -72,8 +93,8 @@ def read_faults(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         raw = spark.read.schema(FAULT_RAW_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    ft = F.coalesce(F.try_to_date(F.col("fault_time").cast("string"), F.lit("yyyy-MM-dd")),
-                    F.try_to_date(F.col("fault_time").cast("string"), F.lit("yyyyMMdd")))
+    text = F.col("fault_time").cast("string")
+    ft = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyyMMdd"))
     return raw.withColumn("fault_time", ft)
 
 
