@@ -34,15 +34,86 @@ def _day_token(day) -> str:
     return str(day).replace("-", "")[:8]
 
 
+def csv_header_groups(spark: SparkSession, path: str, since=None, until=None) -> dict:
+    """CSV files under ``path`` grouped by their header line.
+
+    Only metadata is touched: the file listing and the first line of each file (one
+    short read per file, no data rows). Day folders (``day=yyyyMMdd``) outside
+    ``[since, until)`` are skipped before any file is opened.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lo = _day_token(since) if since is not None else None
+    hi = _day_token(until) if until is not None else None
+    groups: dict = {}
+    it = fs.listFiles(root, True)
+    while it.hasNext():
+        p = it.next().getPath()
+        name = p.getName()
+        if not name.endswith(".csv"):
+            continue
+        day = next((seg[4:] for seg in p.toString().split("/") if seg.startswith("day=")), None)
+        if day is not None and ((lo and day < lo) or (hi and day >= hi)):
+            continue
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+        try:
+            header = reader.readLine() or ""
+        finally:
+            reader.close()
+        key = tuple(h.strip().strip('"') for h in header.split(","))
+        groups.setdefault(key, []).append(p.toString())
+    return groups
+
+
+def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=None, fmt: str = "csv",
+                  layout: str = "flat") -> DataFrame:
+    """The text layer: ``columns`` projected by header name from every file (see ``read_telemetry``)."""
+    if fmt == "csv":
+        groups = csv_header_groups(spark, path, since, until)
+        parts = []
+        for header, files in groups.items():
+            missing = [c for c in columns if c not in header]
+            if missing:
+                raise ValueError(f"files {files[:2]}... lack columns {missing}")
+            schema = telemetry_raw_schema(list(header))
+            if layout == "by_day":
+                schema = schema.add("day", "string")
+            reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            src = path if len(groups) == 1 else files
+            if layout == "by_day" and len(groups) > 1:
+                reader = reader.option("basePath", path)
+            parts.append(reader.csv(src))
+        if not parts:
+            raise FileNotFoundError(f"no CSV files under {path}")
+    else:
+        parts = [spark.read.format(fmt).load(path)]
+    if layout == "by_day":
+        bounded = []
+        for raw in parts:
+            if since is not None:
+                raw = raw.filter(F.col("day") >= F.lit(_day_token(since)))
+            if until is not None:
+                raw = raw.filter(F.col("day") < F.lit(_day_token(until)))
+            bounded.append(raw)
+        parts = bounded
+    raw = parts[0].select(*columns)
+    for other in parts[1:]:
+        raw = raw.unionByName(other.select(*columns))
+    return raw
+
+
 def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, until=None,
                    day_format: str = "yyyyMMdd", metric_pattern: str = "smart",
                    fmt: str = "csv", layout: str = "flat", day_col: str = "dt") -> DataFrame:
     """Daily telemetry dumps -> typed device-day rows.
 
-    One relation over the whole directory (no per-file union); CSV headers are matched
-    by name against the declared all-text schema. Metrics are cast with ``try_cast`` and
-    the day parsed with ``try_to_date``; rows whose day does not parse are dropped
-    (``count_rejected_days`` reports them).
+    CSV columns are matched to ``columns`` **by header name**: files are grouped by
+    header (``csv_header_groups``); each group is one relation read in its own column
+    order and projected by name, and groups are combined with ``unionByName`` (one
+    relation over the directory in the usual one-header case). Metrics are cast with
+    ``try_cast``, the day parsed with ``try_to_date``; rows whose day does not parse
+    are dropped (``count_rejected_days`` reports them).
 
     ``layout='by_day'`` reads dumps stored one folder per day (``day=yyyyMMdd``, see
     ``write_daily_csv``): ``since``/``until`` then become partition filters and whole
@@ -50,19 +121,8 @@ def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, unt
     any later window.
     """
     columns = list(columns or TELEMETRY_COLUMNS)
-    schema = telemetry_raw_schema(columns)
-    if layout == "by_day":
-        schema = schema.add("day", "string")
-    if fmt == "csv":
-        raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path))
-    else:
-        raw = spark.read.format(fmt).schema(schema).load(path)
-    if layout == "by_day":
-        if since is not None:
-            raw = raw.filter(F.col("day") >= F.lit(_day_token(since)))
-        if until is not None:
-            raw = raw.filter(F.col("day") < F.lit(_day_token(until)))
-    df = raw.select(*columns).withColumn(day_col, parse_day(day_col, day_format))
+    raw = raw_telemetry(spark, path, columns, since, until, fmt, layout)
+    df = raw.withColumn(day_col, parse_day(day_col, day_format))
     df = cast_metrics(df, [c for c in columns if metric_pattern in c])
     df = df.filter(F.col(day_col).isNotNull())
     if since is not None:
@@ -80,11 +140,11 @@ def write_daily_csv(df: DataFrame, path: str, day_col: str = "dt", day_format: s
      .write.mode("overwrite").partitionBy("day").option("header", True).csv(path))
 
 
-def count_rejected_days(spark: SparkSession, path: str, day_format: str = "yyyyMMdd") -> DataFrame:
+def count_rejected_days(spark: SparkSession, path: str, columns=None, day_format: str = "yyyyMMdd",
+                        layout: str = "flat", day_col: str = "dt") -> DataFrame:
     """How many raw rows have a NULL or unparseable day (one-row result)."""
-    raw = (spark.read.schema(telemetry_raw_schema()).option("header", True)
-           .option("enforceSchema", False).csv(path))
-    return raw.agg(F.count_if(parse_day("dt", day_format).isNull()).alias("rejected_days"))
+    raw = raw_telemetry(spark, path, list(columns or TELEMETRY_COLUMNS), layout=layout)
+    return raw.agg(F.count_if(parse_day(day_col, day_format).isNull()).alias("rejected_days"))
 
 
 def read_faults(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
