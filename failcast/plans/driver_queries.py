@@ -409,3 +409,28 @@ def q_model_roundtrip(spark, sf):
 def q_ensemble_alerts(spark, sf):
     scored = alr.threshold_schedule(_ensemble_scored(spark, sf), 0.5, 0.5, S.TEST[0], S.THRESH_DAYS)
     return alr.order_alerts(alr.first_alerts(alr.threshold_alerts(scored, "probability", "thresh")))
+
+
+# --- streaming ------------------------------------------------------------------
+
+def _range_score(df):
+    r = F.coalesce(F.col("window_7_range_m_error"), F.lit(0.0))
+    return df.withColumn("probability", r / (r + F.lit(S.SCORE_SCALE)))
+
+
+@query("stream_first_alerts")
+def q_stream_first_alerts(spark, sf):
+    """Device-days arrive as daily dumps in two drops; the streaming job scores each drop
+    with its look-back and keeps one first alert per device."""
+    from failcast.streaming import DailyAlertStream
+    dd = device_day(spark, sf)
+    cols = ["serial_number", "manufacturer", "model", "dt"] + EVENT_METRICS
+    base = _scratch(spark, "stream")
+    src = f"{base}/src"
+    write_daily_csv(dd.filter(F.col("dt") < F.lit(S.VAL[0]).cast("date")), src)
+    stream = DailyAlertStream(spark, src, f"{base}/work", _range_score, columns=cols, spec=EVENTS_SPEC,
+                              threshold=S.SWEEP[4], metric_pattern="m_")
+    stream.start().awaitTermination()
+    write_daily_csv(dd.filter(F.col("dt") >= F.lit(S.VAL[0]).cast("date")), src, mode="append")
+    stream.start().awaitTermination()
+    return stream.alerts()

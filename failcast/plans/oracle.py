@@ -306,3 +306,13 @@ ORACLE["fault_log"] = with_(tags=TAGS) + (
     "fault_time FROM tags")
 
 ORACLE["first_alerts_sql"] = ORACLE["first_alerts"]
+
+
+# --- streaming ------------------------------------------------------------------
+
+ORACLE["stream_first_alerts"] = with_(
+    dd=DD, f=f"SELECT *, max(m_error) OVER w - min(m_error) OVER w AS r FROM dd WINDOW w AS ({WIN})",
+    s=f"SELECT *, coalesce(r, 0.0) / (coalesce(r, 0.0) + CAST({S.SCORE_SCALE} AS DOUBLE)) AS probability FROM f") + (
+    "SELECT manufacturer, CAST(model AS VARCHAR) AS model, CAST(serial_number AS VARCHAR) AS serial_number, "
+    f"min(dt) AS dt FROM s WHERE probability > CAST({S.SWEEP[4]!r} AS DOUBLE) "
+    "GROUP BY manufacturer, model, serial_number")

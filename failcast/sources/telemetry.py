@@ -132,12 +132,13 @@ def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, unt
     return df
 
 
-def write_daily_csv(df: DataFrame, path: str, day_col: str = "dt", day_format: str = "yyyyMMdd") -> None:
+def write_daily_csv(df: DataFrame, path: str, day_col: str = "dt", day_format: str = "yyyyMMdd",
+                    mode: str = "overwrite") -> None:
     """Telemetry as daily text dumps: CSV with header, every value as text, one folder per day."""
     text = df.select(*[F.date_format(F.col(c), day_format).alias(c) if c == day_col else F.col(c).cast("string")
                        for c in df.columns])
     (text.withColumn("day", F.col(day_col))
-     .write.mode("overwrite").partitionBy("day").option("header", True).csv(path))
+     .write.mode(mode).partitionBy("day").option("header", True).csv(path))
 
 
 def count_rejected_days(spark: SparkSession, path: str, columns=None, day_format: str = "yyyyMMdd",
@@ -192,3 +193,8 @@ def local_path(path: str) -> str:
 
 def exists(path: str) -> bool:
     return os.path.exists(local_path(path))
+
+
+def write_importance(importance: DataFrame, path: str) -> None:
+    """Feature importance (feature, importance) as JSON lines; the table is one row per feature."""
+    importance.coalesce(1).write.mode("overwrite").json(path)
