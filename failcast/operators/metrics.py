@@ -115,24 +115,54 @@ def bucket_of(col, bounds) -> "F.Column":
     return tree(0, len(bounds))
 
 
-def descending_cumsum(df: DataFrame, order_col: str, cols, n_buckets: int = 64, rel_error: float = 1e-3) -> DataFrame:
+def ordered_bucket(col, bounds, n_fine: int) -> "F.Column":
+    """A monotone bucket id for ``col``: coarse range ``c`` (between consecutive sorted
+    ``bounds``, which include the min and max) times ``n_fine``, plus an equal-width
+    sub-range inside it. One binary-search CASE tree whose leaves hold the arithmetic,
+    so the expression stays small; values outside the bounds fall into the edge
+    sub-ranges (the clamp keeps the id monotone)."""
+    x = F.col(col) if isinstance(col, str) else col
+    n_coarse = len(bounds) - 1
+
+    def leaf(c):
+        lo, hi = float(bounds[c]), float(bounds[c + 1])
+        if hi <= lo:
+            return F.lit(c * n_fine).cast("long")
+        fine = F.floor((x - F.lit(lo)) * F.lit(n_fine / (hi - lo)))
+        return F.lit(c * n_fine) + F.least(F.greatest(fine, F.lit(0)), F.lit(n_fine - 1))
+
+    def tree(lo, hi):  # coarse ranges lo..hi; range c holds x with bounds[c] < x <= bounds[c + 1]
+        if lo == hi:
+            return leaf(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.lit(float(bounds[mid + 1])) < x, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, n_coarse - 1).cast("long")
+
+
+def descending_cumsum(df: DataFrame, order_col: str, cols, n_buckets: int = 64, n_fine: int = 1024,
+                      rel_error: float = 1e-3) -> DataFrame:
     """Running totals of ``cols`` from the largest ``order_col`` down, distributed.
 
-    Rows (e.g. distinct scores) are cut into ordered buckets at approximate quantiles
-    (one bounded action returning ``n_buckets - 1`` numbers), so buckets are balanced
-    whatever the score distribution. Per-bucket totals (at most ``n_buckets`` rows) are
-    prefix-summed and broadcast back; each bucket then runs its own ordered window. The
-    result is exact - the quantiles only balance the work. Adds ``cum_<c>`` (sum of
-    ``c`` over rows with ``order_col >= this``) and ``all_<c>`` (the grand total).
+    Rows (e.g. distinct scores) are cut into ordered buckets: ``n_buckets`` ranges at
+    approximate quantiles (one bounded action returning ``n_buckets + 1`` numbers), each
+    split into ``n_fine`` equal-width sub-ranges, so there are at most
+    ``n_buckets * n_fine`` buckets and each holds a small slice of the rows whatever the
+    score distribution. Per-bucket totals (one row per non-empty bucket, bounded by that
+    product) are prefix-summed and broadcast back; each bucket then runs its own ordered
+    window. The result is exact - the bucketing only spreads the work. Adds ``cum_<c>``
+    (sum of ``c`` over rows with ``order_col >= this``) and ``all_<c>`` (the grand total).
     """
     cols = list(cols)
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(df.approxQuantile(order_col, qs, rel_error)))
-    b = df.withColumn("_bucket", bucket_of(order_col, bounds))
+    qs = [i / n_buckets for i in range(n_buckets + 1)]
+    bounds = sorted(set(q for q in df.approxQuantile(order_col, qs, rel_error) if q is not None))
+    if len(bounds) < 2:
+        bounds = (bounds or [0.0]) * 2
+    b = df.withColumn("_bucket", ordered_bucket(order_col, bounds, n_fine))
     totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     higher = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
-    offsets = totals.select(  # at most n_buckets rows: single-partition windows are fine here
+    offsets = totals.select(  # at most n_buckets * n_fine rows: a single-partition window is fine here
         "_bucket",
         *[F.coalesce(F.sum(f"_t_{c}").over(higher), F.lit(0)).alias(f"_o_{c}") for c in cols],
         *[F.sum(f"_t_{c}").over(everything).alias(f"all_{c}") for c in cols])

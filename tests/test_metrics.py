@@ -82,7 +82,7 @@ def test_prefix_sum_is_layout_independent(spark):
     df = spark.createDataFrame([(float(v), 1) for v in rng.random(500)], "v double, c long")
     outs = []
     for parts in (1, 4, 32):
-        cum = met.descending_cumsum(df.repartition(parts), "v", ["c"], n_buckets=16)
+        cum = met.descending_cumsum(df.repartition(parts), "v", ["c"], n_buckets=4, n_fine=8)
         outs.append(sorted((r.v, r.cum_c) for r in cum.collect()))
     assert outs[0] == outs[1] == outs[2]
     values = sorted(outs[0], key=lambda t: -t[0])
