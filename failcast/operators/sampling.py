@@ -67,10 +67,9 @@ def hardness(df: DataFrame, score_col: str = "p", label_col: str = "label", fn=N
 def hardness_bins(df: DataFrame, k: int, h_col: str = "hardness", out: str = "bin") -> DataFrame:
     """``k`` equal-width bins between the min and max hardness; the max falls in the last
     bin. When all hardness values are equal every row is in bin 0 (the random path).
-    The bounds are scalar subqueries, so the plan stays lazy."""
-    bounds = df.agg(F.min(h_col).alias("lo"), F.max(h_col).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
+    The bounds are one scalar subquery (a struct), so the plan stays lazy."""
+    bounds = df.agg(F.struct(F.min(h_col).alias("lo"), F.max(h_col).alias("hi")).alias("b")).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) / F.lit(float(k))
     b = F.least(F.floor((F.col(h_col) - lo) / step), F.lit(k - 1)).cast("int")
     return df.withColumn(out, F.when(hi == lo, F.lit(0)).otherwise(b))
@@ -81,14 +80,16 @@ def pace(i: int, n: int) -> float:
     return math.inf if i >= n - 1 else math.tan(math.pi * 0.5 * i / (n - 1))
 
 
-def bin_quotas(binned: DataFrame, n_min, i: int, n: int, h_col: str = "hardness", bin_col: str = "bin") -> DataFrame:
+def bin_quotas(binned: DataFrame, n_min, i: int, n: int, k: int | None = None, h_col: str = "hardness",
+               bin_col: str = "bin") -> DataFrame:
     """Per non-empty bin: size, mean hardness, weight ``1/(mean + alpha)`` and quota
     ``floor(n_min * w / sum(w)) + 1`` (``n_min`` a number or a scalar Column).
 
     At the last round alpha is infinite and the weights are equal by definition,
-    which is applied exactly instead of through a huge float. If every row is in one
-    bin because hardness is flat, the quota is ``n_min`` (plain random under-sampling).
-    The result has at most ``k`` rows.
+    which is applied exactly instead of through a huge float. If hardness is flat (all
+    rows in bin 0) the quota is ``n_min``: plain random under-sampling. With ``k >= 2``
+    bins, flat hardness is exactly "one non-empty bin" (otherwise the min and max fall
+    in the first and last bin), read off the at most ``k`` stats rows.
     """
     n_min = n_min if isinstance(n_min, Column) else F.lit(int(n_min))
     stats = binned.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(h_col).alias("mean_hardness"))
@@ -98,10 +99,13 @@ def bin_quotas(binned: DataFrame, n_min, i: int, n: int, h_col: str = "hardness"
     else:
         weight = F.lit(1.0) / (F.col("mean_hardness") + F.lit(alpha))
     stats = stats.withColumn("weight", weight)
-    bounds = binned.agg(F.min(h_col).alias("lo"), F.max(h_col).alias("hi"))
-    flat = bounds.select(F.col("hi") == F.col("lo")).scalar()
-    total_w = F.sum("weight").over(Window.partitionBy())  # over <= k rows
-    quota = F.floor(n_min * F.col("weight") / total_w).cast("long") + 1
+    everything = Window.partitionBy()  # over <= k rows
+    if k is not None and k >= 2:
+        flat = F.count(F.lit(1)).over(everything) == 1
+    else:
+        bounds = binned.agg(F.struct(F.min(h_col).alias("lo"), F.max(h_col).alias("hi")).alias("b")).scalar()
+        flat = bounds["hi"] == bounds["lo"]
+    quota = F.floor(n_min * F.col("weight") / F.sum("weight").over(everything)).cast("long") + 1
     return stats.withColumn("quota", F.when(flat, n_min.cast("long")).otherwise(quota))
 
 
@@ -140,10 +144,14 @@ def draw_by_quota(df: DataFrame, quotas: DataFrame, group_col: str, order_col: s
 
 def undersample_random(majority: DataFrame, minority: DataFrame, order: Column, n=None) -> DataFrame:
     """Cold start: draw ``min(|minority|, |majority|)`` majority rows by hash order (or ``n``),
-    label them as majority, and append the minority. Lazy: the count is a scalar subquery."""
-    n_min = minority.select(F.count(F.lit(1))).scalar() if n is None else F.lit(int(n))
+    label them as majority, and append the minority. Lazy: the quota is a one-row
+    aggregate of the minority."""
+    if n is None:
+        quotas = minority.agg(F.count(F.lit(1)).alias("quota"))
+    else:
+        quotas = minority.sparkSession.range(1).select(F.lit(int(n)).cast("long").alias("quota"))
+    quotas = quotas.select(F.lit(0).alias("_g"), "quota")
     maj = majority.withColumn(HASH, order).withColumn("_g", F.lit(0))
-    quotas = maj.select("_g").limit(1).select("_g", n_min.cast("long").alias("quota"))
     drawn = draw_by_quota(maj, quotas, "_g").drop("_g", HASH)
     return drawn.unionByName(minority, allowMissingColumns=True)
 
@@ -155,7 +163,7 @@ def undersample_self_paced(majority: DataFrame, minority: DataFrame, order: Colu
     minority appended. All lazy; every intermediate is a DataFrame."""
     n_min = minority.select(F.count(F.lit(1))).scalar()
     binned = hardness_bins(hardness(majority, score_col, label_col, hardness_fn), k)
-    quotas = bin_quotas(binned, n_min, i, n)
+    quotas = bin_quotas(binned, n_min, i, n, k)
     drawn = draw_by_quota(binned.withColumn(HASH, order), quotas.select("bin", "quota"), "bin").drop(HASH)
     if not keep_bin:
         drawn = drawn.drop("bin", "hardness")

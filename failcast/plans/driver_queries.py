@@ -22,7 +22,8 @@ from failcast.plans import scenario as S
 from failcast.schema import ALERT_SCHEMA
 from failcast.sources.standins import EVENT_METRICS, EVENTS_SPEC, device_day, event_fault_tags, load_table
 from failcast.sources.telemetry import (
-    read_faults, read_features, read_telemetry, shared_dir, write_alerts, write_daily_csv, write_features,
+    materialize, read_faults, read_features, read_telemetry, shared_dir, write_alerts, write_daily_csv,
+    write_features,
 )
 
 QUERIES: dict = {}
@@ -181,7 +182,8 @@ def q_faulty_only_cohort(spark, sf):
 
 
 def _classes(spark, sf):
-    df = labelled(spark, sf).select(*KEYS, "label", closed_form_score().alias("p"))
+    """Scored device-days split by class; written once because the draws read them in several passes."""
+    df = materialize(labelled(spark, sf).select(*KEYS, "label", closed_form_score().alias("p")))
     return df.filter(F.col("label") == 0), df.filter(F.col("label") == 1)
 
 
@@ -203,7 +205,7 @@ def q_bin_quotas(spark, sf):
     maj, mino = _classes(spark, sf)
     binned = smp.hardness_bins(smp.hardness(maj, "p"), S.K_BINS)
     n_min = mino.select(F.count(F.lit(1))).scalar()
-    out = smp.bin_quotas(binned, n_min, S.ROUND, S.N_ROUNDS)
+    out = smp.bin_quotas(binned, n_min, S.ROUND, S.N_ROUNDS, S.K_BINS)
     return out.select("bin", "n_rows", r6("mean_hardness").alias("mean_hardness"), r6("weight").alias("weight"), "quota")
 
 
@@ -228,6 +230,11 @@ def scored(spark, sf) -> DataFrame:
     return labelled(spark, sf).select(*KEYS, "fault_time", "label", closed_form_score().alias("p"))
 
 
+def scored_once(spark, sf) -> DataFrame:
+    """``scored`` written once, for the curve metrics that pass over it several times."""
+    return materialize(scored(spark, sf))
+
+
 def _with_thresh(spark, sf):
     return alr.threshold_schedule(scored(spark, sf), S.THRESH_HI, S.THRESH_LO, S.THRESH_BEGIN, S.THRESH_DAYS)
 
@@ -268,32 +275,32 @@ def q_threshold_sweep(spark, sf):
 
 @query("pr_curve")
 def q_pr_curve(spark, sf):
-    return _doubles_rounded(met.pr_curve(scored(spark, sf), "p"))
+    return _doubles_rounded(met.pr_curve(scored_once(spark, sf), "p"))
 
 
 @query("pr_auc")
 def q_pr_auc(spark, sf):
-    return _doubles_rounded(met.pr_auc(scored(spark, sf), "p"))
+    return _doubles_rounded(met.pr_auc(scored_once(spark, sf), "p"))
 
 
 @query("roc_auc")
 def q_roc_auc(spark, sf):
-    return _doubles_rounded(met.roc_auc(scored(spark, sf), "p"))
+    return _doubles_rounded(met.roc_auc(scored_once(spark, sf), "p"))
 
 
 @query("average_precision")
 def q_average_precision(spark, sf):
-    return _doubles_rounded(met.average_precision(scored(spark, sf), "p"))
+    return _doubles_rounded(met.average_precision(scored_once(spark, sf), "p"))
 
 
 @query("best_f1")
 def q_best_f1(spark, sf):
-    return _doubles_rounded(met.best_f1_threshold(scored(spark, sf), "p"))
+    return _doubles_rounded(met.best_f1_threshold(scored_once(spark, sf), "p"))
 
 
 @query("precision_at_n")
 def q_precision_at_n(spark, sf):
-    return _doubles_rounded(met.precision_at_n(scored(spark, sf), "p"))
+    return _doubles_rounded(met.precision_at_n(scored_once(spark, sf), "p"))
 
 
 @query("score_histogram")

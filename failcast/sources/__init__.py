@@ -3,5 +3,5 @@ from failcast.sources.standins import (  # noqa: F401
 )
 from failcast.sources.telemetry import (  # noqa: F401
     count_rejected_days, read_faults, read_features, read_telemetry, shared_dir, write_alerts,
-    write_daily_csv, write_features, write_importance,
+    materialize, write_daily_csv, write_features, write_importance,
 )

@@ -198,3 +198,13 @@ def exists(path: str) -> bool:
 def write_importance(importance: DataFrame, path: str) -> None:
     """Feature importance (feature, importance) as JSON lines; the table is one row per feature."""
     importance.coalesce(1).write.mode("overwrite").json(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and continue from the written copy.
+
+    For inputs of multi-pass operators (quota draws, curve metrics, ensemble rounds): the
+    upstream plan runs once instead of once per pass, plans stay small, and a lost
+    executor re-reads the copy instead of recomputing the lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

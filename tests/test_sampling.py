@@ -49,7 +49,7 @@ def test_equal_hardness_takes_random_path(spark):
     mino = spark.createDataFrame([(100 + i, 1, None) for i in range(7)], "id long, label int, p double")
     binned = smp.hardness_bins(smp.hardness(maj, "p"), 10)
     assert {r.bin for r in binned.collect()} == {0}
-    q = smp.bin_quotas(binned, 7, 3, 10).collect()
+    q = smp.bin_quotas(binned, 7, 3, 10, 10).collect()
     assert [(r.bin, r.quota) for r in q] == [(0, 7)]
     out = smp.undersample_self_paced(maj, mino, hash_order("id"), 3, 10, 10)
     assert out.filter("label = 0").count() == 7
@@ -59,10 +59,11 @@ def test_empty_bin_is_skipped_and_quota_sum(spark):
     ps = [0.0] * 20 + [0.9] * 20 + [1.0] * 5            # a gap: middle bins empty
     maj = spark.createDataFrame([(i, 0, p) for i, p in enumerate(ps)], "id long, label int, p double")
     binned = smp.hardness_bins(smp.hardness(maj, "p"), 10)
-    q = smp.bin_quotas(binned, 10, 2, 10).collect()
+    q = smp.bin_quotas(binned, 10, 2, 10, 10).collect()
+    assert q == smp.bin_quotas(binned, 10, 2, 10).collect()   # subquery route agrees
     assert sorted(r.bin for r in q) == [0, 8, 9]
     assert sum(r.quota for r in q) >= 10
-    last = smp.bin_quotas(binned, 10, 9, 10).collect()   # last round: equal weights
+    last = smp.bin_quotas(binned, 10, 9, 10, 10).collect()   # last round: equal weights
     assert {r.quota for r in last} == {10 // 3 + 1}
 
 
