@@ -261,8 +261,8 @@ def precision_at_n(df: DataFrame, score_col: str = "probability", label_col: str
 
 def score_histogram(df: DataFrame, score_col: str = "probability", bins: int = 100) -> DataFrame:
     """Counts in ``bins`` equal-width bins between the min and max score (max in the last)."""
-    bounds = df.agg(F.min(score_col).alias("lo"), F.max(score_col).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    bounds = df.agg(F.struct(F.min(score_col).alias("lo"), F.max(score_col).alias("hi")).alias("b")).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     b = F.least(F.floor((F.col(score_col) - lo) / (hi - lo) * F.lit(float(bins))), F.lit(bins - 1))
     b = F.when(hi == lo, F.lit(0)).otherwise(b).cast("int")
     return (df.filter(F.col(score_col).isNotNull()).groupBy(b.alias("bin"))

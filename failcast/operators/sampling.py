@@ -142,17 +142,34 @@ def draw_by_quota(df: DataFrame, quotas: DataFrame, group_col: str, order_col: s
     return whole.unionByName(part).drop("_quota", "_bsub", "_need")
 
 
+def draw_lowest(df: DataFrame, n: Column, order_col: str = HASH, prefix_len: int = 4) -> DataFrame:
+    """The ``n`` rows with the smallest ``order_col`` (``n`` a scalar Column), exactly.
+
+    Single-group form of ``draw_by_quota``: per sub-bucket counts (at most
+    ``16**prefix_len`` rows) are prefix-summed, the boundary sub-bucket and the number
+    still needed from it are scalar subqueries, rows below it pass a filter and only the
+    boundary slice is ranked. Same rows as ``row_number() OVER (ORDER BY key) <= n``."""
+    sub = F.substring(F.col(order_col), 1, prefix_len)
+    counts = df.groupBy(sub.alias("_sub")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0))  # over <= 16**prefix_len rows
+    counts = counts.withColumn("_before", before)
+    edge = (counts.filter((F.col("_before") < n) & (F.col("_before") + F.col("_c") >= n))
+            .select(F.struct(F.col("_sub").alias("sub"), (n - F.col("_before")).alias("need")).alias("e"))
+            .scalar())
+    live = df.filter(n > 0)
+    whole = live.filter(edge.isNull() | (sub < edge["sub"]))
+    part = (live.filter(sub == edge["sub"])
+            .withColumn("_rn", F.row_number().over(Window.orderBy(order_col)))  # the boundary slice only
+            .filter(F.col("_rn") <= edge["need"]).drop("_rn"))
+    return whole.unionByName(part)
+
+
 def undersample_random(majority: DataFrame, minority: DataFrame, order: Column, n=None) -> DataFrame:
     """Cold start: draw ``min(|minority|, |majority|)`` majority rows by hash order (or ``n``),
-    label them as majority, and append the minority. Lazy: the quota is a one-row
-    aggregate of the minority."""
-    if n is None:
-        quotas = minority.agg(F.count(F.lit(1)).alias("quota"))
-    else:
-        quotas = minority.sparkSession.range(1).select(F.lit(int(n)).cast("long").alias("quota"))
-    quotas = quotas.select(F.lit(0).alias("_g"), "quota")
-    maj = majority.withColumn(HASH, order).withColumn("_g", F.lit(0))
-    drawn = draw_by_quota(maj, quotas, "_g").drop("_g", HASH)
+    label them as majority, and append the minority. Lazy: the count is a scalar subquery."""
+    n_min = minority.select(F.count(F.lit(1))).scalar() if n is None else F.lit(int(n))
+    drawn = draw_lowest(majority.withColumn(HASH, order), n_min).drop(HASH)
     return drawn.unionByName(minority, allowMissingColumns=True)
 
 

@@ -25,6 +25,14 @@ def test_draw_by_quota_equals_row_number(spark, prefix):
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in ref.collect())
 
 
+@pytest.mark.parametrize("n", [0, 1, 37, 2999, 5000])
+def test_draw_lowest_equals_row_number(spark, n):
+    df = keyed(spark, 3000, 1).withColumn("_h", hash_order("id", seed=3))
+    got = smp.draw_lowest(df, F.lit(n), prefix_len=2)
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("_h"))).filter(F.col("rn") <= n)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in ref.collect())
+
+
 def test_layout_independent_draws(spark):
     df = keyed(spark, 2000, 3)
     maj, mino = df.filter("g > 0"), df.filter("g = 0").limit(100)
