@@ -56,7 +56,8 @@ def _merge_moments(acc: Column, x: Column) -> Column:
 
 
 def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_col: str = "dt",
-                      days: int = 7, unique_days: bool = False, prefix: str | None = None) -> DataFrame:
+                      days: int = 7, unique_days: bool = False, prefix: str | None = None,
+                      num_partitions: int | None = None) -> DataFrame:
     """Trailing calendar-window range (max - min) and sample stddev per metric.
 
     Frame: the same device, days ``[d - days, d]`` by calendar (gaps allowed); rows on
@@ -71,9 +72,15 @@ def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_
     day holding a huge share of rows never lands whole in one task; the window then
     runs over daily summaries (at most ``days + 1`` per frame) and the result is joined
     back to the rows on (keys, day), where AQE splits any skewed row-side partition.
+
+    ``num_partitions`` pre-partitions the rows by the device keys into that many
+    partitions; the window's clustering requirement is then already met, so that
+    repartition is the only shuffle (the default leaves the count to AQE).
     """
     keys = list(keys)
     prefix = prefix if prefix is not None else f"window_{days}_"
+    if num_partitions:
+        df = df.repartition(int(num_partitions), *keys)
 
     def range_name(c):
         return f"{prefix}range_{c}"
@@ -144,7 +151,8 @@ def pairwise_sums(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({f"sum_{a}_{b}": F.col(a) + F.col(b) for a, b in combinations(list(cols), 2)})
 
 
-def build_features(df: DataFrame, spec: FeatureSpec, unique_days: bool = False) -> DataFrame:
+def build_features(df: DataFrame, spec: FeatureSpec, unique_days: bool = False,
+                   num_partitions: int | None = None) -> DataFrame:
     """The whole recipe in three projections.
 
     1. trailing range/std on the raw values of ``spec.window_cols``;
@@ -153,7 +161,7 @@ def build_features(df: DataFrame, spec: FeatureSpec, unique_days: bool = False)
     3. in-place scaling by the same divisors, then pairwise sums of the scaled columns.
     """
     stage1 = trailing_features(df, spec.window_cols, spec.keys, spec.day_col, spec.window_days,
-                               unique_days=unique_days, prefix=spec.prefix)
+                               unique_days=unique_days, prefix=spec.prefix, num_partitions=num_partitions)
 
     current = {f.name: F.col(f.name) for f in stage1.schema.fields}
     for c in spec.log_cols:

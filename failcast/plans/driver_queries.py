@@ -23,7 +23,7 @@ from failcast.schema import ALERT_SCHEMA
 from failcast.sources.standins import EVENT_METRICS, EVENTS_SPEC, device_day, event_fault_tags, load_table
 from failcast.sources.telemetry import (
     materialize, read_faults, read_features, read_telemetry, shared_dir, write_alerts, write_daily_csv,
-    write_features,
+    write_features, write_importance,
 )
 
 QUERIES: dict = {}
@@ -398,8 +398,11 @@ def q_ensemble_predict(spark, sf):
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
+    """Importance summed over members, through the JSON sink and back."""
     _, model, _, cols = _ensemble(spark, sf)
-    return model.feature_importance(spark, cols)
+    path = _scratch(spark, "importance")
+    write_importance(model.feature_importance(spark, cols), path)
+    return spark.read.schema("feature string, importance double").json(path)
 
 
 @query("model_roundtrip")
