@@ -34,12 +34,12 @@ def alerts_from_scores(scored: DataFrame, keys=ALERT_KEYS) -> DataFrame:
 def run(spark: SparkSession, logs_path: str, featurizer, model, score_from: str, out_path: str | None = None,
         spec: FeatureSpec = SMART_SPEC, layout: str = "by_day", hi: float = SCORE_THRESHOLD,
         lo: float = SCORE_THRESHOLD, columns=None, metric_pattern: str = "smart",
-        unique_days: bool = False) -> DataFrame:
+        unique_days: bool = False, name_day_token: int | None = None) -> DataFrame:
     """The batch job: read only the look-back the windows need, build features, score,
     keep the first alert per device, and optionally write the alert file."""
     since = look_back_start(score_from, spec.window_days)
     logs = read_telemetry(spark, logs_path, columns=columns, since=since, layout=layout,
-                          metric_pattern=metric_pattern)
+                          metric_pattern=metric_pattern, name_day_token=name_day_token)
     features = feat.build_features(logs, spec, unique_days=unique_days)
     alerts = alerts_from_scores(score_days(features, featurizer, model, score_from, hi, lo))
     if out_path:

@@ -34,12 +34,15 @@ def _day_token(day) -> str:
     return str(day).replace("-", "")[:8]
 
 
-def csv_header_groups(spark: SparkSession, path: str, since=None, until=None) -> dict:
+def csv_header_groups(spark: SparkSession, path: str, since=None, until=None,
+                      name_day_token: int | None = None) -> dict:
     """CSV files under ``path`` grouped by their header line.
 
     Only metadata is touched: the file listing and the first line of each file (one
     short read per file, no data rows). Day folders (``day=yyyyMMdd``) outside
-    ``[since, until)`` are skipped before any file is opened.
+    ``[since, until)`` are skipped before any file is opened; so are files whose name
+    carries the day as its ``name_day_token``-th ``_``-separated token (e.g. 4 for
+    ``a_b_c_d_20180823.csv``) when that day is out of range.
     """
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,6 +57,9 @@ def csv_header_groups(spark: SparkSession, path: str, since=None, until=None) ->
         if not name.endswith(".csv"):
             continue
         day = next((seg[4:] for seg in p.toString().split("/") if seg.startswith("day=")), None)
+        if day is None and name_day_token is not None:
+            tokens = name[:-4].split("_")
+            day = tokens[name_day_token][:8] if len(tokens) > name_day_token else None
         if day is not None and ((lo and day < lo) or (hi and day >= hi)):
             continue
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
@@ -67,10 +73,10 @@ def csv_header_groups(spark: SparkSession, path: str, since=None, until=None) ->
 
 
 def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=None, fmt: str = "csv",
-                  layout: str = "flat") -> DataFrame:
+                  layout: str = "flat", name_day_token: int | None = None) -> DataFrame:
     """The text layer: ``columns`` projected by header name from every file (see ``read_telemetry``)."""
     if fmt == "csv":
-        groups = csv_header_groups(spark, path, since, until)
+        groups = csv_header_groups(spark, path, since, until, name_day_token)
         parts = []
         for header, files in groups.items():
             missing = [c for c in columns if c not in header]
@@ -80,7 +86,7 @@ def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=Non
             if layout == "by_day":
                 schema = schema.add("day", "string")
             reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            src = path if len(groups) == 1 else files
+            src = path if len(groups) == 1 and name_day_token is None else files
             if layout == "by_day" and len(groups) > 1:
                 reader = reader.option("basePath", path)
             parts.append(reader.csv(src))
@@ -105,7 +111,8 @@ def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=Non
 
 def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, until=None,
                    day_format: str = "yyyyMMdd", metric_pattern: str = "smart",
-                   fmt: str = "csv", layout: str = "flat", day_col: str = "dt") -> DataFrame:
+                   fmt: str = "csv", layout: str = "flat", day_col: str = "dt",
+                   name_day_token: int | None = None) -> DataFrame:
     """Daily telemetry dumps -> typed device-day rows.
 
     CSV columns are matched to ``columns`` **by header name**: files are grouped by
@@ -117,11 +124,12 @@ def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, unt
 
     ``layout='by_day'`` reads dumps stored one folder per day (``day=yyyyMMdd``, see
     ``write_daily_csv``): ``since``/``until`` then become partition filters and whole
-    days are skipped at listing time. In either layout the day bound also sits below
-    any later window.
+    days are skipped at listing time. In a flat folder whose file names carry the day
+    (``name_day_token``), out-of-range files are skipped at listing time. In every
+    layout the day bound also sits below any later window.
     """
     columns = list(columns or TELEMETRY_COLUMNS)
-    raw = raw_telemetry(spark, path, columns, since, until, fmt, layout)
+    raw = raw_telemetry(spark, path, columns, since, until, fmt, layout, name_day_token)
     df = raw.withColumn(day_col, parse_day(day_col, day_format))
     df = cast_metrics(df, [c for c in columns if metric_pattern in c])
     df = df.filter(F.col(day_col).isNotNull())

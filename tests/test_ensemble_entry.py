@@ -55,3 +55,17 @@ def test_rejected_days_counted(spark, tmp_path):
                              "s1,A,1,20181340,1\ns1,A,1,,1\n")
     got = count_rejected_days(spark, str(p), ["serial_number", "manufacturer", "model", "dt", "m_x"]).first()
     assert got.rejected_days == 3
+
+
+def test_file_name_day_pruning(spark, tmp_path):
+    from failcast.sources.telemetry import csv_header_groups, read_telemetry
+    p = tmp_path / "logs"
+    p.mkdir()
+    head = "serial_number,manufacturer,model,dt,m_x\n"
+    for d in ("20180820", "20180823", "20180901"):
+        (p / f"disk_sample_smart_log_{d}_round2.csv").write_text(head + f"s1,A,1,{d},1\n")
+    groups = csv_header_groups(spark, str(p), since="2018-08-23", name_day_token=4)
+    assert sorted(f.rsplit("_", 2)[-2] for fs in groups.values() for f in fs) == ["20180823", "20180901"]
+    df = read_telemetry(spark, str(p), columns=["serial_number", "manufacturer", "model", "dt", "m_x"],
+                        since="2018-08-23", metric_pattern="m_", name_day_token=4)
+    assert sorted(str(r.dt) for r in df.collect()) == ["2018-08-23", "2018-09-01"]
