@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from failcast.functions.expressions import day_number, log2p1, weighted_total
@@ -43,21 +43,12 @@ def _row_window_columns(cols, keys, day_col, days, range_name, std_name) -> list
     return out
 
 
-def _merge_moments(acc: Column, x: Column) -> Column:
-    """Pairwise merge of (n, mean, m2) summaries (Chan et al.); exact for the first element."""
-    n = acc["n"] + x["n"]
-    delta = x["mean"] - acc["mean"]
-    merged = F.struct(
-        n.alias("n"),
-        (acc["mean"] + delta * x["n"] / n).alias("mean"),
-        (acc["m2"] + x["m2"] + delta * delta * acc["n"] * x["n"] / n).alias("m2"),
-    )
-    return F.when(acc["n"] == 0, x).otherwise(merged)
+HOT_ROWS = 1_000_000
 
 
 def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_col: str = "dt",
                       days: int = 7, unique_days: bool = False, prefix: str | None = None,
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Trailing calendar-window range (max - min) and sample stddev per metric.
 
     Frame: the same device, days ``[d - days, d]`` by calendar (gaps allowed); rows on
@@ -67,11 +58,12 @@ def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_
     ``unique_days=True`` asserts one row per (keys, day) (e.g. a daily roll-up): one
     Window over the rows, one shuffle, per-task size bounded by the calendar span.
 
-    ``unique_days=False`` (default) does not trust the input: rows are first reduced
-    to one summary per (keys, day) with map-side partial aggregation, so a device or a
-    day holding a huge share of rows never lands whole in one task; the window then
-    runs over daily summaries (at most ``days + 1`` per frame) and the result is joined
-    back to the rows on (keys, day), where AQE splits any skewed row-side partition.
+    Otherwise (default) the input is not trusted to be evenly spread: devices are
+    counted (map-side combined), and devices with more than ``hot_rows`` rows - at most
+    ``rows / hot_rows`` of them, so the list is broadcast with a proven bound - take the
+    skew-safe path of ``daily_trailing_features``, while all other devices use the plain
+    Window (a RANGE frame already treats same-day rows as peers). Both paths are exact;
+    with no hot device the hot branch is empty and the plan costs one shuffle of rows.
 
     ``num_partitions`` pre-partitions the rows by the device keys into that many
     partitions; the window's clustering requirement is then already met, so that
@@ -81,6 +73,30 @@ def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_
     prefix = prefix if prefix is not None else f"window_{days}_"
     if num_partitions:
         df = df.repartition(int(num_partitions), *keys)
+    names = (lambda c: f"{prefix}range_{c}", lambda c: f"{prefix}std_{c}")
+    if unique_days:
+        return df.select("*", *_row_window_columns(cols, keys, day_col, days, *names))
+
+    hot = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                      .filter(F.col("_rows") > hot_rows).select(*keys))
+    cold_rows = df.join(hot, keys, "left_anti").select(*df.columns)
+    hot_rows_df = df.join(hot, keys, "left_semi").select(*df.columns)
+    cold = cold_rows.select("*", *_row_window_columns(cols, keys, day_col, days, *names))
+    return cold.unionByName(daily_trailing_features(hot_rows_df, cols, keys, day_col, days, prefix))
+
+
+def daily_trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_col: str = "dt",
+                            days: int = 7, prefix: str | None = None) -> DataFrame:
+    """``trailing_features`` for devices or days holding a huge share of the rows.
+
+    Rows are first reduced to one summary per (keys, day) with map-side partial
+    aggregation, so a hot device or day never lands whole in one task; the window runs
+    over daily summaries (at most ``days + 1`` per frame, plain sums of centred moments,
+    so it stays in generated code), and the result is joined back to the rows on
+    (keys, day), where AQE splits any skewed row-side partition.
+    """
+    keys = list(keys)
+    prefix = prefix if prefix is not None else f"window_{days}_"
 
     def range_name(c):
         return f"{prefix}range_{c}"
@@ -88,9 +104,6 @@ def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_
     def std_name(c):
         return f"{prefix}std_{c}"
 
-    if unique_days:
-        return df.select("*", *_row_window_columns(cols, keys, day_col, days, range_name, std_name))
-
     # one summary row per (device, day): count, mean, M2, max, min per metric
     aggs = []
     for i, c in enumerate(cols):
@@ -103,15 +116,25 @@ def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_
         ]
     daily = df.groupBy(*keys, day_col).agg(*aggs)
 
+    # moments about a per-device centre c (the device's mean of daily means): per day
+    # S1 = n (mean - c), S2 = M2 + n (mean - c)^2; over the frame M2 = sum S2 - (sum S1)^2 / N.
+    # Centring keeps the sums small, so the difference does not cancel away precision.
+    device = Window.partitionBy(*keys)
+    centred = []
+    for i, c in enumerate(cols):
+        d = F.col(f"_mean{i}") - F.avg(f"_mean{i}").over(device)
+        centred += [(F.col(f"_n{i}") * d).alias(f"_s1{i}"),
+                    (F.col(f"_m2{i}") + F.col(f"_n{i}") * d * d).alias(f"_s2{i}")]
+    daily = daily.select(*keys, day_col, *[f"_{p}{i}" for i in range(len(cols)) for p in ("n", "max", "min")],
+                         *centred)
+
     w = _frame(keys, day_col, days)
     out = []
     for i, c in enumerate(cols):
-        summary = F.when(F.col(f"_n{i}") > 0, F.struct(
-            F.col(f"_n{i}").alias("n"), F.col(f"_mean{i}").alias("mean"), F.col(f"_m2{i}").alias("m2")))
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-        moments = F.aggregate(F.collect_list(summary).over(w), zero, _merge_moments)
+        n, s1, s2 = F.sum(f"_n{i}").over(w), F.sum(f"_s1{i}").over(w), F.sum(f"_s2{i}").over(w)
+        m2 = F.greatest(s2 - s1 * s1 / n, F.lit(0.0))
         out.append((F.max(f"_max{i}").over(w) - F.min(f"_min{i}").over(w)).alias(range_name(c)))
-        out.append(F.when(moments["n"] > 1, F.sqrt(moments["m2"] / (moments["n"] - 1))).alias(std_name(c)))
+        out.append(F.when(n > 1, F.sqrt(m2 / (n - 1))).alias(std_name(c)))
     feats = daily.select(*[F.col(k).alias(f"_k_{k}") for k in keys + [day_col]], *out)
 
     cond = None

@@ -68,11 +68,12 @@ def q_trailing_std(spark, sf):
 @query("trailing_peers")
 def q_trailing_peers(spark, sf):
     """Raw event rows as telemetry: many rows per device-day, all peers in the frame.
-    Runs the skew-safe path (daily summaries, window, join back)."""
+    Users above HOT_ROWS events take the skew-safe path (daily summaries, window, join
+    back), the others the plain window; the union is checked against one SQL window."""
     ev = load_table(spark, sf, "events").select(
         "event_id", F.col("user_id").alias("serial_number"), (F.col("user_id") % 2 + 1).alias("model"),
         F.col("ts").cast("date").alias("dt"), "value")
-    df = feat.trailing_features(ev, ["value"], unique_days=False)
+    df = feat.trailing_features(ev, ["value"], hot_rows=S.HOT_ROWS)
     return _doubles_rounded(df)
 
 
@@ -444,3 +445,24 @@ def q_stream_first_alerts(spark, sf):
     write_daily_csv(dd.filter(F.col("dt") >= F.lit(S.VAL[0]).cast("date")), src, mode="append")
     stream.start().awaitTermination()
     return stream.alerts()
+
+
+# --- other supplied tables --------------------------------------------------------
+
+@query("long_history_features")
+def q_long_history_features(spark, sf):
+    """The whole recipe over seven years of supplier-days with same-day peers (skew-safe path)."""
+    from failcast.sources.standins import LINEITEM_SPEC, supplier_days
+    return _doubles_rounded(feat.build_features(supplier_days(spark, sf), LINEITEM_SPEC, unique_days=False))
+
+
+@query("doc_pr_curve")
+def q_doc_pr_curve(spark, sf):
+    from failcast.sources.standins import scored_documents
+    return _doubles_rounded(met.pr_curve(materialize(scored_documents(spark, sf))))
+
+
+@query("doc_roc_auc")
+def q_doc_roc_auc(spark, sf):
+    from failcast.sources.standins import scored_documents
+    return _doubles_rounded(met.roc_auc(materialize(scored_documents(spark, sf))))

@@ -46,24 +46,23 @@ def _window_cols(metrics) -> str:
                      f"stddev_samp({m}) OVER w AS window_7_std_{m}" for m in metrics)
 
 
-def features_ctes() -> dict:
-    """dd -> f1 (windows) -> f2 (logs, interaction, weighted sum) -> f3 (scaling, pair sums)."""
-    spec = EVENTS_SPEC
-    f1 = f"SELECT *, {_window_cols(spec.window_cols)} FROM dd WINDOW w AS ({WIN})"
-    cur = {m: m for m in EVENT_METRICS}
+def features_ctes(spec=EVENTS_SPEC, metrics=EVENT_METRICS, src: str = DD, keys: str = KEYS, win: str = WIN) -> dict:
+    """src -> f1 (windows) -> f2 (logs, interaction, weighted sum) -> f3 (scaling, pair sums)."""
+    f1 = f"SELECT *, {_window_cols(spec.window_cols)} FROM dd WINDOW w AS ({win})"
+    cur = {m: m for m in metrics}
     for c in spec.log_cols:
         cur[c] = log2p1(c)
     target, factor = spec.interaction
     cur[target] = f"({cur[target]} * {factor})"
     anomaly = " + ".join(f"{cur[c]} / CAST({w} AS DOUBLE)" for c, w in spec.weights.items())
     wcols = ", ".join(spec.window_names())
-    f2 = (f"SELECT {KEYS}, " + ", ".join(f"{e} AS {m}" for m, e in cur.items())
+    f2 = (f"SELECT {keys}, " + ", ".join(f"{e} AS {m}" for m, e in cur.items())
           + f", {wcols}, ({anomaly}) AS anomaly_sum FROM f1")
     scaled = {c: f"{c} / CAST({w} AS DOUBLE)" for c, w in spec.weights.items()}
-    cols = [scaled.get(m, m) + f" AS {m}" for m in EVENT_METRICS]
+    cols = [scaled.get(m, m) + f" AS {m}" for m in metrics]
     pairs = [f"({scaled[a]}) + ({scaled[b]}) AS sum_{a}_{b}" for a, b in combinations(spec.pair_cols, 2)]
-    f3 = f"SELECT {KEYS}, " + ", ".join(cols) + f", {wcols}, anomaly_sum, " + ", ".join(pairs) + " FROM f2"
-    return {"dd": DD, "f1": f1, "f2": f2, "f3": f3}
+    f3 = f"SELECT {keys}, " + ", ".join(cols) + f", {wcols}, anomaly_sum, " + ", ".join(pairs) + " FROM f2"
+    return {"dd": src, "f1": f1, "f2": f2, "f3": f3}
 
 
 def _round_all(cols, src: str, keep=KEYS) -> str:
@@ -316,3 +315,28 @@ ORACLE["stream_first_alerts"] = with_(
     "SELECT manufacturer, CAST(model AS VARCHAR) AS model, CAST(serial_number AS VARCHAR) AS serial_number, "
     f"min(dt) AS dt FROM s WHERE probability > CAST({S.SWEEP[4]!r} AS DOUBLE) "
     "GROUP BY manufacturer, model, serial_number")
+
+
+# --- other supplied tables --------------------------------------------------------
+
+from failcast.sources.standins import LINEITEM_METRICS, LINEITEM_SPEC  # noqa: E402
+
+LI_KEYS = "l_orderkey, l_linenumber, serial_number, manufacturer, model, dt"
+LI_SRC = ("SELECT l_orderkey, l_linenumber, l_suppkey AS serial_number, 'A' AS manufacturer, "
+          "l_suppkey % 2 + 1 AS model, CAST(l_shipdate AS DATE) AS dt, "
+          + ", ".join(f"{m} + 0.0 AS {m}" for m in LINEITEM_METRICS) + " FROM lineitem")
+_LI = features_ctes(LINEITEM_SPEC, LINEITEM_METRICS, LI_SRC, LI_KEYS)
+ORACLE["long_history_features"] = with_(**_LI) + (
+    f"SELECT {LI_KEYS}, " + ", ".join(
+        f"round({c}, 6) + 0.0 AS {c}" for c in LINEITEM_METRICS + LINEITEM_SPEC.window_names() + ["anomaly_sum"]
+        + LINEITEM_SPEC.pair_names()) + " FROM f3")
+
+DOC_CURVE = dict(
+    sc="SELECT l.quality AS label, CAST(d.n_chars AS DOUBLE) AS p FROM labels l JOIN documents d USING (doc_id)",
+    cnt=CURVE["cnt"], cum=CURVE["cum"], pts=CURVE["pts"])
+ORACLE["doc_pr_curve"] = with_(**DOC_CURVE) + (
+    "SELECT round(threshold, 6) AS threshold, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall "
+    "FROM pts")
+ORACLE["doc_roc_auc"] = with_(**DOC_CURVE) + (
+    "SELECT round(sum((CAST(fp AS DOUBLE) / N - CAST(fp - neg AS DOUBLE) / N) * "
+    "(CAST(tp AS DOUBLE) / P + CAST(tp - pos AS DOUBLE) / P) / 2.0), 6) AS roc_auc FROM cum")

@@ -59,3 +59,30 @@ def event_fault_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load_table(spark, sf_dir, "events")
     return (ev.filter((F.col("event_type") == FAULT_EVENT_TYPE) & (F.col("value") > FAULT_VALUE_OVER))
             .select(*_device_columns(), F.col("ts").cast("date").alias("fault_time")))
+
+
+# Long histories: suppliers as devices, ship days as days, four line metrics; several
+# lines per supplier-day, so same-day rows are peers.
+LINEITEM_METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM_SPEC = FeatureSpec(
+    window_cols=tuple(LINEITEM_METRICS),
+    log_cols=("l_quantity", "l_extendedprice"),
+    weights={"l_quantity": 12.0, "l_extendedprice": 16.0, "l_discount": 18.0},
+    pair_cols=("l_quantity", "l_extendedprice", "l_discount"),
+    interaction=("l_extendedprice", "window_7_range_l_extendedprice"),
+)
+
+
+def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item: supplier as device, ship day as day (not unique per day)."""
+    li = load_table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey"), F.col("l_linenumber"), *_device_columns("l_suppkey"),
+                     F.col("l_shipdate").cast("date").alias("dt"),
+                     *[(F.col(m) + F.lit(0.0)).alias(m) for m in LINEITEM_METRICS])
+
+
+def scored_documents(spark: SparkSession, sf_dir: str, label_col: str = "quality") -> DataFrame:
+    """Labelled documents with their length as the score."""
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col(label_col).alias("label"))
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("probability"))
+    return labels.join(docs, "doc_id")

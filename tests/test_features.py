@@ -20,25 +20,29 @@ def frame(spark, data):
                                  "serial_number string, model string, dt date, x double")
 
 
-@pytest.mark.parametrize("unique", [True, False])
-def test_frame_width_is_eight_calendar_days(spark, unique):
+PATHS = [dict(unique_days=True), dict(), dict(hot_rows=0)]   # plain window, split (all cold), split (all hot)
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_frame_width_is_eight_calendar_days(spark, path):
     df = frame(spark, [("a", "1", 1, 1.0), ("a", "1", 8, 5.0), ("a", "1", 9, 2.0)])
-    out = {r.dt: r for r in feat.trailing_features(df, ["x"], unique_days=unique).collect()}
+    out = {r.dt: r for r in feat.trailing_features(df, ["x"], **path).collect()}
     assert out[day(8)].window_7_range_x == 4.0      # day 1 still inside
     assert out[day(9)].window_7_range_x == 3.0      # day 1 out
     assert out[day(1)].window_7_std_x is None       # one row: NULL std
 
 
-@pytest.mark.parametrize("unique", [True, False])
-def test_calendar_gap(spark, unique):
+@pytest.mark.parametrize("path", PATHS)
+def test_calendar_gap(spark, path):
     df = frame(spark, [("a", "1", 1, 1.0), ("a", "1", 20, 9.0)])
-    r = [r for r in feat.trailing_features(df, ["x"], unique_days=unique).collect() if r.dt == day(20)][0]
+    r = [r for r in feat.trailing_features(df, ["x"], **path).collect() if r.dt == day(20)][0]
     assert r.window_7_range_x == 0.0 and r.window_7_std_x is None
 
 
-def test_same_day_rows_are_peers(spark):
+@pytest.mark.parametrize("path", PATHS[1:])
+def test_same_day_rows_are_peers(spark, path):
     df = frame(spark, [("a", "1", 3, 1.0), ("a", "1", 3, 4.0), ("a", "1", 2, 2.0)])
-    out = feat.trailing_features(df, ["x"], unique_days=False).collect()
+    out = feat.trailing_features(df, ["x"], **path).collect()
     day3 = [r for r in out if r.dt == day(3)]
     assert len(day3) == 2
     for r in day3:
@@ -48,8 +52,8 @@ def test_same_day_rows_are_peers(spark):
 
 def test_null_metric_ignored(spark):
     df = frame(spark, [("a", "1", 1, 1.0), ("a", "1", 2, None), ("a", "1", 3, 3.0)])
-    for unique in (True, False):
-        r = [r for r in feat.trailing_features(df, ["x"], unique_days=unique).collect() if r.dt == day(3)][0]
+    for path in PATHS:
+        r = [r for r in feat.trailing_features(df, ["x"], **path).collect() if r.dt == day(3)][0]
         assert r.window_7_range_x == 2.0
         assert r.window_7_std_x == pytest.approx(math.sqrt(2.0))
 
@@ -59,7 +63,7 @@ def test_both_paths_agree_on_real_data(spark):
     from tests.conftest import SF001
     dd = device_day(spark, SF001)
     a = feat.trailing_features(dd, EVENT_METRICS, unique_days=True)
-    b = feat.trailing_features(dd, EVENT_METRICS, unique_days=False)
+    b = feat.trailing_features(dd, EVENT_METRICS, hot_rows=5)      # a mix of hot and cold devices
     cols = [c for c in a.columns if c.startswith("window_")]
     key = ["serial_number", "dt"]
 
@@ -124,3 +128,17 @@ def test_one_window_one_exchange_no_python(spark):
     full = feat.build_features(dd, EVENTS_SPEC, unique_days=True)
     plan = full._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
+
+
+def test_hot_and_cold_devices_agree_on_peers(spark):
+    from failcast.sources.standins import supplier_days
+    from tests.conftest import SF001
+    sd = supplier_days(spark, SF001).select("model", "serial_number", "dt", "l_tax")
+
+    def canon(df):
+        return sorted((r.serial_number, r.dt, r.l_tax) + tuple(
+            None if r[c] is None else round(r[c], 9) for c in ("window_7_range_l_tax", "window_7_std_l_tax"))
+            for r in df.collect())
+    cold = canon(feat.trailing_features(sd, ["l_tax"]))
+    hot = canon(feat.trailing_features(sd, ["l_tax"], hot_rows=0))
+    assert cold == hot and len(cold) == sd.count()
