@@ -2,8 +2,9 @@
 
 The driver only loops over rounds; each round is Spark work: a hash-ordered draw
 (``failcast.operators.sampling``), one distributed tree-ensemble fit, and one pass
-scoring the majority class. The running majority score is checkpointed every round
-so lineage stays one round deep and a lost executor recomputes at most one round.
+scoring the majority class. The running majority score is written to the shared
+checkpoint folder every round, so lineage stays one round deep and a lost executor
+recomputes at most one round.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from failcast.functions.expressions import hash_order
 from failcast.operators import sampling as smp
 from failcast.schema import NON_FEATURE_COLUMNS
-from failcast.sources.telemetry import shared_dir
+from failcast.sources.telemetry import materialize
 
 MISSING = -1.0
 
@@ -126,11 +127,9 @@ class SelfPacedEnsemble:
         return est.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}") \
             .setFeaturesCol(self.features_col).setLabelCol(self.label_col)
 
-    def _cut(self, df: DataFrame) -> DataFrame:
-        if not self.checkpoint:
-            return df
-        shared_dir(df.sparkSession)  # make sure a shared checkpoint folder is set
-        return df.checkpoint(eager=True)
+    def _cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the round's frame to the shared folder and continue from it (lineage one round deep)."""
+        return materialize(df, name) if self.checkpoint else df
 
     def _fit_member(self, i: int, train: DataFrame):
         """One learner on the round's draw (about 2 x minority rows). The draw is persisted
@@ -144,14 +143,16 @@ class SelfPacedEnsemble:
 
     def fit(self, df: DataFrame) -> SelfPacedEnsembleModel:
         y = self.label_col
-        data = self._cut(df.select(*self.id_cols, y, self.features_col).withColumn(y, F.col(y).cast("double")))
+        data = self._cut(df.select(*self.id_cols, y, self.features_col).withColumn(y, F.col(y).cast("double")),
+                         "spe-input")
         maj = data.filter(F.col(y) == 0)
         mino = data.filter(F.col(y) == 1)
 
         members = []
         train = smp.undersample_random(maj, mino, self._order(0))
         members.append(self._fit_member(0, train))
-        maj_p = self._cut(members[0].transform(maj).select(*maj.columns, _positive_prob("_prob0").alias("p")))
+        maj_p = self._cut(members[0].transform(maj).select(*maj.columns, _positive_prob("_prob0").alias("p")),
+                          "spe-round-0")
 
         for i in range(1, self.n_estimators):
             train = smp.undersample_self_paced(maj_p, mino, self._order(i), i, self.n_estimators, self.k_bins,
@@ -160,7 +161,8 @@ class SelfPacedEnsemble:
             new_p = _positive_prob(f"_prob{i}")
             n = float(len(members))
             maj_p = self._cut(members[-1].transform(maj_p)
-                              .select(*maj.columns, ((F.col("p") * (n - 1) + new_p) / n).alias("p")))
+                              .select(*maj.columns, ((F.col("p") * (n - 1) + new_p) / n).alias("p")),
+                              f"spe-round-{i}")
         return SelfPacedEnsembleModel(members)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,11 +209,15 @@ def write_importance(importance: DataFrame, path: str) -> None:
     importance.coalesce(1).write.mode("overwrite").json(path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from the written copy.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a parquet table under the shared checkpoint folder and continue
+    from the written copy.
 
     For inputs of multi-pass operators (quota draws, curve metrics, ensemble rounds): the
-    upstream plan runs once instead of once per pass, plans stay small, and a lost
-    executor re-reads the copy instead of recomputing the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    upstream plan runs once instead of once per pass (an eager ``checkpoint()`` of an
+    uncached plan would run it twice), plans stay small, later reads prune columns, and
+    a lost executor re-reads the copy instead of recomputing the lineage."""
+    spark = df.sparkSession
+    path = shared_dir(spark, "materialized", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
