@@ -89,7 +89,7 @@ def threshold_sweep(scored: DataFrame, first_faults: DataFrame, thresholds, peri
 def sweep_around(center: float, below: float = 0.01, above: float = 0.03, n: int = 9) -> list:
     """Evenly spaced thresholds ``[center - below, center + above]`` (n points)."""
     step = (below + above) / (n - 1)
-    return [round(center - below + i * step, 12) for i in range(n)]
+    return [(center - below) + i * step for i in range(n)]
 
 
 # --- ranking curves -----------------------------------------------------------

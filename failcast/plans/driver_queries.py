@@ -274,6 +274,15 @@ def q_threshold_sweep(spark, sf):
     return _doubles_rounded(out)
 
 
+@query("best_f1_sweep")
+def q_best_f1_sweep(spark, sf):
+    """Best day-level F1 threshold on the test days, then the alert-level sweep around it."""
+    from failcast.plans.evaluation import sweep_around_best
+    test = materialize(_test_scores(spark, sf))
+    out = sweep_around_best(test, event_fault_tags(spark, sf), S.TEST, S.HORIZON, score_col="p")
+    return _doubles_rounded(out)
+
+
 @query("pr_curve")
 def q_pr_curve(spark, sf):
     return _doubles_rounded(met.pr_curve(scored_once(spark, sf), "p"))

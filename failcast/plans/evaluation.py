@@ -31,3 +31,16 @@ def alert_metrics_at(scored: DataFrame, faults: DataFrame, period, threshold: fl
                      lead_days: int = HORIZON_DAYS, keys=EVAL_KEYS, score_col: str = "probability") -> DataFrame:
     first_alerts = alr.first_alerts(alr.threshold_alerts(scored, score_col, threshold), keys)
     return met.alert_metrics(first_alerts, lab.first_faults(faults, keys), period, lead_days, keys)
+
+
+def sweep_around_best(scored: DataFrame, faults: DataFrame, period, lead_days: int = HORIZON_DAYS,
+                      keys=EVAL_KEYS, score_col: str = "probability", label_col: str = "label",
+                      below: float = 0.01, above: float = 0.03, n: int = 9) -> DataFrame:
+    """The best-F1 threshold of the day-level PR curve, then alert-level metrics for ``n``
+    thresholds from ``best - below`` to ``best + above`` (one small action for the best
+    threshold, one job for the whole sweep)."""
+    best = met.best_f1_threshold(scored, score_col, label_col).first()
+    if best is None:
+        raise ValueError("no precision-recall point with a defined F1")
+    return alert_report(scored, faults, period, met.sweep_around(best.threshold, below, above, n), lead_days,
+                        keys, score_col)

@@ -242,6 +242,19 @@ ORACLE["threshold_sweep"] = with_(
       "(SELECT count(*) FROM ff JOIN fa USING (model, serial_number) WHERE fa.threshold = t.threshold "
       f"AND ff.{FT_PERIOD} AND ff.fault_time >= fa.dt) AS ntpr FROM t") + prf_select("c", "threshold, ")
 
+def curve_ctes(src: str = "sc") -> dict:
+    return dict(
+        cnt=f"SELECT p AS threshold, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg "
+            f"FROM {src} GROUP BY p",
+        cum="SELECT threshold, pos, neg, "
+            "CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp, "
+            "CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp, "
+            "(SELECT CAST(sum(pos) AS BIGINT) FROM cnt) AS P, (SELECT CAST(sum(neg) AS BIGINT) FROM cnt) AS N FROM cnt",
+        pts="SELECT threshold, tp, fp, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / P AS recall, "
+            "coalesce(CAST(tp - pos AS DOUBLE) / nullif(tp - pos + fp - neg, 0), 1.0) AS p_prev, "
+            "CAST(tp - pos AS DOUBLE) / P AS r_prev FROM cum WHERE tp - pos < P")
+
+
 CURVE = dict(
     SCORED,
     cnt="SELECT p AS threshold, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg "
@@ -340,3 +353,23 @@ ORACLE["doc_pr_curve"] = with_(**DOC_CURVE) + (
 ORACLE["doc_roc_auc"] = with_(**DOC_CURVE) + (
     "SELECT round(sum((CAST(fp AS DOUBLE) / N - CAST(fp - neg AS DOUBLE) / N) * "
     "(CAST(tp AS DOUBLE) / P + CAST(tp - pos AS DOUBLE) / P) / 2.0), 6) AS roc_auc FROM cum")
+
+
+_STEP = (0.01 + 0.03) / 8
+ORACLE["best_f1_sweep"] = with_(
+    **EVAL,
+    tsc=f"SELECT * FROM sc WHERE {TEST_RANGE}",
+    **curve_ctes("tsc"),
+    best="SELECT threshold AS best FROM (SELECT threshold, 2.0 * precision * recall / nullif(precision + recall, 0) "
+         "AS f1 FROM pts) WHERE f1 IS NOT NULL ORDER BY f1 DESC, threshold ASC LIMIT 1",
+    t="SELECT (best - CAST(0.01 AS DOUBLE)) + i * CAST(" + repr(_STEP) + " AS DOUBLE) AS threshold "
+      "FROM best, range(9) r(i)",
+    fa="SELECT t.threshold, model, serial_number, min(dt) AS dt FROM tsc JOIN t ON tsc.p > t.threshold "
+       "GROUP BY t.threshold, model, serial_number",
+    c="SELECT t.threshold, "
+      "(SELECT count(*) FROM fa WHERE fa.threshold = t.threshold) AS npp, "
+      "(SELECT count(*) FROM fa JOIN ff USING (model, serial_number) WHERE fa.threshold = t.threshold "
+      f"AND ff.fault_time - {S.HORIZON} <= fa.dt) AS ntpp, "
+      f"(SELECT count(*) FROM ff WHERE {FT_PERIOD}) AS npr, "
+      "(SELECT count(*) FROM ff JOIN fa USING (model, serial_number) WHERE fa.threshold = t.threshold "
+      f"AND ff.{FT_PERIOD} AND ff.fault_time >= fa.dt) AS ntpr FROM t") + prf_select("c", "round(threshold, 6) AS threshold, ")

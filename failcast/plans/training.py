@@ -71,8 +71,3 @@ def train(spark: SparkSession, features: DataFrame, faults: DataFrame, cfg: Trai
                                 k_bins=cfg.k_bins, seed=cfg.seed)
     model = spe.fit(featurizer.transform(cohort))
     return featurizer, model, labelled
-
-
-def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """Both class counts in one job (one row per label)."""
-    return df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -195,15 +194,6 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("header", False).csv(path))
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for os-level checks in tests."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
-
-
 def write_importance(importance: DataFrame, path: str) -> None:
     """Feature importance (feature, importance) as JSON lines; the table is one row per feature."""
     importance.coalesce(1).write.mode("overwrite").json(path)
