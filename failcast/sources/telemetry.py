@@ -34,22 +34,34 @@ def _day_token(day) -> str:
     return str(day).replace("-", "")[:8]
 
 
+def _header_of(jvm, fs, p) -> tuple:
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        header = reader.readLine() or ""
+    finally:
+        reader.close()
+    return tuple(h.strip().strip('"') for h in header.split(","))
+
+
 def csv_header_groups(spark: SparkSession, path: str, since=None, until=None,
-                      name_day_token: int | None = None) -> dict:
+                      name_day_token: int | None = None, threads: int = 32, assume_header=None) -> dict:
     """CSV files under ``path`` grouped by their header line.
 
     Only metadata is touched: the file listing and the first line of each file (one
-    short read per file, no data rows). Day folders (``day=yyyyMMdd``) outside
-    ``[since, until)`` are skipped before any file is opened; so are files whose name
-    carries the day as its ``name_day_token``-th ``_``-separated token (e.g. 4 for
-    ``a_b_c_d_20180823.csv``) when that day is out of range.
+    short read per file, no data rows, ``threads`` reads in flight). Day folders
+    (``day=yyyyMMdd``) outside ``[since, until)`` are skipped before any file is opened;
+    so are files whose name carries the day as its ``name_day_token``-th ``_``-separated
+    token (e.g. 4 for ``a_b_c_d_20180823.csv``) when that day is out of range. With
+    ``assume_header`` no file is opened: every listed file is put under that header.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     lo = _day_token(since) if since is not None else None
     hi = _day_token(until) if until is not None else None
-    groups: dict = {}
+    files = []
     it = fs.listFiles(root, True)
     while it.hasNext():
         p = it.next().getPath()
@@ -62,21 +74,28 @@ def csv_header_groups(spark: SparkSession, path: str, since=None, until=None,
             day = tokens[name_day_token][:8] if len(tokens) > name_day_token else None
         if day is not None and ((lo and day < lo) or (hi and day >= hi)):
             continue
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
-        try:
-            header = reader.readLine() or ""
-        finally:
-            reader.close()
-        key = tuple(h.strip().strip('"') for h in header.split(","))
-        groups.setdefault(key, []).append(p.toString())
+        files.append(p)
+    if assume_header is not None:
+        return {tuple(assume_header): [p.toString() for p in files]} if files else {}
+    groups: dict = {}
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(files)))) as pool:
+        for p, key in zip(files, pool.map(lambda f: _header_of(jvm, fs, f), files)):
+            groups.setdefault(key, []).append(p.toString())
     return groups
 
 
 def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=None, fmt: str = "csv",
-                  layout: str = "flat", name_day_token: int | None = None) -> DataFrame:
-    """The text layer: ``columns`` projected by header name from every file (see ``read_telemetry``)."""
-    if fmt == "csv":
-        groups = csv_header_groups(spark, path, since, until, name_day_token)
+                  layout: str = "flat", name_day_token: int | None = None, match_headers: bool = True) -> DataFrame:
+    """The text layer: ``columns`` projected by header name from every file (see ``read_telemetry``).
+
+    ``match_headers=False`` is for producers that guarantee one header layout equal to
+    ``columns``: no file is opened up front and Spark checks each file's header as it
+    reads it (``enforceSchema=false`` fails on a mismatch instead of misreading)."""
+    if fmt != "csv":
+        parts = [spark.read.format(fmt).load(path)]
+    else:
+        groups = csv_header_groups(spark, path, since, until, name_day_token,
+                                   assume_header=None if match_headers else columns)
         parts = []
         for header, files in groups.items():
             missing = [c for c in columns if c not in header]
@@ -86,14 +105,12 @@ def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=Non
             if layout == "by_day":
                 schema = schema.add("day", "string")
             reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            src = path if len(groups) == 1 and name_day_token is None else files
-            if layout == "by_day" and len(groups) > 1:
+            whole_dir = len(groups) == 1 and name_day_token is None
+            if layout == "by_day" and not whole_dir:
                 reader = reader.option("basePath", path)
-            parts.append(reader.csv(src))
+            parts.append(reader.csv(path if whole_dir else files))
         if not parts:
             raise FileNotFoundError(f"no CSV files under {path}")
-    else:
-        parts = [spark.read.format(fmt).load(path)]
     if layout == "by_day":
         bounded = []
         for raw in parts:
@@ -112,7 +129,7 @@ def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=Non
 def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, until=None,
                    day_format: str = "yyyyMMdd", metric_pattern: str = "smart",
                    fmt: str = "csv", layout: str = "flat", day_col: str = "dt",
-                   name_day_token: int | None = None) -> DataFrame:
+                   name_day_token: int | None = None, match_headers: bool = True) -> DataFrame:
     """Daily telemetry dumps -> typed device-day rows.
 
     CSV columns are matched to ``columns`` **by header name**: files are grouped by
@@ -129,7 +146,7 @@ def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, unt
     layout the day bound also sits below any later window.
     """
     columns = list(columns or TELEMETRY_COLUMNS)
-    raw = raw_telemetry(spark, path, columns, since, until, fmt, layout, name_day_token)
+    raw = raw_telemetry(spark, path, columns, since, until, fmt, layout, name_day_token, match_headers)
     df = raw.withColumn(day_col, parse_day(day_col, day_format))
     df = cast_metrics(df, [c for c in columns if metric_pattern in c])
     df = df.filter(F.col(day_col).isNotNull())

@@ -69,3 +69,19 @@ def test_file_name_day_pruning(spark, tmp_path):
     df = read_telemetry(spark, str(p), columns=["serial_number", "manufacturer", "model", "dt", "m_x"],
                         since="2018-08-23", metric_pattern="m_", name_day_token=4)
     assert sorted(str(r.dt) for r in df.collect()) == ["2018-08-23", "2018-09-01"]
+
+
+def test_trusted_single_header_layout(spark, tmp_path):
+    import pytest
+    from failcast.sources.telemetry import read_telemetry
+    cols = ["serial_number", "manufacturer", "model", "dt", "m_x"]
+    p = tmp_path / "logs"
+    p.mkdir()
+    (p / "a.csv").write_text("serial_number,manufacturer,model,dt,m_x\ns1,A,1,20240101,2\n")
+    df = read_telemetry(spark, str(p), columns=cols, metric_pattern="m_", match_headers=False)
+    assert [r.m_x for r in df.collect()] == [2.0]
+    (p / "b.csv").write_text("dt,serial_number,manufacturer,model,m_x\n20240102,s1,A,1,3\n")
+    with pytest.raises(Exception):   # a different layout is refused, never misread
+        read_telemetry(spark, str(p), columns=cols, metric_pattern="m_", match_headers=False).collect()
+    both = read_telemetry(spark, str(p), columns=cols, metric_pattern="m_")   # sniffed: matched by name
+    assert sorted(r.m_x for r in both.collect()) == [2.0, 3.0]
