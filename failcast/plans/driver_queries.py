@@ -475,3 +475,12 @@ def q_doc_pr_curve(spark, sf):
 def q_doc_roc_auc(spark, sf):
     from failcast.sources.standins import scored_documents
     return _doubles_rounded(met.roc_auc(materialize(scored_documents(spark, sf))))
+
+
+@query("smart_recipe")
+def q_smart_recipe(spark, sf):
+    """The reference recipe itself (SMART column lists, constants, 66 model inputs) over
+    SMART-shaped days derived from line items; same-day lines are peers."""
+    from failcast.schema import SMART_SPEC
+    from failcast.sources.standins import smart_telemetry
+    return _doubles_rounded(feat.build_features(smart_telemetry(spark, sf), SMART_SPEC))

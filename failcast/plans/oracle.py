@@ -373,3 +373,18 @@ ORACLE["best_f1_sweep"] = with_(
       f"(SELECT count(*) FROM ff WHERE {FT_PERIOD}) AS npr, "
       "(SELECT count(*) FROM ff JOIN fa USING (model, serial_number) WHERE fa.threshold = t.threshold "
       f"AND ff.{FT_PERIOD} AND ff.fault_time >= fa.dt) AS ntpr FROM t") + prf_select("c", "round(threshold, 6) AS threshold, ")
+
+
+from failcast.schema import SMART_SPEC, TELEMETRY_COLUMNS  # noqa: E402
+
+SMART_METRICS = [c for c in TELEMETRY_COLUMNS if "smart" in c]
+SMART_SRC = ("SELECT 'disk_' || CAST(l_suppkey AS VARCHAR) AS serial_number, 'A' AS manufacturer, "
+             "CAST(l_suppkey % 2 + 1 AS VARCHAR) AS model, CAST(l_shipdate AS DATE) AS dt, "
+             + ", ".join(f"CASE WHEN l_linenumber <> {j % 7 + 1} THEN l_quantity * CAST({float(j % 5 + 1)!r} AS DOUBLE) "
+                         f"+ l_discount * CAST({100.0 * (j % 3)!r} AS DOUBLE) + l_tax * CAST({100.0 * (j % 7)!r} AS DOUBLE) "
+                         f"END AS {m}" for j, m in enumerate(SMART_METRICS)) + " FROM lineitem")
+_SM = features_ctes(SMART_SPEC, SMART_METRICS, SMART_SRC, KEYS)
+ORACLE["smart_recipe"] = with_(**_SM) + (
+    f"SELECT {KEYS}, " + ", ".join(
+        f"round({c}, 6) + 0.0 AS {c}" for c in SMART_METRICS + SMART_SPEC.window_names() + ["anomaly_sum"]
+        + SMART_SPEC.pair_names()) + " FROM f3")

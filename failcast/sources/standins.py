@@ -86,3 +86,22 @@ def scored_documents(spark: SparkSession, sf_dir: str, label_col: str = "quality
     labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col(label_col).alias("label"))
     docs = load_table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("probability"))
     return labels.join(docs, "doc_id")
+
+
+def smart_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMART-shaped telemetry derived from ``lineitem`` by a fixed rule, to run the real
+    recipe (its column lists and constants) on volume data: suppliers are disks, ship days
+    are days, and the j-th of the 29 metrics is ``quantity * (j % 5 + 1) + discount * 100
+    * (j % 3) + tax * 100 * (j % 7)``, NULL on lines whose number is ``j % 7 + 1``."""
+    from failcast.schema import TELEMETRY_COLUMNS
+
+    li = load_table(spark, sf_dir, "lineitem")
+    metrics = [c for c in TELEMETRY_COLUMNS if "smart" in c]
+    cols = [F.concat(F.lit("disk_"), F.col("l_suppkey").cast("string")).alias("serial_number"),
+            F.lit("A").alias("manufacturer"), (F.col("l_suppkey") % 2 + 1).cast("string").alias("model"),
+            F.col("l_shipdate").cast("date").alias("dt")]
+    for j, m in enumerate(metrics):
+        v = (F.col("l_quantity") * F.lit(float(j % 5 + 1)) + F.col("l_discount") * F.lit(100.0 * (j % 3))
+             + F.col("l_tax") * F.lit(100.0 * (j % 7)))
+        cols.append(F.when(F.col("l_linenumber") != F.lit(j % 7 + 1), v).alias(m))
+    return li.select(*cols)
