@@ -15,6 +15,40 @@ from failcast.functions.expressions import hash_order
 from failcast.operators.labels import time_range
 
 HASH = "_h"
+REPLICATE_CHUNK = 100_000
+
+
+def content_key(cols) -> Column:
+    """A 128-bit fingerprint of a row's content (two differently seeded 64-bit hashes):
+    a deterministic tie-break between rows that share an order key."""
+    cols = [F.col(c) for c in cols]
+    return F.concat_ws(":", F.xxhash64(F.lit(1), *cols).cast("string"), F.xxhash64(F.lit(2), *cols).cast("string"))
+
+
+def _take_lowest_entries(slice_df: DataFrame, cols, need, order_col: str, group_col: str | None = None,
+                         chunk: int = REPLICATE_CHUNK) -> DataFrame:
+    """Keep, per group, the ``need`` rows of ``slice_df`` lowest in (``order_col``, content).
+
+    Rows first collapse to distinct contents with their multiplicity (map-side combined,
+    so thousands of copies of one row never gather in one task); the entries are ranked
+    and each kept entry is emitted as many times as it is kept, in chunks of at most
+    ``chunk`` rows spread over tasks. Copies are interchangeable, so this equals ranking
+    the rows themselves. ``need`` is a Column (per group, or a scalar subquery)."""
+    grp = [group_col] if group_col else []
+    aggs = [F.count(F.lit(1)).alias("_m"), F.first(F.struct(*cols)).alias("_row")]
+    if group_col:
+        aggs.append(F.first(need).alias("_need"))   # constant within a group
+        need = F.col("_need")
+    entries = slice_df.groupBy(*grp, order_col, content_key(cols).alias("_ck")).agg(*aggs)
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*grp).orderBy(order_col, "_ck")
+                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keep = F.least(F.greatest(need - before, F.lit(0)), F.col("_m"))
+    kept = entries.select("_ck", "_row", keep.alias("_keep")).filter(F.col("_keep") > 0)
+    chunks = (kept.select("_ck", "_row", "_keep",
+                          F.explode(F.sequence(F.lit(0), F.floor((F.col("_keep") - 1) / chunk))).alias("_chunk"))
+              .repartition("_ck", "_chunk"))
+    n = F.least(F.lit(chunk), F.col("_keep") - F.col("_chunk") * chunk)
+    return chunks.select("_row", F.explode(F.sequence(F.lit(1), n)).alias("_i")).select("_row.*")
 
 
 def sample_per_group(df: DataFrame, keys, k: int, seed, order_cols) -> DataFrame:
@@ -22,9 +56,10 @@ def sample_per_group(df: DataFrame, keys, k: int, seed, order_cols) -> DataFrame
 
     ``k`` is a literal, so Catalyst adds a partial ``WindowGroupLimit`` before the
     shuffle: each map task forwards at most ``k`` rows per group, and a hot group
-    never arrives whole at one reducer.
+    never arrives whole at one reducer. Rows sharing the hash (same identity) are
+    ordered by their content, so the choice never depends on partition layout.
     """
-    w = Window.partitionBy(*keys).orderBy(hash_order(*order_cols, seed=seed))
+    w = Window.partitionBy(*keys).orderBy(hash_order(*order_cols, seed=seed), content_key(df.columns))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= int(k)).drop("_rn")
 
 
@@ -119,8 +154,10 @@ def draw_by_quota(df: DataFrame, quotas: DataFrame, group_col: str, order_col: s
     ``16**prefix_len`` ordered sub-buckets; per (group, sub-bucket) counts are prefix-
     summed, which finds for each group the one boundary sub-bucket where the quota runs
     out. Rows below it are kept by a filter, rows above it dropped, and only rows of the
-    boundary sub-bucket (about size / 16**prefix_len of a group) are ranked. Same rows as
-    ``row_number() OVER (PARTITION BY group ORDER BY key) <= quota``.
+    boundary sub-bucket (about size / 16**prefix_len of a group) are ranked, as distinct
+    contents with counts (``_take_lowest_entries``), so copies sharing a key stay
+    distributed. Same rows as ``row_number() OVER (PARTITION BY group ORDER BY key,
+    content) <= quota``.
     """
     q = F.broadcast(quotas.select(group_col, F.col("quota").cast("long").alias("_quota")))
     sub = F.substring(F.col(order_col), 1, prefix_len)
@@ -133,13 +170,11 @@ def draw_by_quota(df: DataFrame, quotas: DataFrame, group_col: str, order_col: s
     edge = F.broadcast(edge.select(group_col, F.col("_sub").alias("_bsub"),
                                    (F.col("_quota") - F.col("_before")).alias("_need")))
 
+    cols = df.columns
     live = df.join(q, group_col).filter(F.col("_quota") > 0).join(edge, group_col, "left")
-    whole = live.filter(F.col("_bsub").isNull() | (sub < F.col("_bsub")))
-    w = Window.partitionBy(group_col).orderBy(order_col)
-    part = (live.filter(sub == F.col("_bsub"))
-            .withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= F.col("_need")).drop("_rn"))
-    return whole.unionByName(part).drop("_quota", "_bsub", "_need")
+    whole = live.filter(F.col("_bsub").isNull() | (sub < F.col("_bsub"))).select(*cols)
+    part = _take_lowest_entries(live.filter(sub == F.col("_bsub")), cols, F.col("_need"), order_col, group_col)
+    return whole.unionByName(part)
 
 
 def draw_lowest(df: DataFrame, n: Column, order_col: str = HASH, prefix_len: int = 4) -> DataFrame:
@@ -148,7 +183,8 @@ def draw_lowest(df: DataFrame, n: Column, order_col: str = HASH, prefix_len: int
     Single-group form of ``draw_by_quota``: per sub-bucket counts (at most
     ``16**prefix_len`` rows) are prefix-summed, the boundary sub-bucket and the number
     still needed from it are scalar subqueries, rows below it pass a filter and only the
-    boundary slice is ranked. Same rows as ``row_number() OVER (ORDER BY key) <= n``."""
+    boundary slice is ranked (as distinct contents with counts). Same rows as
+    ``row_number() OVER (ORDER BY key, content) <= n``."""
     sub = F.substring(F.col(order_col), 1, prefix_len)
     counts = df.groupBy(sub.alias("_sub")).agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)),
@@ -159,9 +195,7 @@ def draw_lowest(df: DataFrame, n: Column, order_col: str = HASH, prefix_len: int
             .scalar())
     live = df.filter(n > 0)
     whole = live.filter(edge.isNull() | (sub < edge["sub"]))
-    part = (live.filter(sub == edge["sub"])
-            .withColumn("_rn", F.row_number().over(Window.orderBy(order_col)))  # the boundary slice only
-            .filter(F.col("_rn") <= edge["need"]).drop("_rn"))
+    part = _take_lowest_entries(live.filter(sub == edge["sub"]), df.columns, edge["need"], order_col)
     return whole.unionByName(part)
 
 

@@ -93,3 +93,28 @@ def test_cohort_leak_guard(spark):
     assert loose.filter("label = 1").count() == 12       # days 14..25 (after-fault days included)
     assert tight.filter("label = 1").count() == 1        # only day 14 is before the train end
     assert loose.filter("label = 0").count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 150, 2500, 4000])
+def test_draw_with_massive_copies(spark, n):
+    """A third of the rows are copies of one row, and identities repeat with different
+    content: the draw equals ranking by (key, content) and never ranks the copies one by one."""
+    base = [(i % 50, float(i % 7)) for i in range(3000)] + [(7, 1.0)] * 1500
+    df = spark.createDataFrame(base, "g long, v double").withColumn("_h", hash_order("g", seed=2))
+    got = smp.draw_lowest(df, F.lit(n), prefix_len=1)
+    ck = smp.content_key(df.columns)
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("_h", ck))).filter(F.col("rn") <= n)
+    assert sorted((r.g, r.v) for r in got.collect()) == sorted((r.g, r.v) for r in ref.collect())
+    dfb = df.withColumn("b", F.lit(0))
+    quotas = spark.createDataFrame([(0, n)], "b int, quota long")
+    by_group = smp.draw_by_quota(dfb, quotas, "b", prefix_len=1)
+    ref_b = dfb.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("_h", smp.content_key(dfb.columns))))
+    ref_b = ref_b.filter(F.col("rn") <= n)
+    assert sorted((r.g, r.v) for r in by_group.collect()) == sorted((r.g, r.v) for r in ref_b.collect())
+
+
+def test_replication_in_chunks(spark):
+    df = spark.createDataFrame([(1, 2.0)] * 25 + [(2, 3.0)] * 4, "g long, v double").withColumn("_h", F.lit("0"))
+    out = smp._take_lowest_entries(df, df.columns, F.lit(27), "_h", chunk=4).collect()
+    assert len(out) == 27
+    assert sorted(set((r.g, r.v) for r in out)) == [(1, 2.0), (2, 3.0)]
