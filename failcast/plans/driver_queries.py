@@ -449,7 +449,7 @@ def q_stream_first_alerts(spark, sf):
     src = f"{base}/src"
     write_daily_csv(dd.filter(F.col("dt") < F.lit(S.VAL[0]).cast("date")), src)
     stream = DailyAlertStream(spark, src, f"{base}/work", _range_score, columns=cols, spec=EVENTS_SPEC,
-                              threshold=S.SWEEP[4], metric_pattern="m_")
+                              threshold=S.SWEEP[4], metric_pattern="m_", unique_days=True)
     stream.start().awaitTermination()
     write_daily_csv(dd.filter(F.col("dt") >= F.lit(S.VAL[0]).cast("date")), src, mode="append")
     stream.start().awaitTermination()
