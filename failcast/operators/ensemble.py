@@ -147,6 +147,8 @@ class SelfPacedEnsemble:
                          "spe-input")
         maj = data.filter(F.col(y) == 0)
         mino = data.filter(F.col(y) == 1)
+        if not mino.take(1) or not maj.take(1):
+            raise ValueError("self-paced ensemble needs rows of both classes (label 0 and label 1)")
 
         members = []
         train = smp.undersample_random(maj, mino, self._order(0))

@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts]) if parts else base
 
 
+def _as_day(df: DataFrame, col: str, day_format: str = "yyyyMMdd"):
+    """A DATE column from text (parsed with ``day_format``, bad text -> NULL), a timestamp
+    (its date) or a date (as is)."""
+    kind = df.schema[col].dataType.typeName()
+    if kind == "string":
+        return parse_day(col, day_format)
+    return F.col(col).cast("date")
+
+
 def _day_token(day) -> str:
     return str(day).replace("-", "")[:8]
 
@@ -147,7 +156,7 @@ def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, unt
     """
     columns = list(columns or TELEMETRY_COLUMNS)
     raw = raw_telemetry(spark, path, columns, since, until, fmt, layout, name_day_token, match_headers)
-    df = raw.withColumn(day_col, parse_day(day_col, day_format))
+    df = raw.withColumn(day_col, _as_day(raw, day_col, day_format))
     df = cast_metrics(df, [c for c in columns if metric_pattern in c])
     df = df.filter(F.col(day_col).isNotNull())
     if since is not None:
@@ -179,7 +188,9 @@ def read_faults(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         raw = spark.read.schema(FAULT_RAW_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    text = F.col("fault_time").cast("string")
+    if raw.schema["fault_time"].dataType.typeName() != "string":
+        return raw.withColumn("fault_time", F.col("fault_time").cast("date"))
+    text = F.col("fault_time")
     ft = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyyMMdd"))
     return raw.withColumn("fault_time", ft)
 

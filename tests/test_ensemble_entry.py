@@ -85,3 +85,30 @@ def test_trusted_single_header_layout(spark, tmp_path):
         read_telemetry(spark, str(p), columns=cols, metric_pattern="m_", match_headers=False).collect()
     both = read_telemetry(spark, str(p), columns=cols, metric_pattern="m_")   # sniffed: matched by name
     assert sorted(r.m_x for r in both.collect()) == [2.0, 3.0]
+
+
+def test_typed_sources(spark, tmp_path):
+    import datetime as dt
+    from failcast.sources.telemetry import read_faults, read_telemetry
+    p = str(tmp_path / "logs")
+    spark.createDataFrame([("s1", "A", "1", dt.date(2024, 1, 2), 1.5)],
+                          "serial_number string, manufacturer string, model string, dt date, m_x double") \
+        .write.parquet(p)
+    got = read_telemetry(spark, p, columns=["serial_number", "manufacturer", "model", "dt", "m_x"],
+                         metric_pattern="m_", fmt="parquet").collect()
+    assert [(r.dt, r.m_x) for r in got] == [(dt.date(2024, 1, 2), 1.5)]
+    f = str(tmp_path / "faults")
+    spark.createDataFrame([("A", "1", "s1", dt.datetime(2024, 1, 5, 13, 0))],
+                          "manufacturer string, model string, serial_number string, fault_time timestamp") \
+        .write.parquet(f)
+    assert read_faults(spark, f, fmt="parquet").first().fault_time == dt.date(2024, 1, 5)
+
+
+def test_ensemble_needs_both_classes(spark):
+    import pytest
+    from pyspark.ml.linalg import Vectors
+    from failcast.operators import ensemble as ens
+    df = spark.createDataFrame([("s", "1", "2024-01-01", 0, Vectors.dense([1.0]))],
+                               "serial_number string, model string, dt string, label int, features vector")
+    with pytest.raises(ValueError):
+        ens.SelfPacedEnsemble(n_estimators=2).fit(df)
