@@ -106,9 +106,12 @@ def test_typed_sources(spark, tmp_path):
 
 def test_ensemble_needs_both_classes(spark):
     import pytest
-    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
     from failcast.operators import ensemble as ens
-    df = spark.createDataFrame([("s", "1", "2024-01-01", 0, Vectors.dense([1.0]))],
-                               "serial_number string, model string, dt string, label int, features vector")
+    schema = T.StructType([T.StructField("serial_number", T.StringType()), T.StructField("model", T.StringType()),
+                           T.StructField("dt", T.StringType()), T.StructField("label", T.IntegerType()),
+                           T.StructField("features", VectorUDT())])
+    df = spark.createDataFrame([("s", "1", "2024-01-01", 0, Vectors.dense([1.0]))], schema)
     with pytest.raises(ValueError):
         ens.SelfPacedEnsemble(n_estimators=2).fit(df)
