@@ -147,7 +147,8 @@ class SelfPacedEnsemble:
                          "spe-input")
         maj = data.filter(F.col(y) == 0)
         mino = data.filter(F.col(y) == 1)
-        if not mino.take(1) or not maj.take(1):
+        counts = data.agg(F.count_if(F.col(y) == 0).alias("maj"), F.count_if(F.col(y) == 1).alias("mino")).first()
+        if not counts.maj or not counts.mino:
             raise ValueError("self-paced ensemble needs rows of both classes (label 0 and label 1)")
 
         members = []
@@ -160,6 +161,8 @@ class SelfPacedEnsemble:
             train = smp.undersample_self_paced(maj_p, mino, self._order(i), i, self.n_estimators, self.k_bins,
                                                score_col="p", label_col=y, hardness_fn=self.hardness_fn)
             members.append(self._fit_member(i, train.drop("p", "hardness", "bin")))
+            if i == self.n_estimators - 1:
+                break  # the majority score is only needed to pace a next round
             new_p = _positive_prob(f"_prob{i}")
             n = float(len(members))
             maj_p = self._cut(members[-1].transform(maj_p)
