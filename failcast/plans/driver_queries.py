@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failcast.functions.expressions import day_number, hash_order, log2p1, month_key, parse_day
+from failcast.functions.expressions import hash_order, month_key, parse_day
 from failcast.operators import features as feat
 from failcast.operators import alerts as alr
 from failcast.operators import ensemble as ens

@@ -5,7 +5,8 @@ from __future__ import annotations
 from itertools import combinations
 
 from failcast.plans import scenario as S
-from failcast.sources.standins import EVENT_METRICS, EVENT_TYPES, EVENTS_SPEC
+from failcast.schema import SMART_SPEC, TELEMETRY_COLUMNS
+from failcast.sources.standins import EVENT_METRICS, EVENT_TYPES, EVENTS_SPEC, LINEITEM_METRICS, LINEITEM_SPEC
 
 ORACLE: dict = {}
 
@@ -334,8 +335,6 @@ ORACLE["stream_first_alerts"] = with_(
 
 # --- other supplied tables --------------------------------------------------------
 
-from failcast.sources.standins import LINEITEM_METRICS, LINEITEM_SPEC  # noqa: E402
-
 LI_KEYS = "l_orderkey, l_linenumber, serial_number, manufacturer, model, dt"
 LI_SRC = ("SELECT l_orderkey, l_linenumber, l_suppkey AS serial_number, 'A' AS manufacturer, "
           "l_suppkey % 2 + 1 AS model, CAST(l_shipdate AS DATE) AS dt, "
@@ -377,8 +376,6 @@ ORACLE["best_f1_sweep"] = with_(
       f"AND ff.{FT_PERIOD} AND ff.fault_time >= fa.dt) AS ntpr FROM t") + prf_select("c", "round(threshold, 6) AS threshold, ")
 
 
-from failcast.schema import SMART_SPEC, TELEMETRY_COLUMNS  # noqa: E402
-
 SMART_METRICS = [c for c in TELEMETRY_COLUMNS if "smart" in c]
 SMART_SRC = ("SELECT 'disk_' || CAST(l_suppkey AS VARCHAR) AS serial_number, 'A' AS manufacturer, "
              "CAST(l_suppkey % 2 + 1 AS VARCHAR) AS model, CAST(l_shipdate AS DATE) AS dt, "
