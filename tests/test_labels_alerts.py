@@ -91,3 +91,26 @@ def test_first_alert_order(spark):
                                "manufacturer string, model string, serial_number string, dt date")
     out = alr.order_alerts(alr.first_alerts(df)).collect()
     assert [(r.serial_number, r.dt) for r in out] == [("disk_9", D - dt.timedelta(days=1)), ("disk_10", D)]
+
+
+def test_threshold_schedule_decays_linearly(spark):
+    df = spark.createDataFrame([(D,), (D + dt.timedelta(days=15),), (D + dt.timedelta(days=30),)], "dt date")
+    got = [round(r.thresh, 9) for r in alr.threshold_schedule(df, 0.8, 0.5, str(D), 30).orderBy("dt").collect()]
+    assert got == [0.8, 0.65, 0.5]
+    flat = {r.thresh for r in alr.threshold_schedule(df, 0.715, 0.715, str(D)).collect()}
+    assert flat == {0.715}
+
+
+def test_sweep_spacing():
+    ts = met.sweep_around(0.5)
+    assert len(ts) == 9 and abs(ts[0] - 0.49) < 1e-12 and abs(ts[-1] - 0.53) < 1e-12
+
+
+def test_feature_cache_needs_complete_write(spark, tmp_path):
+    from failcast.sources.telemetry import read_features, write_features
+    path = str(tmp_path / "cache")
+    assert read_features(spark, path) is None
+    df = spark.createDataFrame([("s", D, 1.0)], "serial_number string, dt date, x double")
+    write_features(df, path)
+    back = read_features(spark, path).collect()
+    assert [(r.serial_number, r.month, r.x) for r in back] == [("s", "2024-03", 1.0)]
