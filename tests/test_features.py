@@ -142,3 +142,11 @@ def test_hot_and_cold_devices_agree_on_peers(spark):
     cold = canon(feat.trailing_features(sd, ["l_tax"]))
     hot = canon(feat.trailing_features(sd, ["l_tax"], hot_rows=0))
     assert cold == hot and len(cold) == sd.count()
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_all_null_frame(spark, path):
+    df = frame(spark, [("a", "1", 1, 2.0), ("a", "1", 20, None), ("a", "1", 21, None), ("b", "1", 1, None)])
+    out = {(r.serial_number, r.dt): r for r in feat.trailing_features(df, ["x"], **path).collect()}
+    assert out[("a", day(21))].window_7_range_x is None and out[("a", day(21))].window_7_std_x is None
+    assert out[("b", day(1))].window_7_range_x is None and out[("b", day(1))].window_7_std_x is None
