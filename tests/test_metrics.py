@@ -87,3 +87,17 @@ def test_prefix_sum_is_layout_independent(spark):
     assert outs[0] == outs[1] == outs[2]
     values = sorted(outs[0], key=lambda t: -t[0])
     assert [c for _, c in values] == list(range(1, 501))
+
+
+def test_degenerate_inputs(spark):
+    same = spark.createDataFrame([(0.3, 1), (0.3, 0)], "probability double, label int")
+    assert [(r.bin, r.n_rows) for r in met.score_histogram(same).collect()] == [(0, 2)]
+    no_pos = spark.createDataFrame([(0.1, 0), (0.7, 0)], "probability double, label int")
+    assert met.pr_curve(no_pos).count() == 0
+    assert met.pr_auc(no_pos).first()[0] is None
+    assert met.roc_auc(no_pos).first()[0] is None
+    r = met.precision_at_n(no_pos).first()
+    assert r.n_pred == 0 and r.precision == 0.0
+    no_neg = spark.createDataFrame([(0.1, 1), (0.7, 1)], "probability double, label int")
+    assert met.roc_auc(no_neg).first()[0] is None
+    assert met.pr_auc(no_neg).first()[0] == pytest.approx(1.0)
