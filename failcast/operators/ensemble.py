@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from failcast.functions.expressions import hash_order
 from failcast.operators import sampling as smp
 from failcast.schema import NON_FEATURE_COLUMNS
-from failcast.sources.telemetry import materialize
+from failcast.scratch import materialize
 
 MISSING = -1.0
 

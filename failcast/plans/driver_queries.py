@@ -21,8 +21,9 @@ from failcast.operators import sampling as smp
 from failcast.plans import scenario as S
 from failcast.schema import ALERT_SCHEMA
 from failcast.sources.standins import EVENT_METRICS, EVENTS_SPEC, device_day, event_fault_tags, load_table
+from failcast.scratch import materialize, shared_dir
 from failcast.sources.telemetry import (
-    materialize, read_faults, read_features, read_telemetry, shared_dir, write_alerts, write_daily_csv,
+    read_faults, read_features, read_telemetry, write_alerts, write_daily_csv,
     write_features, write_importance,
 )
 

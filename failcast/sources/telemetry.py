@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +10,6 @@ from failcast.operators.features import cast_metrics
 from failcast.schema import ALERT_SCHEMA, FAULT_RAW_SCHEMA, TELEMETRY_COLUMNS, telemetry_raw_schema
 
 
-def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A folder under the cluster's shared checkpoint directory.
-
-    Read from the session (``spark.checkpoint.dir`` / the context's checkpoint dir); only
-    when none is set (tests, a bare local session) a fresh one is created and registered.
-    """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="failcast-ckpt-")
-        sc.setCheckpointDir(base)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    base = sc.getCheckpointDir() or base
-    return "/".join([base.rstrip("/"), *parts]) if parts else base
-
-
 def _as_day(df: DataFrame, col: str, day_format: str = "yyyyMMdd"):
     """A DATE column from text (parsed with ``day_format``, bad text -> NULL), a timestamp
     (its date) or a date (as is)."""
@@ -225,17 +205,3 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
 def write_importance(importance: DataFrame, path: str) -> None:
     """Feature importance (feature, importance) as JSON lines; the table is one row per feature."""
     importance.coalesce(1).write.mode("overwrite").json(path)
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as a parquet table under the shared checkpoint folder and continue
-    from the written copy.
-
-    For inputs of multi-pass operators (quota draws, curve metrics, ensemble rounds): the
-    upstream plan runs once instead of once per pass (an eager ``checkpoint()`` of an
-    uncached plan would run it twice), plans stay small, later reads prune columns, and
-    a lost executor re-reads the copy instead of recomputing the lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, "materialized", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

@@ -8,7 +8,8 @@ from failcast.operators import metrics as met
 from failcast.plans import evaluation, scoring, training
 from failcast.schema import ALERT_SCHEMA
 from failcast.sources.standins import EVENTS_SPEC, device_day, event_fault_tags
-from failcast.sources.telemetry import shared_dir, write_daily_csv
+from failcast.scratch import shared_dir
+from failcast.sources.telemetry import write_daily_csv
 from tests.conftest import SF01
 
 

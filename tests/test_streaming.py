@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from failcast.operators import alerts as alr
 from failcast.operators import features as feat
 from failcast.sources.standins import EVENTS_SPEC, device_day
-from failcast.sources.telemetry import shared_dir, write_daily_csv
+from failcast.scratch import shared_dir
+from failcast.sources.telemetry import write_daily_csv
 from failcast.streaming import DailyAlertStream
 from tests.conftest import SF001
 
