@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failcast.llm import bpe
+from failcast.llm import bpe, mixing, quality, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_curriculum_mix(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op5_url_rules(spark, sf_dir):
+    return url_rules.page_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op7_line_field_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op10_bpe_round_trip,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_curriculum_mix, op5_url_rules, op7_line_field_quality, op10_bpe_round_trip)}
+ORACLE: dict[str, str] = {"op4_curriculum_mix": mixing.mixed_sql(), "op5_url_rules": url_rules.page_verdicts_sql()}
