@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failcast.llm import bpe, mixing, quality, url_rules
+from failcast.llm import bpe, jaccard, licenses, mixing, quality, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_license_diagonals(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_curriculum_mix(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_url_rules(spark, sf_dir):
     return url_rules.page_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op6_adaptive_jaccard(spark, sf_dir):
+    return jaccard.link_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op7_line_field_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -35,5 +43,6 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_curriculum_mix, op5_url_rules, op7_line_field_quality, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_license_diagonals, op4_curriculum_mix, op5_url_rules, op6_adaptive_jaccard,
+                                    op7_line_field_quality, op10_bpe_round_trip)}
 ORACLE: dict[str, str] = {"op4_curriculum_mix": mixing.mixed_sql(), "op5_url_rules": url_rules.page_verdicts_sql()}
