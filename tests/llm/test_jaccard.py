@@ -1,0 +1,87 @@
+import random
+import re
+
+import pytest
+
+from failcast.llm import jaccard as J
+from failcast.llm.components import components
+from tests.conftest import SF001
+
+
+def shingles(text, k):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def united(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def brute(rows, k, percent):
+    """rows: (id, text) -> {(id, n, component)} by comparing all pairs."""
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    links = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if a is not None and b is not None and s and t
+             and 100 * len(s & t) >= percent * len(s | t)]
+    of = united({i for i, _ in rows if i is not None}, links)
+    return sorted(((i, len(s), of.get(i)) for i, s in sets), key=str)
+
+
+def got(spark, rows, k, percent):
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, token string")
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.link_components(docs, k, percent).collect()), key=str)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(50, 90)]
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + chain + [(200, i) for i in range(201, 230)] + [(5, 5), (7, None)]
+    want = united({n for ab in links for n in ab if n is not None}, [ab for ab in links if None not in ab])
+    linked = {n for a, b in links if a != b and None not in (a, b) for n in (a, b)}
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == {n: want[n] for n in linked} and len(found) == len(linked)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("seed,k,percent", [(1, 3, 90), (2, 5, 80), (3, 2, 60), (4, 1, 70)])
+def test_random_texts(spark, seed, k, percent):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)] + ["The", "of"] * 10
+    rows, texts = [], [[rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 8, 20, 60]))] for _ in range(40)]
+    for i in range(220):
+        t = list(rng.choice(texts))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+            if t:
+                t[rng.randrange(len(t))] = rng.choice(words)
+        if rng.random() < 0.3:
+            texts.append(t)
+        if rng.random() < 0.3:
+            t = texts[0] + ["shared", "passage", "in", "many", "texts"] * 2 + t
+        rows.append((1000 - i, " ".join(t)))
+    assert got(spark, rows, k, percent) == brute(rows, k, percent)
+
+
+def test_edge_rows(spark):
+    rows = [(None, "a b c d"), (1, "a b c d"), (2, "A  b\nC d"), (2, "A  b\nC d"), (3, None), (4, ""), (5, " \n"), (6, "a b"), (7, "a b"), (8, "a  B"),
+            (9, "a"), (10, "x y z q r s"), (10, "l m n o p q"), (11, "l m n o p q"), (12, "x y z q r s"), (13, "k " * 50000)]
+    assert got(spark, rows, 3, 90) == brute(rows, 3, 90)
+    assert got(spark, [], 3, 90) == [] and got(spark, [(1, None)], 3, 90) == [(1, 0, 1)]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_shingles int")
+    kept = J.one_of_each(docs, 3, 90)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, 1, 3, 4, 5, 6, 9, 10, 13], key=str)
+
+
+def test_documents(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert got(spark, rows, 3, 90) == brute(rows, 3, 90)
