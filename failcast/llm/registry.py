@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failcast.llm import bpe, jaccard, licenses, mixing, quality, url_rules
+from failcast.llm import bpe, embeddings, jaccard, licenses, mixing, quality, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_license_diagonals(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_p_stable_neighbours(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_curriculum_mix(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_license_diagonals, op4_curriculum_mix, op5_url_rules, op6_adaptive_jaccard,
+QUERIES = {f.__name__: f for f in (op2_license_diagonals, op3_p_stable_neighbours, op4_curriculum_mix, op5_url_rules, op6_adaptive_jaccard,
                                     op7_line_field_quality, op10_bpe_round_trip)}
 ORACLE: dict[str, str] = {"op4_curriculum_mix": mixing.mixed_sql(), "op5_url_rules": url_rules.page_verdicts_sql()}
