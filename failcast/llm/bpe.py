@@ -13,6 +13,7 @@ never before an apostrophe or inside a character. Strings of added tokens stay w
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from failcast.llm.words import BLOCK_BYTES, text_bytes
 
 #: Fragments whose ids a Python worker remembers; it starts afresh beyond that.
-CACHED_FRAGMENTS = 200_000
+CACHED_FRAGMENTS = 300_000
 
 
 @lru_cache(maxsize=1)
@@ -59,6 +60,11 @@ class Fragments:
             b = np.frombuffer(token, np.uint8)
             inside[b[:-1], b[1:]] = True
         self.token_bytes |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        spelled = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.lengths = np.array([len(x) for x in spelled])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.char_of = {b: c for c, b in chars.items()}
         self.cut = ~inside
         self.cut[: 0x21] = self.cut[0x7F] = False  # white space and control bytes
         for last in (*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF):  # last bytes of other white space
@@ -94,16 +100,29 @@ class Fragments:
         if len(known) + len(new) > CACHED_FRAGMENTS:
             known.clear()
             new = list(set(pieces))
-        if new:
-            for piece, got in zip(new, self.library.encode_batch([p.decode() for p in new], add_special_tokens=False)):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
+        for piece in new:
+            known[piece] = array("I", self.ids_of(piece)).tobytes()
         ids = [known[p] for p in pieces]
         edge = np.searchsorted(places, offsets).tolist()
         return [b"".join(ids[a:b]) for a, b in zip(edge, edge[1:])]
 
+    def ids_of(self, piece: bytes) -> list[int]:
+        """Ids of one fragment by the library: by its BPE model alone where the fragment is plainly one
+        pre-token (at most one space, then Latin letters), else by the whole tokenizer."""
+        text = piece.decode()
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha() and max(word) < "\u0250":
+            return [t.id for t in self.library.model.tokenize(piece.decode("latin-1").translate(self.char_of))]
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def decode(self, ids: bytes) -> str:
-        table = self.token_bytes
-        return b"".join([table.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        """All tokens' bytes at once, gathered from the vocabulary's."""
+        which = np.frombuffer(ids, "<u4")
+        which = which[which < len(self.lengths)]
+        length = self.lengths[which]
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[which] - ends + length, length)
+        return self.spelled[at].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
