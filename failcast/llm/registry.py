@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failcast.llm import bpe, embeddings, jaccard, licenses, mixing, passages, quality, url_rules
+from failcast.llm import bpe, embeddings, jaccard, licenses, line_templates, mixing, passages, quality, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_line_field_quality(spark, sf_dir):
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_line_templates(spark, sf_dir):
+    return line_templates.cleaned(table(spark, sf_dir, "documents"))
+
+
 def op9_repeated_passages(spark, sf_dir):
     return passages.removed(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,6 @@ def op10_bpe_round_trip(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op2_license_diagonals, op3_p_stable_neighbours, op4_curriculum_mix, op5_url_rules, op6_adaptive_jaccard,
-                                    op7_line_field_quality, op9_repeated_passages, op10_bpe_round_trip)}
-ORACLE: dict[str, str] = {"op4_curriculum_mix": mixing.mixed_sql(), "op5_url_rules": url_rules.page_verdicts_sql()}
+                                    op7_line_field_quality, op8_line_templates, op9_repeated_passages, op10_bpe_round_trip)}
+ORACLE: dict[str, str] = {"op4_curriculum_mix": mixing.mixed_sql(), "op5_url_rules": url_rules.page_verdicts_sql(),
+                          "op8_line_templates": line_templates.cleaned_sql()}
