@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failcast.llm import bpe, embeddings, jaccard, licenses, line_templates, mixing, passages, quality, url_rules
+from failcast.llm import bpe, embeddings, hpylm, jaccard, licenses, line_templates, mixing, passages, quality, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pitman_yor_scores(spark, sf_dir):
+    return hpylm.document_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_license_diagonals(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_license_diagonals, op3_p_stable_neighbours, op4_curriculum_mix, op5_url_rules, op6_adaptive_jaccard,
+QUERIES = {f.__name__: f for f in (op1_pitman_yor_scores, op2_license_diagonals, op3_p_stable_neighbours, op4_curriculum_mix, op5_url_rules, op6_adaptive_jaccard,
                                     op7_line_field_quality, op8_line_templates, op9_repeated_passages, op10_bpe_round_trip)}
 ORACLE: dict[str, str] = {"op4_curriculum_mix": mixing.mixed_sql(), "op5_url_rules": url_rules.page_verdicts_sql(),
                           "op8_line_templates": line_templates.cleaned_sql()}
