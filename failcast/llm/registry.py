@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from failcast.llm import bpe, embeddings, hpylm, jaccard, licenses, line_templates, mixing, passages, quality, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder. Texts can be long, so Arrow batches are kept to few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", corpus_pipeline.ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op1_pitman_yor_scores(spark, sf_dir):
     return hpylm.document_scores(table(spark, sf_dir, "documents"))
 
@@ -56,10 +52,11 @@ def op9_repeated_passages(spark, sf_dir):
 
 
 def op10_bpe_round_trip(spark, sf_dir):
-    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
 
 
 QUERIES = {f.__name__: f for f in (op1_pitman_yor_scores, op2_license_diagonals, op3_p_stable_neighbours, op4_curriculum_mix, op5_url_rules, op6_adaptive_jaccard,
                                     op7_line_field_quality, op8_line_templates, op9_repeated_passages, op10_bpe_round_trip)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op4_curriculum_mix": mixing.mixed_sql(), "op5_url_rules": url_rules.page_verdicts_sql(),
                           "op8_line_templates": line_templates.cleaned_sql()}
