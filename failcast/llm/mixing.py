@@ -173,7 +173,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     made = assign(docs.select("doc_id", "source", "text"))
     out = made.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("times_started"),
                       F.round(F.array_min("positions"), 9).alias("first_position"))
-    return out.repartitionByRange("first_position").sortWithinPartitions("first_position")
+    return out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 def mixed_sql() -> str:
