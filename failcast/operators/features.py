@@ -43,51 +43,40 @@ def _row_window_columns(cols, keys, day_col, days, range_name, std_name) -> list
     return out
 
 
-HOT_ROWS = 1_000_000
-
-
 def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_col: str = "dt",
                       days: int = 7, unique_days: bool = False, prefix: str | None = None,
-                      num_partitions: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """Trailing calendar-window range (max - min) and sample stddev per metric.
 
     Frame: the same device, days ``[d - days, d]`` by calendar (gaps allowed); rows on
-    the same day are peers and see each other. Adds ``<prefix>range_<c>`` and
-    ``<prefix>std_<c>``.
+    the same day are peers and see each other; a NULL key is a device of its own. Adds
+    ``<prefix>range_<c>`` and ``<prefix>std_<c>``, in the order of the input's columns.
 
     ``unique_days=True`` asserts one row per (keys, day) (e.g. a daily roll-up): one
     Window over the rows, one shuffle, per-task size bounded by the calendar span.
-
-    Otherwise (default) the input is not trusted to be evenly spread: devices are
-    counted (map-side combined), and devices with more than ``hot_rows`` rows - at most
-    ``rows / hot_rows`` of them, so the list is broadcast with a proven bound - take the
-    skew-safe path of ``daily_trailing_features``, while all other devices use the plain
-    Window (a RANGE frame already treats same-day rows as peers). Both paths are exact;
-    with no hot device the hot branch is empty and the plan costs one shuffle of rows.
+    Otherwise (default) nothing is assumed about how rows spread over devices and days:
+    see ``daily_trailing_features``. It reads the input twice, so write an expensive
+    input first (``failcast.scratch.materialize``).
 
     ``num_partitions`` pre-partitions the rows by the device keys into that many
     partitions; the window's clustering requirement is then already met, so that
     repartition is the only shuffle (the default leaves the count to AQE).
     """
     keys = list(keys)
+    wanted = set(cols)
+    cols = [c for c in df.columns if c in wanted]
     prefix = prefix if prefix is not None else f"window_{days}_"
     if num_partitions:
         df = df.repartition(int(num_partitions), *keys)
+    if not unique_days:
+        return daily_trailing_features(df, cols, keys, day_col, days, prefix)
     names = (lambda c: f"{prefix}range_{c}", lambda c: f"{prefix}std_{c}")
-    if unique_days:
-        return df.select("*", *_row_window_columns(cols, keys, day_col, days, *names))
-
-    hot = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-                      .filter(F.col("_rows") > hot_rows).select(*keys))
-    cold_rows = df.join(hot, keys, "left_anti").select(*df.columns)
-    hot_rows_df = df.join(hot, keys, "left_semi").select(*df.columns)
-    cold = cold_rows.select("*", *_row_window_columns(cols, keys, day_col, days, *names))
-    return cold.unionByName(daily_trailing_features(hot_rows_df, cols, keys, day_col, days, prefix))
+    return df.select("*", *_row_window_columns(cols, keys, day_col, days, *names))
 
 
 def daily_trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_col: str = "dt",
                             days: int = 7, prefix: str | None = None) -> DataFrame:
-    """``trailing_features`` for devices or days holding a huge share of the rows.
+    """``trailing_features`` however the rows spread over devices and days.
 
     Rows are first reduced to one summary per (keys, day) with map-side partial
     aggregation, so a hot device or day never lands whole in one task; the window runs
