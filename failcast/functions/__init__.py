@@ -1,3 +1,3 @@
 from failcast.functions.expressions import (  # noqa: F401
-    day_number, fraction, hash_order, log2p1, month_key, parse_day, safe_ratio, weighted_total,
+    day_number, hash_order, log2p1, month_key, parse_day, weighted_total,
 )

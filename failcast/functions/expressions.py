@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def parse_day(col, fmt: str = "yyyyMMdd") -> Column:
-    """Text day -> DATE; malformed, short or NULL text gives NULL instead of failing."""
-    return F.try_to_date(F.col(col) if isinstance(col, str) else col, fmt)
+    """Text day -> DATE from its first ``len(fmt)`` characters (a time part behind the day is
+    ignored); malformed, short or NULL text gives NULL instead of failing."""
+    text = F.col(col) if isinstance(col, str) else col
+    return F.try_to_date(F.substring(text, 1, len(fmt)), fmt)
 
 
 def month_key(col) -> Column:
@@ -34,16 +36,6 @@ def weighted_total(weights: dict) -> Column:
     return reduce(add, [F.col(c) / F.lit(float(w)) for c, w in weights.items()])
 
 
-def safe_ratio(num, den, eps: float) -> Column:
-    """num / (den + eps), as the alert metrics define precision and recall."""
-    return num / (den + F.lit(eps))
-
-
-def fraction(num, den) -> Column:
-    """num / den with 0 / 0 -> NULL (ANSI-safe)."""
-    return F.try_divide(num, den)
-
-
 def hash_order(*cols, seed=None) -> Column:
     """Deterministic pseudo-random order key: md5 over the row's text form.
 

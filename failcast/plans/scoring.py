@@ -10,7 +10,8 @@ from failcast.operators import alerts as alr
 from failcast.operators import ensemble as ens
 from failcast.operators import features as feat
 from failcast.operators.labels import time_range
-from failcast.schema import ALERT_KEYS, SCORE_THRESHOLD, SMART_SPEC, FeatureSpec
+from failcast.schema import ALERT_KEYS, ALERT_SCHEMA, SCORE_THRESHOLD, SMART_SPEC, FeatureSpec
+from failcast.scratch import materialize
 from failcast.sources.telemetry import read_telemetry, write_alerts
 
 
@@ -36,12 +37,16 @@ def run(spark: SparkSession, logs_path: str, featurizer, model, score_from: str,
         lo: float = SCORE_THRESHOLD, columns=None, metric_pattern: str = "smart",
         unique_days: bool = False, name_day_token: int | None = None) -> DataFrame:
     """The batch job: read only the look-back the windows need, build features, score,
-    keep the first alert per device, and optionally write the alert file."""
+    keep the first alert per device, and optionally write the alert file.
+
+    The typed telemetry is written once where the windows read it twice; with ``out_path`` the
+    result is the written alert table, so using it repeats nothing."""
     since = look_back_start(score_from, spec.window_days)
     logs = read_telemetry(spark, logs_path, columns=columns, since=since, layout=layout,
                           metric_pattern=metric_pattern, name_day_token=name_day_token)
-    features = feat.build_features(logs, spec, unique_days=unique_days)
+    features = feat.build_features(logs if unique_days else materialize(logs, "telemetry"), spec, unique_days=unique_days)
     alerts = alerts_from_scores(score_days(features, featurizer, model, score_from, hi, lo))
-    if out_path:
-        write_alerts(alerts, out_path)
-    return alerts
+    if not out_path:
+        return alerts
+    write_alerts(alerts, out_path)
+    return alr.order_alerts(spark.read.schema(ALERT_SCHEMA).option("header", False).csv(out_path))

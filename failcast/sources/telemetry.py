@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from failcast.functions.expressions import month_key, parse_day
@@ -94,10 +94,9 @@ def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=Non
             if layout == "by_day":
                 schema = schema.add("day", "string")
             reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            whole_dir = len(groups) == 1 and name_day_token is None
-            if layout == "by_day" and not whole_dir:
+            if layout == "by_day":
                 reader = reader.option("basePath", path)
-            parts.append(reader.csv(path if whole_dir else files))
+            parts.append(reader.csv(sorted(files)))  # exactly the files listed, subfolders included
         if not parts:
             raise FileNotFoundError(f"no CSV files under {path}")
     if layout == "by_day":
@@ -118,15 +117,18 @@ def raw_telemetry(spark: SparkSession, path: str, columns, since=None, until=Non
 def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, until=None,
                    day_format: str = "yyyyMMdd", metric_pattern: str = "smart",
                    fmt: str = "csv", layout: str = "flat", day_col: str = "dt",
-                   name_day_token: int | None = None, match_headers: bool = True) -> DataFrame:
+                   name_day_token: int | None = None, match_headers: bool = True,
+                   rejected: Observation | None = None) -> DataFrame:
     """Daily telemetry dumps -> typed device-day rows.
 
     CSV columns are matched to ``columns`` **by header name**: files are grouped by
     header (``csv_header_groups``); each group is one relation read in its own column
-    order and projected by name, and groups are combined with ``unionByName`` (one
-    relation over the directory in the usual one-header case). Metrics are cast with
+    order and projected by name, and groups are combined with ``unionByName``. Metrics are cast with
     ``try_cast``, the day parsed with ``try_to_date``; rows whose day does not parse
-    are dropped (``count_rejected_days`` reports them).
+    are dropped and counted: an ``Observation`` passed as ``rejected`` has ``rejected_days``
+    after any action on the result, from the same pass (``count_rejected_days`` reads
+    the files for the count alone). Files in subfolders are read as well, whatever the
+    number of header layouts.
 
     ``layout='by_day'`` reads dumps stored one folder per day (``day=yyyyMMdd``, see
     ``write_daily_csv``): ``since``/``until`` then become partition filters and whole
@@ -138,6 +140,8 @@ def read_telemetry(spark: SparkSession, path: str, columns=None, since=None, unt
     raw = raw_telemetry(spark, path, columns, since, until, fmt, layout, name_day_token, match_headers)
     df = raw.withColumn(day_col, _as_day(raw, day_col, day_format))
     df = cast_metrics(df, [c for c in columns if metric_pattern in c])
+    if rejected is not None:
+        df = df.observe(rejected, F.count_if(F.col(day_col).isNull()).alias("rejected_days"))
     df = df.filter(F.col(day_col).isNotNull())
     if since is not None:
         df = df.filter(F.col(day_col) >= F.lit(since).cast("date"))
@@ -163,16 +167,17 @@ def count_rejected_days(spark: SparkSession, path: str, columns=None, day_format
 
 
 def read_faults(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Fault log with ``fault_time`` as DATE (accepts yyyy-MM-dd or yyyyMMdd text)."""
-    if fmt == "csv":
-        raw = spark.read.schema(FAULT_RAW_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
-    else:
-        raw = spark.read.format(fmt).load(path)
+    """Fault log: ``manufacturer, model, serial_number`` and ``fault_time`` as DATE, taken by name.
+
+    Other columns and any column order are accepted, and files of several layouts may lie
+    together. The time may be yyyy-MM-dd or yyyyMMdd text, with or without a time part,
+    or a date or timestamp; text of another form gives NULL.
+    """
+    names = [f.name for f in FAULT_RAW_SCHEMA.fields]
+    raw = raw_telemetry(spark, path, names) if fmt == "csv" else spark.read.format(fmt).load(path).select(*names)
     if raw.schema["fault_time"].dataType.typeName() != "string":
         return raw.withColumn("fault_time", F.col("fault_time").cast("date"))
-    text = F.col("fault_time")
-    ft = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyyMMdd"))
-    return raw.withColumn("fault_time", ft)
+    return raw.withColumn("fault_time", F.coalesce(parse_day("fault_time", "yyyy-MM-dd"), parse_day("fault_time", "yyyyMMdd")))
 
 
 def write_features(df: DataFrame, path: str, day_col: str = "dt") -> None:
@@ -190,16 +195,17 @@ def read_features(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
-def write_alerts(alerts: DataFrame, path: str) -> None:
+def write_alerts(alerts: DataFrame, path: str, single_file: bool = False) -> None:
     """Headerless CSV ``manufacturer,model,serial_number,dt`` ordered by day then serial.
 
-    The alert set is one row per device (already reduced), so one output file is cheap.
+    The part files hold consecutive ranges: read in the order of their names they are the
+    ordered alert list. ``single_file`` writes one file in one task, for small fleets.
     """
     cols = [f.name for f in ALERT_SCHEMA.fields]
-    (alerts.select(*[F.col(c).cast(t.dataType) for c, t in zip(cols, ALERT_SCHEMA.fields)])
-     .orderBy("dt", "serial_number")
-     .coalesce(1)
-     .write.mode("overwrite").option("header", False).csv(path))
+    rows = alerts.select(*[F.col(c).cast(t.dataType) for c, t in zip(cols, ALERT_SCHEMA.fields)])
+    order = ["dt", "serial_number", "model", "manufacturer"]
+    rows = rows.repartition(1) if single_file else rows.repartitionByRange(*order)
+    rows.sortWithinPartitions(*order).write.mode("overwrite").option("header", False).csv(path)
 
 
 def write_importance(importance: DataFrame, path: str) -> None:
