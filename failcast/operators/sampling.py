@@ -1,4 +1,4 @@
-"""Reproducible thinning and imbalance-aware under-sampling, all as DataFrame plans.
+"""Reproducible thinning and imbalance-aware under-sampling.
 
 Randomness is a hash of the row's identity (``md5``), never ``rand()``, so the same
 rows are drawn under any partition layout and by the SQL oracle.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from failcast.functions.expressions import hash_order
 from failcast.operators.labels import time_range
+from failcast.scratch import materialize
 
 HASH = "_h"
 REPLICATE_CHUNK = 100_000
@@ -99,15 +100,27 @@ def hardness(df: DataFrame, score_col: str = "p", label_col: str = "label", fn=N
     return df.withColumn(out, fn(F.col(label_col).cast("double"), F.col(score_col)))
 
 
+def _bin_of(h: Column, lo, hi, k: int) -> Column:
+    """Number of the last edge ``lo + i * step`` (i < k) that ``h`` reaches; NULL for a NULL or NaN ``h``.
+
+    The division only finds the neighbourhood, the edges decide, so a value that equals an
+    edge is in the bin that begins there. A range too small for k steps is one bin."""
+    step = (hi - lo) / F.lit(float(k))
+    guess = F.least(F.floor(F.try_divide(h - lo, step)), F.lit(k - 1))
+    reached = lambda i: h >= lo + i.cast("double") * step
+    fixed = F.when(~reached(guess), guess - 1).when((guess < k - 1) & reached(guess + 1), guess + 1).otherwise(guess)
+    bins = F.when((hi == lo) | (step == 0), F.lit(0)).otherwise(F.greatest(fixed, F.lit(0)))
+    return F.when(h.isNotNull() & ~F.isnan(h), bins).cast("int")
+
+
 def hardness_bins(df: DataFrame, k: int, h_col: str = "hardness", out: str = "bin") -> DataFrame:
     """``k`` equal-width bins between the min and max hardness; the max falls in the last
-    bin. When all hardness values are equal every row is in bin 0 (the random path).
+    bin. When all hardness values are equal every row is in bin 0 (the random path). A row
+    without a hardness is in no bin (NULL), so no draw takes it.
     The bounds are one scalar subquery (a struct), so the plan stays lazy."""
-    bounds = df.agg(F.struct(F.min(h_col).alias("lo"), F.max(h_col).alias("hi")).alias("b")).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / F.lit(float(k))
-    b = F.least(F.floor((F.col(h_col) - lo) / step), F.lit(k - 1)).cast("int")
-    return df.withColumn(out, F.when(hi == lo, F.lit(0)).otherwise(b))
+    known = F.when(~F.isnan(h_col), F.col(h_col))
+    bounds = df.agg(F.struct(F.min(known).alias("lo"), F.max(known).alias("hi")).alias("b")).scalar()
+    return df.withColumn(out, _bin_of(F.col(h_col), bounds["lo"], bounds["hi"], k))
 
 
 def pace(i: int, n: int) -> float:
@@ -199,23 +212,78 @@ def draw_lowest(df: DataFrame, n: Column, order_col: str = HASH, prefix_len: int
     return whole.unionByName(part)
 
 
+def _digits(rows: int) -> int:
+    """Hex digits of the order key that cut ``rows`` rows into slices of about a thousand."""
+    return min(8, max(1, math.ceil(math.log(max(rows, 1) / 1000, 16)))) if rows > 1000 else 1
+
+
+def _slice_counts(df: DataFrame, digits: int, order_col: str, group_col: str, h_col: str | None = None) -> DataFrame:
+    """Rows (and hardness) per group and slice of the order key, written once."""
+    total = [F.sum(h_col).alias("h")] if h_col else []
+    sub = F.substring(F.col(order_col), 1, digits).alias("slice")
+    return materialize(df.groupBy(group_col, sub).agg(F.count(F.lit(1)).alias("c"), *total), "slices")
+
+
+def _draw_quotas(df: DataFrame, counts: DataFrame, quotas: dict, digits: int, order_col: str, group_col: str) -> DataFrame:
+    """Per group its ``quotas[group]`` rows lowest in (order key, content), in one read of ``df``.
+
+    The slice in which a group's quota runs out is found on the slice counts; one filtered
+    read takes the rows up to it, and only that slice is ranked."""
+    wanted = F.create_map(*[x for g, q in quotas.items() for x in (F.lit(int(g)), F.lit(int(q)).cast("long"))])[F.col(group_col)]
+    before = F.sum("c").over(Window.partitionBy(group_col).orderBy("slice")) - F.col("c")
+    edges = (counts.withColumn("before", before).withColumn("quota", wanted)
+             .where("quota > before AND quota <= before + c").select(group_col, "slice", (F.col("quota") - F.col("before")).alias("need")).collect())
+    edge = {r[group_col]: (r["slice"], r.need) for r in edges}  # a row a group at most
+    whole = {g: edge.get(g, ("g" if q > 0 else "", 0)) for g, q in quotas.items()}  # 'g' is above, '' below every slice
+    of = lambda i, kind: F.create_map(*[x for g, v in whole.items() for x in (F.lit(int(g)), F.lit(v[i]).cast(kind))])[F.col(group_col)]
+    sub, last = F.substring(F.col(order_col), 1, digits), of(0, "string")
+    taken = materialize(df.where(sub <= last), "drawn")
+    below = taken.where((sub < last) | (last == "g"))
+    return below.unionByName(_take_lowest_entries(taken.where(sub == last), df.columns, of(1, "long"), order_col, group_col))
+
+
 def undersample_random(majority: DataFrame, minority: DataFrame, order: Column, n=None) -> DataFrame:
     """Cold start: draw ``min(|minority|, |majority|)`` majority rows by hash order (or ``n``),
-    label them as majority, and append the minority. Lazy: the count is a scalar subquery."""
-    n_min = minority.select(F.count(F.lit(1))).scalar() if n is None else F.lit(int(n))
-    drawn = draw_lowest(majority.withColumn(HASH, order), n_min).drop(HASH)
+    label them as majority, and append the minority. Two reads of the majority class."""
+    n_min = minority.count() if n is None else int(n)
+    df = majority.withColumn(HASH, order).withColumn("_all", F.lit(0))
+    rows = majority.count()
+    digits = _digits(rows)
+    drawn = _draw_quotas(df, _slice_counts(df, digits, HASH, "_all"), {0: n_min}, digits, HASH, "_all").drop(HASH, "_all")
     return drawn.unionByName(minority, allowMissingColumns=True)
 
 
+def paced_quotas(stats: list, n_min: int, i: int, n: int, flat: bool) -> dict:
+    """Quota per bin from at most k (bin, rows, mean hardness) tuples, as ``bin_quotas``."""
+    if flat:
+        return {b: n_min for b, _, _ in stats}
+    alpha = pace(i, n)
+    weight = {b: 1.0 if math.isinf(alpha) else 1.0 / (mean + alpha) for b, _, mean in sorted(stats)}
+    total = sum(weight.values())
+    return {b: math.floor(n_min * w / total) + 1 for b, w in weight.items()}
+
+
 def undersample_self_paced(majority: DataFrame, minority: DataFrame, order: Column, i: int, n: int, k: int,
                            score_col: str = "p", label_col: str = "label", hardness_fn=None,
                            keep_bin: bool = False) -> DataFrame:
     """One paced round: hardness -> k bins -> quotas -> exact per-bin hash draw, then the
-    minority appended. All lazy; every intermediate is a DataFrame."""
-    n_min = minority.select(F.count(F.lit(1))).scalar()
-    binned = hardness_bins(hardness(majority, score_col, label_col, hardness_fn), k)
-    quotas = bin_quotas(binned, n_min, i, n, k)
-    drawn = draw_by_quota(binned.withColumn(HASH, order), quotas.select("bin", "quota"), "bin").drop(HASH)
+    minority appended. Rows without a score are in no bin and are never drawn.
+
+    Three reads of the majority class: hardness bounds and row count; rows and hardness per
+    bin and slice of the order key; the drawn rows."""
+    scored = hardness(majority, score_col, label_col, hardness_fn).where(F.col("hardness").isNotNull() & ~F.isnan("hardness"))
+    n_min = minority.count()
+    bounds = scored.agg(F.min("hardness").alias("lo"), F.max("hardness").alias("hi"), F.count(F.lit(1)).alias("rows")).first()
+    lo, hi = bounds.lo or 0.0, bounds.hi or 0.0
+    binned = scored.withColumn("bin", _bin_of(F.col("hardness"), F.lit(lo), F.lit(hi), k)).withColumn(HASH, order)
+    digits = _digits(bounds.rows // max(1, k))
+    counts = _slice_counts(binned, digits, HASH, "bin", "hardness")
+    stats = [(r.bin, r.rows, r.mean) for r in counts.groupBy("bin").agg(F.sum("c").alias("rows"), (F.sum("h") / F.sum("c")).alias("mean")).collect()]
+    if stats:
+        quotas = paced_quotas(stats, n_min, i, n, flat=len(stats) == 1 if k >= 2 else hi == lo)
+        drawn = _draw_quotas(binned, counts, quotas, digits, HASH, "bin").drop(HASH)
+    else:
+        drawn = binned.drop(HASH)
     if not keep_bin:
         drawn = drawn.drop("bin", "hardness")
     return drawn.unionByName(minority, allowMissingColumns=True)
