@@ -1,8 +1,9 @@
 """Alert-level precision/recall/F1, threshold sweeps and ranking curves.
 
-Scalar metrics come back as one-row DataFrames (lazy; call ``.first()`` to read).
-Curves are computed over distinct scores with an exact distributed prefix sum:
-no global single-partition window over the scored rows.
+Metrics come back as DataFrames. Curves are computed over distinct scores with an exact
+distributed prefix sum: no global single-partition window over the scored rows. Building a
+curve runs one small job for the quantiles that spread the work; ``curve_metrics`` gives all
+curve metrics from one written curve. Rows whose score is NULL or NaN are left out.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from failcast.scratch import materialize
+
 EPS_COUNT = 1e-20
 EPS_F1 = 1e-10
 
@@ -88,8 +91,8 @@ def threshold_sweep(scored: DataFrame, first_faults: DataFrame, thresholds, peri
 
 def sweep_around(center: float, below: float = 0.01, above: float = 0.03, n: int = 9) -> list:
     """Evenly spaced thresholds ``[center - below, center + above]`` (n points)."""
-    step = (below + above) / (n - 1)
-    return [(center - below) + i * step for i in range(n)]
+    start, stop = center - below, center + above
+    return [start + i * ((stop - start) / (n - 1)) for i in range(n)]
 
 
 # --- ranking curves -----------------------------------------------------------
@@ -101,20 +104,6 @@ def score_counts(df: DataFrame, score_col: str = "probability", label_col: str =
             .agg(F.sum(y).alias("pos"), (F.count(F.lit(1)) - F.sum(y)).alias("neg")))
 
 
-def bucket_of(col, bounds) -> "F.Column":
-    """Number of ``bounds`` (sorted literals) strictly below ``col``: a balanced CASE tree,
-    so each row makes log2(len(bounds)) comparisons inside generated code."""
-    x = F.col(col) if isinstance(col, str) else col
-
-    def tree(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.lit(float(bounds[mid])) < x, tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds))
-
-
 def ordered_bucket(col, bounds, n_fine: int) -> "F.Column":
     """A monotone bucket id for ``col``: coarse range ``c`` (between consecutive sorted
     ``bounds``, which include the min and max) times ``n_fine``, plus an equal-width
@@ -147,10 +136,10 @@ def descending_cumsum(df: DataFrame, order_col: str, cols, n_buckets: int = 64,
     Rows (e.g. distinct scores) are cut into ordered buckets: ``n_buckets`` ranges at
     approximate quantiles (one bounded action returning ``n_buckets + 1`` numbers), each
     split into ``n_fine`` equal-width sub-ranges, so there are at most
-    ``n_buckets * n_fine`` buckets and each holds a small slice of the rows whatever the
-    score distribution. Per-bucket totals (one row per non-empty bucket, bounded by that
+    ``n_buckets * n_fine`` buckets and each usually holds a small slice of the rows. Per-bucket totals (one row per non-empty bucket, bounded by that
     product) are prefix-summed and broadcast back; each bucket then runs its own ordered
-    window. The result is exact - the bucketing only spreads the work. Adds ``cum_<c>``
+    window. Only scores crowded far closer together than 1 / (n_buckets * n_fine) of their
+    neighbourhood share buckets; raise ``n_fine`` for such data. The result is exact - the bucketing only spreads the work. Adds ``cum_<c>``
     (sum of ``c`` over rows with ``order_col >= this``) and ``all_<c>`` (the grand total).
     """
     cols = list(cols)
@@ -175,7 +164,7 @@ def descending_cumsum(df: DataFrame, order_col: str, cols, n_buckets: int = 64,
 def cumulative_counts(df: DataFrame, score_col: str = "probability", label_col: str = "label",
                       n_buckets: int = 64) -> DataFrame:
     """Per distinct score: pos, neg, tp/fp at threshold ``score >= t``, and totals P, N."""
-    counts = score_counts(df.filter(F.col(score_col).isNotNull()), score_col, label_col)
+    counts = score_counts(df.filter(F.col(score_col).isNotNull() & ~F.isnan(score_col)), score_col, label_col)
     cum = descending_cumsum(counts, "threshold", ["pos", "neg"], n_buckets)
     return cum.select("threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                       F.col("all_pos").alias("P"), F.col("all_neg").alias("N"))
@@ -259,11 +248,37 @@ def precision_at_n(df: DataFrame, score_col: str = "probability", label_col: str
                       F.coalesce(F.try_divide(F.col("tp"), F.col("n_pred")), F.lit(0.0)).alias("precision"))
 
 
+def curve_metrics(df: DataFrame, score_col: str = "probability", label_col: str = "label", n_buckets: int = 64) -> DataFrame:
+    """One row: n_rows and n_positive (with a score), pr_auc, average_precision, roc_auc and the best F1
+    point (threshold, precision, recall, f1).
+
+    ``df`` is read once: the distinct-score counts are written, the curve is built on them
+    and written, and one aggregate gives every metric. Equal F1: the lowest threshold."""
+    counts = materialize(score_counts(df.filter(F.col(score_col).isNotNull() & ~F.isnan(score_col)), score_col, label_col), "score_counts")
+    cum = materialize(descending_cumsum(counts, "threshold", ["pos", "neg"], n_buckets), "score_curve")
+    tp, fp, P, N = F.col("cum_pos"), F.col("cum_neg"), F.col("all_pos"), F.col("all_neg")
+    tp_prev, fp_prev = tp - F.col("pos"), fp - F.col("neg")
+    on_pr = tp_prev < P  # down to the first threshold with full recall
+    precision, recall = tp / (tp + fp), F.try_divide(tp, P)
+    p_prev, r_prev = F.coalesce(F.try_divide(tp_prev, tp_prev + fp_prev), F.lit(1.0)), F.try_divide(tp_prev, P)
+    f1 = F.try_divide(F.lit(2.0) * precision * recall, precision + recall)
+    roc = (F.try_divide(fp, N) - F.try_divide(fp_prev, N)) * (recall + r_prev) / F.lit(2.0)
+    point = F.struct(f1.alias("f1"), (-F.col("threshold")).alias("down"), precision.alias("precision"), recall.alias("recall"))
+    one = cum.agg(F.max(P + N).alias("n_rows"), F.max(P).alias("n_positive"), F.sum(F.when(on_pr, (recall - r_prev) * (precision + p_prev) / F.lit(2.0))).alias("pr_auc"),
+                  F.sum(F.when(on_pr, (recall - r_prev) * precision)).alias("average_precision"),
+                  F.sum(roc).alias("roc_auc"), F.max(F.when(on_pr & f1.isNotNull(), point)).alias("best"))
+    return one.select("n_rows", "n_positive", "pr_auc", "average_precision", "roc_auc", (-F.col("best.down")).alias("threshold"),
+                      F.col("best.precision").alias("precision"), F.col("best.recall").alias("recall"), F.col("best.f1").alias("f1"))
+
+
 def score_histogram(df: DataFrame, score_col: str = "probability", bins: int = 100) -> DataFrame:
-    """Counts in ``bins`` equal-width bins between the min and max score (max in the last)."""
-    bounds = df.agg(F.struct(F.min(score_col).alias("lo"), F.max(score_col).alias("hi")).alias("b")).scalar()
+    """Counts in ``bins`` equal-width bins between the min and max score (max in the last), empty bins
+    included. Rows whose score is NULL or NaN are in no bin; without any score every count is 0."""
+    known = df.filter(F.col(score_col).isNotNull() & ~F.isnan(score_col))
+    bounds = known.agg(F.struct(F.min(score_col).alias("lo"), F.max(score_col).alias("hi")).alias("b")).scalar()
     lo, hi = bounds["lo"], bounds["hi"]
-    b = F.least(F.floor((F.col(score_col) - lo) / (hi - lo) * F.lit(float(bins))), F.lit(bins - 1))
+    b = F.least(F.floor(F.try_divide(F.col(score_col) - lo, hi - lo) * F.lit(float(bins))), F.lit(bins - 1))
     b = F.when(hi == lo, F.lit(0)).otherwise(b).cast("int")
-    return (df.filter(F.col(score_col).isNotNull()).groupBy(b.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n_rows")))
+    counts = known.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))

@@ -68,13 +68,11 @@ def q_trailing_std(spark, sf):
 
 @query("trailing_peers")
 def q_trailing_peers(spark, sf):
-    """Raw event rows as telemetry: many rows per device-day, all peers in the frame.
-    Users above HOT_ROWS events take the skew-safe path (daily summaries, window, join
-    back), the others the plain window; the union is checked against one SQL window."""
+    """Raw event rows as telemetry: many rows per device-day, all peers in the frame."""
     ev = load_table(spark, sf, "events").select(
         "event_id", F.col("user_id").alias("serial_number"), (F.col("user_id") % 2 + 1).alias("model"),
         F.col("ts").cast("date").alias("dt"), "value")
-    df = feat.trailing_features(ev, ["value"], hot_rows=S.HOT_ROWS)
+    df = feat.trailing_features(ev, ["value"])
     return _doubles_rounded(df)
 
 

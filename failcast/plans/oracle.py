@@ -105,7 +105,7 @@ ORACLE["parse_day_month"] = (
     "SELECT event_id, CAST(try_strptime(strftime(ts, '%Y%m%d'), '%Y%m%d') AS DATE) AS day, "
     "strftime(CAST(try_strptime(strftime(ts, '%Y%m%d'), '%Y%m%d') AS DATE), '%Y-%m') AS month, "
     "CAST(try_strptime(substr(strftime(ts, '%Y%m%d'), 1, 4), '%Y%m%d') AS DATE) AS short_day, "
-    "CAST(try_strptime(props, '%Y%m%d') AS DATE) AS junk_day FROM events")
+    "CAST(try_strptime(substr(props, 1, 8), '%Y%m%d') AS DATE) AS junk_day FROM events")
 
 ORACLE["first_faults"] = with_(tags=TAGS) + (
     "SELECT model, serial_number, min(fault_time) AS fault_time FROM tags GROUP BY model, serial_number")
@@ -258,17 +258,7 @@ def curve_ctes(src: str = "sc") -> dict:
             "CAST(tp - pos AS DOUBLE) / P AS r_prev FROM cum WHERE tp - pos < P")
 
 
-CURVE = dict(
-    SCORED,
-    cnt="SELECT p AS threshold, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg "
-        "FROM sc GROUP BY p",
-    cum="SELECT threshold, pos, neg, "
-        "CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp, "
-        "CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp, "
-        "(SELECT CAST(sum(pos) AS BIGINT) FROM cnt) AS P, (SELECT CAST(sum(neg) AS BIGINT) FROM cnt) AS N FROM cnt",
-    pts="SELECT threshold, tp, fp, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / P AS recall, "
-        "coalesce(CAST(tp - pos AS DOUBLE) / nullif(tp - pos + fp - neg, 0), 1.0) AS p_prev, "
-        "CAST(tp - pos AS DOUBLE) / P AS r_prev FROM cum WHERE tp - pos < P")
+CURVE = dict(SCORED, **curve_ctes())
 
 ORACLE["pr_curve"] = with_(**CURVE) + (
     "SELECT round(threshold, 6) AS threshold, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall "
@@ -296,9 +286,10 @@ ORACLE["precision_at_n"] = with_(
       "CAST(coalesce(sum(label) FILTER (WHERE p > thr), 0) AS BIGINT) AS tp FROM sc, t GROUP BY thr") + (
     "SELECT round(thr, 6) AS threshold, n_pred, tp, "
     "round(CASE WHEN n_pred = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / n_pred END, 6) AS precision FROM c")
-ORACLE["score_histogram"] = with_(**SCORED, b="SELECT min(p) AS lo, max(p) AS hi FROM sc") + (
+ORACLE["score_histogram"] = with_(**SCORED, b="SELECT min(p) AS lo, max(p) AS hi FROM sc", c=(
     f"SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((p - lo) / (hi - lo) * {float(S.HIST_BINS)!r}), "
-    f"{S.HIST_BINS - 1}) END AS INTEGER) AS bin, count(*) AS n_rows FROM sc, b WHERE p IS NOT NULL GROUP BY 1")
+    f"{S.HIST_BINS - 1}) END AS INTEGER) AS bin, count(*) AS n FROM sc, b WHERE p IS NOT NULL GROUP BY 1")) + (
+    f"SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n_rows FROM range({S.HIST_BINS}) r(i) LEFT JOIN c ON c.bin = i")
 
 
 # --- sources and sinks ------------------------------------------------------------
