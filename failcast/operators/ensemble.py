@@ -1,9 +1,10 @@
 """Self-paced under-sampling ensemble of boosted trees on ``pyspark.ml``.
 
 The driver only loops over rounds; each round is Spark work: a hash-ordered draw
-(``failcast.operators.sampling``), one distributed tree-ensemble fit, and one pass
-scoring the majority class. The running majority score is written to the shared
-checkpoint folder every round, so lineage stays one round deep and a lost executor
+(``failcast.operators.sampling``), one distributed fit, and one pass scoring the majority
+class with all members so far. The input is written to the shared checkpoint folder
+once; a round writes ids, a content fingerprint and the score, never the features, and
+its predecessor's copy is deleted. Lineage stays one round deep and a lost executor
 recomputes at most one round.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from failcast.functions.expressions import hash_order
 from failcast.operators import sampling as smp
 from failcast.schema import NON_FEATURE_COLUMNS
-from failcast.scratch import materialize
+from failcast.scratch import discard, materialize
 
 MISSING = -1.0
 
@@ -86,12 +87,19 @@ class SelfPacedEnsembleModel:
             total = p if total is None else total + p
         return df.select(*cols, (total / F.lit(float(len(self.members)))).alias(out))
 
-    def save(self, path: str) -> None:
-        PipelineModel(stages=self.members).write().overwrite().save(path)
+    def save(self, path: str, featurizer: PipelineModel | None = None) -> None:
+        """The members and, when given, the fitted featurizer, as one saved model."""
+        PipelineModel(stages=[PipelineModel(stages=self.members), *([featurizer] if featurizer else [])]).write().overwrite().save(path)
 
     @classmethod
     def load(cls, path: str) -> "SelfPacedEnsembleModel":
-        return cls(PipelineModel.load(path).stages)
+        return cls.load_all(path)[0]
+
+    @classmethod
+    def load_all(cls, path: str) -> tuple["SelfPacedEnsembleModel", PipelineModel | None]:
+        """The model and the featurizer saved with it (None if it was saved without)."""
+        stages = PipelineModel.load(path).stages
+        return cls(stages[0].stages), stages[1] if len(stages) > 1 else None
 
     def feature_importance(self, spark: SparkSession, names) -> DataFrame:
         """Per feature: sum over members of the importance rounded to 3 places.
@@ -122,52 +130,73 @@ class SelfPacedEnsemble:
     def _order(self, i: int):
         return hash_order(*self.id_cols, seed=f"{self.seed}:{i}")
 
-    def _member(self, i: int):
+    def _member(self, i: int, categories: int):
         est = self.base_estimator.copy()
+        if est.hasParam("maxBins") and est.getOrDefault("maxBins") < categories:
+            est = est.setMaxBins(categories)  # trees need a bin for each category
         return est.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}") \
             .setFeaturesCol(self.features_col).setLabelCol(self.label_col)
 
     def _cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Write the round's frame to the shared folder and continue from it (lineage one round deep)."""
+        """Write a frame to the shared folder and continue from it (lineage one round deep)."""
         return materialize(df, name) if self.checkpoint else df
 
-    def _fit_member(self, i: int, train: DataFrame):
+    def _fit_member(self, i: int, train: DataFrame, categories: int):
         """One learner on the round's draw (about 2 x minority rows). The draw is persisted
         for the learner's passes and released after; it is recomputable from the
         checkpointed round input, so losing it costs one draw, not the history."""
         train = train.persist()
         try:
-            return self._member(i).fit(train)
+            return self._member(i, categories).fit(train)
         finally:
             train.unpersist()
 
+    def _with_features(self, drawn: DataFrame, data: DataFrame) -> DataFrame:
+        """The drawn rows with their features. Rows are known by their content; of a content whose copies
+        were drawn in part (at most one a bin: where its quota ran out) one copy is repeated."""
+        counts = drawn.groupBy("_content").agg(F.count(F.lit(1)).alias("_drawn"))
+        there = data.groupBy("_content").agg(F.count(F.lit(1)).alias("_there"))
+        counts = materialize(counts.join(there, "_content"), "draw")
+        whole = data.join(counts.where("_drawn = _there").select("_content"), "_content", "left_semi")
+        cols = data.columns
+        part = (data.join(counts.where("_drawn < _there").select("_content", "_drawn"), "_content")
+                .groupBy("_content", "_drawn").agg(F.first(F.struct(*cols)).alias("_row"))
+                .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_drawn"))).select("_row.*"))
+        return whole.select(*cols).unionByName(part.select(*cols))
+
     def fit(self, df: DataFrame) -> SelfPacedEnsembleModel:
         y = self.label_col
-        data = self._cut(df.select(*self.id_cols, y, self.features_col).withColumn(y, F.col(y).cast("double")),
-                         "spe-input")
+        own = [*self.id_cols, y, self.features_col]
+        content = smp.content_key([*self.id_cols, self.features_col])
+        data = self._cut(df.select(*own).withColumn(y, F.col(y).cast("double")).withColumn("_content", content), "spe-input")
+        attrs = df.schema[self.features_col].metadata.get("ml_attr", {}).get("attrs", {})
+        categories = max([0, *(len(a.get("vals", ())) for a in attrs.get("nominal", ()))])
         maj = data.filter(F.col(y) == 0)
         mino = data.filter(F.col(y) == 1)
         counts = data.agg(F.count_if(F.col(y) == 0).alias("maj"), F.count_if(F.col(y) == 1).alias("mino")).first()
         if not counts.maj or not counts.mino:
             raise ValueError("self-paced ensemble needs rows of both classes (label 0 and label 1)")
 
-        members = []
-        train = smp.undersample_random(maj, mino, self._order(0))
-        members.append(self._fit_member(0, train))
-        maj_p = self._cut(members[0].transform(maj).select(*maj.columns, _positive_prob("_prob0").alias("p")),
-                          "spe-round-0")
-
-        for i in range(1, self.n_estimators):
-            train = smp.undersample_self_paced(maj_p, mino, self._order(i), i, self.n_estimators, self.k_bins,
-                                               score_col="p", label_col=y, hardness_fn=self.hardness_fn)
-            members.append(self._fit_member(i, train.drop("p", "hardness", "bin")))
+        thin = [*self.id_cols, y, "_content"]
+        members, scores = [], None
+        for i in range(self.n_estimators):
+            # copies stand together behind their id's hash, so a draw does not depend on their order
+            order = F.concat(self._order(i), F.col("_content"))
+            if i == 0:
+                drawn = smp.undersample_random(maj.select(*thin), mino.select(*thin), order)
+            else:
+                drawn = smp.undersample_self_paced(scores, mino.select(*thin), order, i, self.n_estimators, self.k_bins,
+                                                   score_col="p", label_col=y, hardness_fn=self.hardness_fn)
+            train = self._with_features(drawn.where(F.col(y) == 0), maj).unionByName(mino)
+            members.append(self._fit_member(i, train.select(*own), categories))
             if i == self.n_estimators - 1:
                 break  # the majority score is only needed to pace a next round
-            new_p = _positive_prob(f"_prob{i}")
-            n = float(len(members))
-            maj_p = self._cut(members[-1].transform(maj_p)
-                              .select(*maj.columns, ((F.col("p") * (n - 1) + new_p) / n).alias("p")),
-                              f"spe-round-{i}")
+            before, scored = scores, SelfPacedEnsembleModel(members).transform(maj, "p")
+            scores = self._cut(scored.select(*thin, "p"), f"spe-scores-{i}")
+            if before is not None and self.checkpoint:
+                discard(before)
+        if self.checkpoint:
+            discard(*[t for t in (scores, data) if t is not None])
         return SelfPacedEnsembleModel(members)
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from failcast.operators import ensemble as ens
 from failcast.operators import features as feat
 from failcast.operators import labels as lab
+from failcast.operators import metrics as met
 from failcast.operators import sampling as smp
+from failcast.plans import evaluation as ev
 from failcast.schema import FAULT_KEYS, HORIZON_DAYS, SAMPLE_PER_GROUP, SAMPLE_SEED, SMART_SPEC, FeatureSpec
+from failcast.scratch import materialize
 from failcast.sources.telemetry import read_features, write_features
 
 
@@ -61,6 +64,7 @@ def labelled_table(features: DataFrame, faults: DataFrame, cfg: TrainConfig) ->
 def train(spark: SparkSession, features: DataFrame, faults: DataFrame, cfg: TrainConfig):
     """Fit featurizer + ensemble on the training cohort. Returns (featurizer, model, labelled)."""
     labelled = labelled_table(features, faults, cfg)
+    # only train and test must not overlap: the validation month may lie inside the train range
     lab.time_split(labelled, {"train": cfg.train, "test": cfg.test}, allow_overlap=cfg.allow_overlap)
     cohort = smp.training_cohort(labelled, cfg.train, cfg.tags_end, cfg.horizon_days, cfg.per_group, cfg.seed,
                                  mode=cfg.cohort_mode, leak_guard=cfg.leak_guard)
@@ -70,3 +74,25 @@ def train(spark: SparkSession, features: DataFrame, faults: DataFrame, cfg: Trai
                                 k_bins=cfg.k_bins, seed=cfg.seed)
     model = spe.fit(featurizer.transform(cohort))
     return featurizer, model, labelled
+
+
+def evaluate_scores(scored: DataFrame, faults: DataFrame, cfg: TrainConfig, score_col: str = "probability"):
+    """The evaluation stage on scored, labelled days: (ranking, sweep).
+
+    ranking: one row each for the train, val and test ranges (``evaluation.split_report``); the
+    validation range may lie inside the train range. sweep: alert-level precision, recall and F1 on
+    the test range, for thresholds around its best day-level F1."""
+    splits = {"train": cfg.train, "val": cfg.val, "test": cfg.test}
+    ranking = ev.split_report(scored, splits, score_col, allow_overlap=True)
+    test = lab.time_range(scored, *cfg.test)
+    best = ranking.where("split = 'test'").first().threshold
+    if best is None:
+        raise ValueError("no precision-recall point with a defined F1 in the test range")
+    sweep = ev.alert_report(test, faults, cfg.test, met.sweep_around(best), cfg.horizon_days, score_col=score_col)
+    return ranking, sweep
+
+
+def evaluate(featurizer, model, labelled: DataFrame, faults: DataFrame, cfg: TrainConfig):
+    """Score the labelled days once (written), then ``evaluate_scores``."""
+    scored = ens.score(featurizer.transform(labelled), model).drop("features")
+    return evaluate_scores(materialize(scored, "scored"), faults, cfg)

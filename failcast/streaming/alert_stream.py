@@ -6,6 +6,9 @@ history, builds features for the new rows, scores them, and appends first alerts
 devices that have not alerted before. Every write is keyed by the batch id and uses
 dynamic partition overwrite, so a batch replayed after a failure rewrites exactly its
 own output (exactly-once results on top of the file source's offsets).
+
+Days must arrive in order: a dump of a day that is not after all stored ones would change
+features and alerts already given, so such a batch is refused.
 """
 
 from __future__ import annotations
@@ -66,6 +69,9 @@ class DailyAlertStream:
             return
         rows = new.withColumn("_new", F.lit(True))
         if self._exists(self.history_path):
+            known = spark.read.parquet(self.history_path).filter(F.col("_batch") < batch_id).agg(F.max(day).alias("hi")).first().hi
+            if known is not None and span.lo <= known:
+                raise ValueError(f"days must arrive in order: {span.lo} came after {known}; stored alerts may be too late by then")
             since = F.date_sub(F.lit(span.lo), self.spec.window_days)
             past = (spark.read.parquet(self.history_path)
                     .filter((F.col(day) >= since) & (F.col(day) <= F.lit(span.hi)) & (F.col("_batch") < batch_id))
