@@ -76,6 +76,22 @@ def q_trailing_peers(spark, sf):
     return _doubles_rounded(df)
 
 
+@query("trailing_null_device")
+def q_trailing_null_device(spark, sf):
+    """As ``trailing_peers``, with every fifth user unknown: NULL is a device of its own and holds a fifth of the rows."""
+    user = F.when(F.col("user_id") % 5 != 0, F.col("user_id"))
+    ev = load_table(spark, sf, "events").select(
+        "event_id", user.alias("serial_number"), F.lit(1).alias("model"), F.col("ts").cast("date").alias("dt"), "value")
+    return _doubles_rounded(feat.trailing_features(ev, ["value"]))
+
+
+@query("trailing_prepartitioned")
+def q_trailing_prepartitioned(spark, sf):
+    """The device keys dealt into a stated number of partitions before the window."""
+    df = feat.trailing_features(device_day(spark, sf), EVENT_METRICS, unique_days=True, num_partitions=16)
+    return _doubles_rounded(df.select(*KEYS, *[f"window_7_{k}_{m}" for m in EVENT_METRICS for k in ("range", "std")]))
+
+
 def _features(spark, sf):
     return feat.build_features(device_day(spark, sf), EVENTS_SPEC, unique_days=True)
 
@@ -334,6 +350,41 @@ def q_csv_roundtrip(spark, sf):
     return _doubles_rounded(back)
 
 
+@query("csv_full_read")
+def q_csv_full_read(spark, sf):
+    """Every device-day through text dumps of two header orders, one of them in a subfolder."""
+    dd = device_day(spark, sf)
+    path = _scratch(spark, "mixed-csv")
+    text = dd.select(*[F.col(c).cast("string") for c in KEYS[:3]], F.date_format("dt", "yyyyMMdd").alias("dt"),
+                     *[F.col(m).cast("string") for m in EVENT_METRICS])
+    odd = F.col("serial_number").cast("long") % 2 == 1
+    text.where(odd).write.option("header", True).csv(f"{path}/top")
+    text.where(~odd).select(*reversed(text.columns)).write.option("header", True).csv(f"{path}/top/later")
+    return _doubles_rounded(read_telemetry(spark, path, columns=dd.columns, metric_pattern="m_"))
+
+
+@query("csv_flat_pruned")
+def q_csv_flat_pruned(spark, sf):
+    """Dumps named by their day in a flat folder, days with a time part; days before the test range are
+    skipped by the file name, and what is left is filtered."""
+    dd = device_day(spark, sf)
+    path, flat = _scratch(spark, "daily-csv"), _scratch(spark, "flat-csv")
+    day = F.date_format("dt", "yyyyMMdd")
+    text = dd.select(*[F.col(c).cast("string") for c in KEYS[:3]], F.concat(day, F.lit("000000")).alias("dt"),
+                     *[F.col(m).cast("string") for m in EVENT_METRICS], day.alias("day"))
+    text.repartition("day").write.partitionBy("day").option("header", True).csv(path)
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(flat))
+    for folder in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):  # a folder a day
+        name = folder.getPath().getName()
+        for i, f in enumerate(fs.listStatus(folder.getPath()) if name.startswith("day=") else ()):
+            if f.getPath().getName().endswith(".csv"):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{flat}/disk_sample_smart_log_{name[4:]}_{i}.csv"))
+    back = read_telemetry(spark, flat, columns=dd.columns, since=S.TEST[0], metric_pattern="m_", name_day_token=4)
+    return _doubles_rounded(back)
+
+
 @query("feature_cache")
 def q_feature_cache(spark, sf):
     path = _scratch(spark, "features")
@@ -358,6 +409,33 @@ def q_fault_log(spark, sf):
     return read_faults(spark, path)
 
 
+@query("fault_log_foreign")
+def q_fault_log_foreign(spark, sf):
+    """Fault tags with another column order, an extra column, and times in three forms."""
+    path = _scratch(spark, "faults")
+    day = F.col("fault_time")
+    form = F.pmod(F.unix_date(day), F.lit(3))
+    time = (F.when(form == 0, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).when(form == 1, F.date_format(day, "yyyyMMdd"))
+            .otherwise(F.date_format(day, "yyyy-MM-dd")))
+    event_fault_tags(spark, sf).select(time.alias("fault_time"), F.lit("x").alias("note"), "serial_number", "model", "manufacturer") \
+        .write.mode("overwrite").option("header", True).csv(path)
+    return read_faults(spark, path)
+
+
+@query("evaluation_report")
+def q_evaluation_report(spark, sf):
+    """The evaluation stage with the closed-form score: ranking metrics of the train, val and test ranges."""
+    from failcast.plans import training
+    cfg = training.TrainConfig(train=S.TRAIN, val=S.VAL, test=S.TEST, horizon_days=S.HORIZON)
+    ranking, _ = training.evaluate_scores(scored_once(spark, sf), event_fault_tags(spark, sf), cfg, score_col="p")
+    return _doubles_rounded(ranking)
+
+
+@query("curve_metrics")
+def q_curve_metrics(spark, sf):
+    return _doubles_rounded(met.curve_metrics(scored(spark, sf), "p"))
+
+
 @query("first_alerts_sql")
 def q_first_alerts_sql(spark, sf):
     """The alert reduction through a temp view and SQL text."""
@@ -367,26 +445,21 @@ def q_first_alerts_sql(spark, sf):
                      "GROUP BY manufacturer, model, serial_number ORDER BY 4 ASC, 3 ASC")
 
 
-# --- ensemble (no SQL oracle: a learned model) --------------------------------------
+# --- ensemble ---------------------------------------------------------------------------
 
 SMALL_LEARNER = dict(n_trees=5, max_depth=3)
-_MODELS: dict = {}
 
 
 def _ensemble(spark, sf):
-    """Train once per session and table folder: featurizer + 3-member ensemble on the
-    labelled device-days before the test range."""
-    key = (id(spark), sf)
-    if key not in _MODELS:
-        df = lab.label_horizon(lab.attach_faults(_features(spark, sf), event_fault_tags(spark, sf),
-                                                 dedup="first_fault"), S.HORIZON)
-        cols = ens.feature_columns(df)
-        train = lab.time_range(df, S.TRAIN[0], S.TEST[0])
-        featurizer = ens.assembler(cols).fit(train)
-        spe = ens.SelfPacedEnsemble(ens.base_learner(seed=S.SEED, **SMALL_LEARNER), n_estimators=3, k_bins=S.K_BINS,
-                                    seed=S.SEED)
-        _MODELS[key] = (featurizer, spe.fit(featurizer.transform(train)), df, cols)
-    return _MODELS[key]
+    """Featurizer + 3-member ensemble fitted on the labelled device-days before the test range."""
+    df = lab.label_horizon(lab.attach_faults(_features(spark, sf), event_fault_tags(spark, sf),
+                                             dedup="first_fault"), S.HORIZON)
+    cols = ens.feature_columns(df)
+    train = lab.time_range(df, S.TRAIN[0], S.TEST[0])
+    featurizer = ens.assembler(cols).fit(train)
+    spe = ens.SelfPacedEnsemble(ens.base_learner(seed=S.SEED, **SMALL_LEARNER), n_estimators=3, k_bins=S.K_BINS,
+                                seed=S.SEED)
+    return featurizer, spe.fit(featurizer.transform(train)), df, cols
 
 
 def _ensemble_scored(spark, sf):
@@ -395,6 +468,66 @@ def _ensemble_scored(spark, sf):
     return ens.score(featurizer.transform(test), model)
 
 
+def _binary_ensemble(spark, sf):
+    """Self-paced ensemble of naive Bayes members on binarised metrics: a learner SQL can compute exactly."""
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import VectorAssembler
+    bits = [F.when(F.col(m) > S.BIT_OVER, 1.0).otherwise(0.0).alias(f"b_{m}") for m in EVENT_METRICS]
+    df = VectorAssembler(inputCols=[f"b_{m}" for m in EVENT_METRICS], outputCol="features").transform(
+        labelled(spark, sf).select(*KEYS, "label", *bits))
+    spe = ens.SelfPacedEnsemble(NaiveBayes(modelType="bernoulli", smoothing=1.0), n_estimators=S.BIT_ROUNDS, k_bins=S.K_BINS, seed=S.SEED)
+    model = spe.fit(lab.time_range(df, S.TRAIN[0], S.TEST[0]))
+    return model, lab.time_range(df, *S.TEST)
+
+
+@query("bayes_ensemble_score")
+def q_bayes_ensemble_score(spark, sf):
+    """Probability and hard label of every test day, by all members together."""
+    model, test = _binary_ensemble(spark, sf)
+    out = ens.predict(ens.score(test, model))
+    return out.select(*KEYS, "label", r6("probability").alias("probability"), "prediction")
+
+
+@query("bayes_ensemble_alerts")
+def q_bayes_ensemble_alerts(spark, sf):
+    model, test = _binary_ensemble(spark, sf)
+    scored = alr.threshold_schedule(ens.score(test, model), S.BIT_THRESHOLD, S.BIT_THRESHOLD, S.TEST[0], S.THRESH_DAYS)
+    return alr.order_alerts(alr.first_alerts(alr.threshold_alerts(scored, "probability", "thresh")))
+
+
+@query("bayes_model_roundtrip")
+def q_bayes_model_roundtrip(spark, sf):
+    """The saved and loaded model's probabilities."""
+    model, test = _binary_ensemble(spark, sf)
+    path = _scratch(spark, "model")
+    model.save(path)
+    return ens.score(test, ens.SelfPacedEnsembleModel.load(path)).select(*KEYS, r6("probability").alias("probability"))
+
+
+@query("ensemble_facts")
+def q_ensemble_facts(spark, sf):
+    """What must hold of the tree members' scores on every test day, whatever the trees are."""
+    featurizer, model, df, _ = _ensemble(spark, sf)
+    path = _scratch(spark, "model")
+    model.save(path, featurizer)
+    again, loaded = ens.SelfPacedEnsembleModel.load_all(path)
+    days = lab.time_range(df, *S.TEST)
+    first = ens.predict(ens.score(featurizer.transform(days), model)).select(*KEYS, "probability", "prediction")
+    second = ens.score(loaded.transform(days), again).select(*KEYS, F.col("probability").alias("reloaded"))
+    p = F.col("probability")
+    return first.join(second, KEYS).select(
+        *KEYS, ((p >= 0) & (p <= 1)).alias("in_unit"), (F.col("prediction") == (p > 0.5).cast("int")).alias("label_fits"),
+        (p == F.col("reloaded")).alias("reload_equal"))
+
+
+@query("importance_facts")
+def q_importance_facts(spark, sf):
+    """One importance a model input, not negative and at most one a member."""
+    _, model, _, cols = _ensemble(spark, sf)
+    imp = model.feature_importance(spark, cols)
+    return imp.select("feature", F.col("importance").between(0, len(model.members) + 0.01).alias("in_range"))
+
+
 @query("ensemble_score")
 def q_ensemble_score(spark, sf):
     return _ensemble_scored(spark, sf).select(*KEYS, "label", r6("probability").alias("probability"))

@@ -378,3 +378,105 @@ ORACLE["smart_recipe"] = with_(**_SM) + (
     f"SELECT {KEYS}, " + ", ".join(
         f"round({c}, 6) + 0.0 AS {c}" for c in SMART_METRICS + SMART_SPEC.window_names() + ["anomaly_sum"]
         + SMART_SPEC.pair_names()) + " FROM f3")
+
+
+# --- further sources, evaluation and the learned half -------------------------------------
+
+ORACLE["trailing_null_device"] = (
+    "SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id END AS serial_number, 1 AS model, CAST(ts AS DATE) AS dt, "
+    "round(value, 6) AS value, " + r6("max(value) OVER w - min(value) OVER w", "window_7_range_value") + ", "
+    + r6("stddev_samp(value) OVER w", "window_7_std_value")
+    + " FROM events WINDOW w AS (PARTITION BY CASE WHEN user_id % 5 <> 0 THEN user_id END "
+      "ORDER BY datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) RANGE BETWEEN 7 PRECEDING AND CURRENT ROW)")
+
+ORACLE["trailing_prepartitioned"] = with_(dd=DD) + (
+    f"SELECT {KEYS}, " + ", ".join(r6(f"max({m}) OVER w - min({m}) OVER w", f"window_7_range_{m}") + ", "
+                                   + r6(f"stddev_samp({m}) OVER w", f"window_7_std_{m}") for m in EVENT_METRICS)
+    + f" FROM dd WINDOW w AS ({WIN})")
+
+_TEXT_DAYS = ("SELECT CAST(serial_number AS VARCHAR) AS serial_number, manufacturer, CAST(model AS VARCHAR) AS model, dt, "
+              + ", ".join(r6(m, m) for m in EVENT_METRICS) + " FROM dd")
+ORACLE["csv_full_read"] = with_(dd=DD) + _TEXT_DAYS
+ORACLE["csv_flat_pruned"] = with_(dd=DD) + _TEXT_DAYS + f" WHERE dt >= DATE '{S.TEST[0]}'"
+ORACLE["fault_log_foreign"] = ORACLE["fault_log"]
+
+_F1 = "2.0 * precision * recall / nullif(precision + recall, 0)"
+
+
+def curve_row(src: str, extra: str = "") -> str:
+    """All curve metrics of the rows of one CTE, as a subquery of its own."""
+    body = with_(**{k: v.replace("FROM sc ", f"FROM {src} ") for k, v in curve_ctes(src).items()},
+                 best=f"SELECT threshold, precision, recall, {_F1} AS f1 FROM pts WHERE {_F1} IS NOT NULL ORDER BY f1 DESC, threshold LIMIT 1")
+    return (f"SELECT {extra}* FROM ({body} SELECT (SELECT CAST(sum(pos + neg) AS BIGINT) FROM cnt) AS n_rows, "
+            "(SELECT CAST(sum(pos) AS BIGINT) FROM cnt) AS n_positive, "
+            "(SELECT round(sum((recall - r_prev) * (precision + p_prev) / 2.0), 6) FROM pts) AS pr_auc, "
+            "(SELECT round(sum((recall - r_prev) * precision), 6) FROM pts) AS average_precision, "
+            "(SELECT round(sum((CAST(fp AS DOUBLE) / N - CAST(fp - neg AS DOUBLE) / N) * "
+            "(CAST(tp AS DOUBLE) / P + CAST(tp - pos AS DOUBLE) / P) / 2.0), 6) FROM cum) AS roc_auc, "
+            "round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM best)")
+
+
+_RANGES = {n: f"SELECT * FROM sc WHERE dt >= DATE '{lo}' AND dt < DATE '{hi}'" for n, (lo, hi) in (("train", S.TRAIN), ("val", S.VAL), ("test", S.TEST))}
+ORACLE["curve_metrics"] = with_(**SCORED) + curve_row("sc")
+ORACLE["evaluation_report"] = with_(**SCORED, **{f"sc_{n}": q for n, q in _RANGES.items()}) + " UNION ALL ".join(
+    curve_row(f"sc_{n}", f"'{n}' AS split, ") for n in _RANGES)
+
+
+def bayes_ctes() -> dict:
+    """The self-paced rounds on binarised metrics with Bernoulli naive Bayes members (smoothing 1), round by round."""
+    bits = [f"b{j}" for j in range(len(EVENT_METRICS))]
+    ctes = dict(LABEL_CTES, bit=f"SELECT {KEYS}, label, " + ", ".join(
+        f"CASE WHEN {m} > CAST({S.BIT_OVER!r} AS DOUBLE) THEN 1 ELSE 0 END AS {b}" for m, b in zip(EVENT_METRICS, bits)) + " FROM lab")
+    ctes["past"] = f"SELECT * FROM bit WHERE dt >= DATE '{S.TRAIN[0]}' AND dt < DATE '{S.TEST[0]}'"
+    ctes["maj"], ctes["mino"] = "SELECT * FROM past WHERE label = 0", "SELECT * FROM past WHERE label = 1"
+    cols = f"{KEYS}, label, " + ", ".join(bits)
+
+    def chance(i):
+        side = lambda c: (f"ln(n{c} + 1.0) - ln(n0 + n1 + 2.0) + " + " + ".join(
+            f"CASE WHEN {b} = 1 THEN ln(s{c}_{b} + 1.0) - ln(n{c} + 2.0) ELSE ln(1.0 - (s{c}_{b} + 1.0) / (n{c} + 2.0)) END" for b in bits))
+        return f"1.0 / (1.0 + exp(({side(0)}) - ({side(1)})))"
+
+    for i in range(S.BIT_ROUNDS):
+        if i == 0:
+            ctes["draw0"] = (f"SELECT {cols} FROM (SELECT *, row_number() OVER (ORDER BY {md5_order(f'{S.SEED}:0')}) AS rn FROM maj) "
+                             "WHERE rn <= (SELECT count(*) FROM mino)")
+        else:
+            import math
+            weight = "1.0" if i == S.BIT_ROUNDS - 1 else f"1.0 / (mean_h + CAST({math.tan(math.pi * 0.5 * i / (S.BIT_ROUNDS - 1))!r} AS DOUBLE))"
+            mean = " + ".join(f"p{j}" for j in range(i))
+            k = S.K_BINS
+            ctes[f"h{i}"] = f"SELECT *, pow(({mean}) / {float(i)!r}, 2) AS h FROM score{i - 1}"
+            ctes[f"e{i}"] = f"SELECT min(h) AS lo, max(h) AS hi, (max(h) - min(h)) / CAST({k} AS DOUBLE) AS step FROM h{i}"
+            ctes[f"n{i}"] = (f"SELECT h{i}.*, lo, step, CASE WHEN hi = lo OR step = 0 THEN 0 ELSE CAST(least(floor((h - lo) / step), {k - 1}) AS INTEGER) END AS guess, "
+                             f"hi = lo OR step = 0 AS flat FROM h{i}, e{i}")
+            ctes[f"b{i}"] = (f"SELECT *, CASE WHEN flat THEN 0 WHEN h < lo + guess * step THEN greatest(guess - 1, 0) "
+                             f"WHEN guess < {k - 1} AND h >= lo + (guess + 1) * step THEN guess + 1 ELSE guess END AS bin FROM n{i}")
+            ctes[f"w{i}"] = f"SELECT bin, {weight} AS w FROM (SELECT bin, avg(h) AS mean_h FROM b{i} GROUP BY bin)"
+            ctes[f"q{i}"] = (f"SELECT bin, CASE WHEN count(*) OVER () = 1 THEN (SELECT count(*) FROM mino) ELSE "
+                             f"CAST(floor((SELECT count(*) FROM mino) * w / sum(w) OVER ()) AS BIGINT) + 1 END AS quota FROM w{i}")
+            ctes[f"draw{i}"] = (f"SELECT {cols} FROM (SELECT b.*, quota, row_number() OVER (PARTITION BY b.bin ORDER BY {md5_order(f'{S.SEED}:{i}')}) AS rn "
+                                f"FROM b{i} b JOIN q{i} USING (bin)) WHERE rn <= quota")
+        both = f"(SELECT * FROM draw{i} UNION ALL SELECT {cols} FROM mino)"
+        ctes[f"par{i}"] = "SELECT " + ", ".join(
+            f"count(*) FILTER (label = {c}) AS n{c}, " + ", ".join(f"coalesce(sum({b}) FILTER (label = {c}), 0) AS s{c}_{b}" for b in bits) for c in (0, 1)) + f" FROM {both}"
+        before = "maj" if i == 0 else f"score{i - 1}"
+        ctes[f"score{i}"] = f"SELECT {before}.*, {chance(i)} AS p{i} FROM {before}, par{i}"
+    test, total = f"(SELECT * FROM bit WHERE {TEST_RANGE})", []
+    for i in range(S.BIT_ROUNDS):
+        ctes[f"test{i}"] = f"SELECT t.*, {chance(i)} AS p{i} FROM {test} t, par{i}"
+        test = f"test{i}"
+        total.append(f"p{i}")
+    ctes["final"] = f"SELECT *, ({' + '.join(total)}) / {float(S.BIT_ROUNDS)!r} AS probability FROM {test}"
+    return ctes
+
+
+_BAYES = with_(**bayes_ctes())
+ORACLE["bayes_ensemble_score"] = _BAYES + (
+    f"SELECT {KEYS}, label, round(probability, 6) AS probability, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction FROM final")
+ORACLE["bayes_model_roundtrip"] = _BAYES + f"SELECT {KEYS}, round(probability, 6) AS probability FROM final"
+ORACLE["bayes_ensemble_alerts"] = _BAYES + (
+    f"SELECT manufacturer, model, serial_number, min(dt) AS dt FROM final WHERE probability > CAST({S.BIT_THRESHOLD!r} AS DOUBLE) GROUP BY ALL")
+ORACLE["ensemble_facts"] = with_(dd=DD) + (
+    f"SELECT {KEYS}, true AS in_unit, true AS label_fits, true AS reload_equal FROM dd WHERE {TEST_RANGE}")
+_INPUTS = EVENT_METRICS + EVENTS_SPEC.window_names() + ["anomaly_sum"] + EVENTS_SPEC.pair_names() + ["model"]
+ORACLE["importance_facts"] = "SELECT feature, true AS in_range FROM (VALUES " + ", ".join(f"('{c}')" for c in _INPUTS) + ") v(feature)"

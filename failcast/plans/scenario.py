@@ -15,3 +15,4 @@ SCORE_SCALE = 50.0                           # closed-form score p = x / (x + sc
 SWEEP = [0.44, 0.445, 0.45, 0.455, 0.46, 0.465, 0.47, 0.475, 0.48]
 THRESH_HI, THRESH_LO, THRESH_BEGIN, THRESH_DAYS = 0.6, 0.5, "2024-01-01", 30
 HIST_BINS = 100
+BIT_OVER, BIT_ROUNDS, BIT_THRESHOLD = 60.0, 3, 0.5   # binarised metrics of the naive Bayes ensemble
