@@ -115,3 +115,110 @@ def test_ensemble_needs_both_classes(spark):
     df = spark.createDataFrame([("s", "1", "2024-01-01", 0, Vectors.dense([1.0]))], schema)
     with pytest.raises(ValueError):
         ens.SelfPacedEnsemble(n_estimators=2).fit(df)
+
+
+def _toy(spark, n=400, models=3):
+    from pyspark.ml.feature import VectorAssembler  # noqa: F401
+    from failcast.operators import ensemble as ens
+    rows = [(f"s{i}", str(i % models), i, float(i % 17), 1 if i % 17 > 13 and i % 3 == 0 else 0) for i in range(n)]
+    df = spark.createDataFrame(rows, "serial_number string, model string, dt int, x double, label int")
+    return ens.assembler(["x", "model"]).fit(df).transform(df)
+
+
+def test_more_models_than_bins(spark):
+    from failcast.operators import ensemble as ens
+    df = _toy(spark, models=40)
+    model = ens.SelfPacedEnsemble(ens.base_learner(n_trees=2, max_depth=2), n_estimators=2, k_bins=4).fit(df)
+    assert model.members[0].getMaxBins() >= 40 and model.transform(df).count() == df.count()
+
+
+def test_rounds_write_ids_and_scores_only(spark, monkeypatch):
+    from failcast.operators import ensemble as ens
+    written, deleted = {}, []
+    keep, drop = ens.materialize, ens.discard
+    monkeypatch.setattr(ens, "materialize", lambda df, name="t": written.setdefault(name, df.columns) and keep(df, name))
+    monkeypatch.setattr(ens, "discard", lambda *t: (deleted.extend(t), drop(*t)))
+    ens.SelfPacedEnsemble(ens.base_learner(n_trees=2, max_depth=2), n_estimators=3, k_bins=4).fit(_toy(spark))
+    rounds = [c for n, c in written.items() if n.startswith("spe-scores")]
+    assert len(rounds) == 2 and all("features" not in c and "p" in c for c in rounds)
+    assert "features" in written["spe-input"] and len(deleted) == 3
+
+
+def test_copies_of_rows_are_drawn_by_count(spark):
+    """Equal rows are known by content: the drawn majority has as many rows as the quota asks for."""
+    from failcast.operators import ensemble as ens
+    from failcast.operators import sampling as smp
+    df = _toy(spark, 60)
+    many = df.where("label = 0").limit(1)
+    for _ in range(6):
+        many = many.unionByName(many)
+    data = df.unionByName(many).withColumn("_content", smp.content_key(["serial_number", "model", "dt", "features"]))
+    spe = ens.SelfPacedEnsemble(id_cols=("serial_number", "model", "dt"))
+    maj = data.where("label = 0")
+    drawn = smp.undersample_random(maj.drop("features"), maj.drop("features").limit(0), F.concat(spe._order(0), F.col("_content")), n=50)
+    assert drawn.count() == 50 and spe._with_features(drawn, maj).count() == 50
+
+
+def test_model_and_featurizer_saved_together(spark, tmp_path):
+    from failcast.operators import ensemble as ens
+    df = _toy(spark)
+    featurizer = ens.assembler(["x", "model"]).fit(df.drop("features", "_f_x", "model_idx"))
+    model = ens.SelfPacedEnsemble(ens.base_learner(n_trees=2, max_depth=2), n_estimators=2, k_bins=4).fit(df)
+    model.save(str(tmp_path / "m"), featurizer)
+    again, loaded = ens.SelfPacedEnsembleModel.load_all(str(tmp_path / "m"))
+    raw = df.drop("features", "_f_x", "model_idx")
+    a = [r.probability for r in again.transform(loaded.transform(raw)).orderBy("dt").collect()]
+    assert a == [r.probability for r in model.transform(df).orderBy("dt").collect()]
+    model.save(str(tmp_path / "n"))
+    assert ens.SelfPacedEnsembleModel.load_all(str(tmp_path / "n"))[1] is None
+
+
+def test_nested_files_are_read_whatever_the_headers(spark, tmp_path):
+    from failcast.sources.telemetry import read_telemetry
+    p = tmp_path / "logs"
+    (p / "sub" / "deeper").mkdir(parents=True)
+    head = "serial_number,manufacturer,model,dt,m_x\n"
+    (p / "a.csv").write_text(head + "s1,A,1,20240101,1\n")
+    (p / "sub" / "b.csv").write_text(head + "s2,A,1,20240102,2\n")
+    cols = ["serial_number", "manufacturer", "model", "dt", "m_x"]
+    assert read_telemetry(spark, str(p), columns=cols, metric_pattern="m_").count() == 2
+    (p / "sub" / "deeper" / "c.csv").write_text("dt,m_x,serial_number,model,manufacturer,other\n2024010312,3,s3,1,A,z\n")
+    got = read_telemetry(spark, str(p), columns=cols, metric_pattern="m_").collect()
+    assert sorted((r.serial_number, str(r.dt), r.m_x) for r in got) == [("s1", "2024-01-01", 1.0), ("s2", "2024-01-02", 2.0), ("s3", "2024-01-03", 3.0)]
+
+
+def test_rejected_days_in_the_same_pass(spark, tmp_path):
+    from pyspark.sql import Observation
+    from failcast.sources.telemetry import read_telemetry
+    (tmp_path / "x.csv").write_text("serial_number,manufacturer,model,dt,m_x\ns,A,1,20240101,1\ns,A,1,2018,1\ns,A,1,,1\n")
+    seen = Observation()
+    df = read_telemetry(spark, str(tmp_path), columns=["serial_number", "manufacturer", "model", "dt", "m_x"], metric_pattern="m_", rejected=seen)
+    assert df.count() == 1 and seen.get["rejected_days"] == 2
+
+
+def test_fault_log_of_another_shape(spark, tmp_path):
+    from failcast.sources.telemetry import read_faults
+    (tmp_path / "a.csv").write_text("fault_time,note,serial_number,model,manufacturer\n2018-07-01 10:00:00,n,s1,1,A\n20180702,n,s2,1,A\nbad,n,s3,1,A\n")
+    (tmp_path / "b.csv").write_text("manufacturer,model,serial_number,fault_time\nA,1,s4,2018-07-04\n")
+    got = sorted((r.serial_number, str(r.fault_time)) for r in read_faults(spark, str(tmp_path)).collect())
+    assert got == [("s1", "2018-07-01"), ("s2", "2018-07-02"), ("s3", "None"), ("s4", "2018-07-04")]
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from failcast import scratch
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session())

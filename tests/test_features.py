@@ -150,3 +150,21 @@ def test_all_null_frame(spark, path):
     out = {(r.serial_number, r.dt): r for r in feat.trailing_features(df, ["x"], **path).collect()}
     assert out[("a", day(21))].window_7_range_x is None and out[("a", day(21))].window_7_std_x is None
     assert out[("b", day(1))].window_7_range_x is None and out[("b", day(1))].window_7_std_x is None
+
+
+def test_model_inputs_in_reference_order(spark):
+    """Metrics in telemetry order, then range and std of the windowed metrics in telemetry order, the sum, the pairs, model."""
+    from failcast.operators.ensemble import feature_columns
+    from failcast.schema import SMART_PAIR_COLUMNS, SMART_WINDOW_COLUMNS
+    raw = spark.createDataFrame([], ", ".join(f"{c} {'date' if c == 'dt' else 'double' if 'smart' in c else 'string'}" for c in TELEMETRY_COLUMNS))
+    metrics = TELEMETRY_COLUMNS[4:]
+    want = metrics + [f"window_7_{k}_{m}" for m in metrics if m in SMART_WINDOW_COLUMNS for k in ("range", "std")] + ["anomaly_sum"]
+    pairs = list(SMART_PAIR_COLUMNS)
+    want += [f"sum_{a}_{b}" for i, a in enumerate(pairs) for b in pairs[i + 1:]] + ["model"]
+    assert feature_columns(feat.build_features(raw, SMART_SPEC)) == want
+    assert want[29:31] == ["window_7_range_smart_190raw", "window_7_std_smart_190raw"] and len(want) == 66
+
+
+def test_day_text_with_time_part(spark):
+    df = spark.createDataFrame([("20180702000000",), ("20180702",), ("2018-07-02",)], "d string")
+    assert [r.d for r in df.select(parse_day("d").alias("d")).collect()] == [dt.date(2018, 7, 2)] * 2 + [None]

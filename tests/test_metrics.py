@@ -101,3 +101,42 @@ def test_degenerate_inputs(spark):
     no_neg = spark.createDataFrame([(0.1, 1), (0.7, 1)], "probability double, label int")
     assert met.roc_auc(no_neg).first()[0] is None
     assert met.pr_auc(no_neg).first()[0] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("seed", [0, 4])
+def test_curve_metrics_in_one_row(spark, seed):
+    rng = np.random.default_rng(seed)
+    s = np.round(rng.random(300), 2)
+    y = (rng.random(300) < s).astype(int)
+    ref = brute_metrics(y, s)
+    rows = [(float(a), int(b)) for a, b in zip(s, y)] + [(float("nan"), 1), (None, 1)]
+    df = spark.createDataFrame(rows, "probability double, label int")
+    r = met.curve_metrics(df, n_buckets=8).first()
+    assert (r.n_rows, r.n_positive) == (300, int(y.sum()))
+    assert r.pr_auc == pytest.approx(ref["pr_auc"]) and r.roc_auc == pytest.approx(ref["roc"])
+    assert r.average_precision == pytest.approx(ref["ap"])
+    assert r.threshold == pytest.approx(ref["best"][0]) and r.f1 == pytest.approx(ref["best"][1])
+    assert met.pr_auc(df).first()[0] == pytest.approx(ref["pr_auc"])
+
+
+def test_curve_metrics_read_the_source_once(spark, tmp_path):
+    """The written counts carry the rest: deleting the source after the call changes nothing."""
+    import shutil
+    path = str(tmp_path / "scores")
+    spark.createDataFrame([(0.1 * i, i % 2) for i in range(10)], "probability double, label int").write.parquet(path)
+    out = met.curve_metrics(spark.read.parquet(path))
+    shutil.rmtree(path)
+    assert out.first().n_rows == 10
+
+
+def test_curve_metrics_without_rows(spark):
+    none = spark.createDataFrame([], "probability double, label int")
+    r = met.curve_metrics(none).first()
+    assert r.n_rows is None and r.pr_auc is None and r.f1 is None
+    assert [r.n_rows for r in met.score_histogram(none, bins=3).collect()] == [0, 0, 0]
+
+
+def test_histogram_keeps_empty_bins_and_drops_nan(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (float("nan"),), (None,)], "probability double")
+    got = sorted((r.bin, r.n_rows) for r in met.score_histogram(df, bins=10).collect())
+    assert got == [(i, 1 if i in (0, 9) else 0) for i in range(10)]

@@ -118,3 +118,58 @@ def test_replication_in_chunks(spark):
     out = smp._take_lowest_entries(df, df.columns, F.lit(27), "_h", chunk=4).collect()
     assert len(out) == 27
     assert sorted(set((r.g, r.v) for r in out)) == [(1, 2.0), (2, 3.0)]
+
+
+def test_rows_without_a_score_are_never_drawn(spark):
+    maj = spark.createDataFrame([(i, 0, None if i % 3 == 0 else float("nan") if i % 3 == 1 else 0.01 * i) for i in range(90)],
+                                "id long, label int, p double")
+    mino = spark.createDataFrame([(1000 + i, 1, 0.5) for i in range(40)], "id long, label int, p double")
+    out = smp.undersample_self_paced(maj, mino, hash_order("id"), 2, 5, 4)
+    assert {r.id % 3 for r in out.filter("label = 0").collect()} == {2}
+    assert {r.bin for r in smp.hardness_bins(smp.hardness(maj, "p"), 4).filter("id % 3 < 2").collect()} == {None}
+
+
+def test_edges_belong_to_the_bin_that_begins_there(spark):
+    lo, hi, k = 0.1, 0.7, 6
+    step = (hi - lo) / k
+    values = [lo + i * step for i in range(k)] + [hi, np.nextafter(lo + 3 * step, 0)]
+    df = spark.createDataFrame([(float(v),) for v in values], "hardness double")
+    got = [r.bin for r in smp.hardness_bins(df, k).collect()]
+    assert got == [0, 1, 2, 3, 4, 5, 5, 2]
+
+
+def test_range_too_small_for_steps(spark):
+    df = spark.createDataFrame([(0.0,), (5e-324,)], "hardness double")
+    assert {r.bin for r in smp.hardness_bins(df, 40).collect()} == {0}
+    maj = spark.createDataFrame([(i, 0, 0.0) for i in range(9)], "id long, label int, p double")
+    mino = spark.createDataFrame([(100, 1, 0.0)], "id long, label int, p double")
+    assert smp.undersample_self_paced(maj, mino, hash_order("id"), 1, 5, 40).filter("label = 0").count() == 1
+
+
+def test_paced_draw_reads_the_majority_three_times(spark, tmp_path):
+    """Bounds, slice counts and the drawn rows: nothing else opens the majority's files."""
+    path = str(tmp_path / "maj")
+    spark.createDataFrame([(i, 0, (i % 100) / 100) for i in range(4000)], "id long, label int, p double").write.parquet(path)
+    maj, mino = spark.read.parquet(path), spark.createDataFrame([(10 ** 6 + i, 1, 0.5) for i in range(300)], "id long, label int, p double")
+    group = "paced-draw-reads"
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup(group, "paced draw")
+    try:
+        out = smp.undersample_self_paced(maj, mino, hash_order("id"), 2, 5, 10)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) - before <= 14
+    assert path not in str(out.inputFiles())  # the result rests on the drawn rows that were written
+    assert out.filter("label = 0").count() >= 300
+
+
+@pytest.mark.parametrize("i", [1, 3, 4])
+def test_paced_draw_equals_the_lazy_route(spark, i):
+    rng = np.random.default_rng(i)
+    maj = spark.createDataFrame([(k, 0, float(p)) for k, p in enumerate(rng.random(3000))], "id long, label int, p double")
+    mino = spark.createDataFrame([(10 ** 6 + k, 1, 0.5) for k in range(200)], "id long, label int, p double")
+    order = hash_order("id", seed=i)
+    got = smp.undersample_self_paced(maj, mino, order, i, 5, 8)
+    binned = smp.hardness_bins(smp.hardness(maj, "p"), 8).withColumn("_h", order)
+    lazy = smp.draw_by_quota(binned, smp.bin_quotas(binned, 200, i, 5, 8).select("bin", "quota"), "bin")
+    assert sorted(r.id for r in got.filter("label = 0").collect()) == sorted(r.id for r in lazy.collect())

@@ -35,3 +35,17 @@ def test_stream_matches_batch_first_alerts(spark):
     want = alr.first_alerts(alr.threshold_alerts(batch, "probability", 0.5))
     assert got == sorted((r.serial_number, r.dt) for r in want.collect())
     assert len(got) > 0
+
+
+def test_late_days_are_refused(spark):
+    import pytest
+    dd = device_day(spark, SF001)
+    cols = ["serial_number", "manufacturer", "model", "dt"] + [c for c in dd.columns if c.startswith("m_")]
+    dd = dd.select(*[F.col(c).cast("string") if c in ("serial_number", "model") else F.col(c) for c in cols])
+    base = shared_dir(spark, f"stream-test-{uuid.uuid4().hex}")
+    stream = DailyAlertStream(spark, f"{base}/src", f"{base}/work", _score, columns=cols, spec=EVENTS_SPEC, threshold=0.5, metric_pattern="m_")
+    write_daily_csv(dd.filter("dt >= '2024-01-10' AND dt < '2024-01-12'"), f"{base}/src")
+    stream.start().awaitTermination()
+    write_daily_csv(dd.filter("dt = '2024-01-05'"), f"{base}/src", mode="append")
+    with pytest.raises(Exception, match="arrive in order"):
+        stream.start().awaitTermination()
