@@ -25,26 +25,33 @@ DEPTH, MIN_DOCS, CONSTANT, LEAST_WORDS, MOST_SHARE = 4, 5, 0.6, 4, 0.5
 
 def tokens_of(line: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a line, those with a digit 0-9 masked."""
-    words = F.regexp_extract_all(line, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    loose = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\r\x0b\x0c":
+        loose = loose | line.contains(c)
+    # a plain split gives the same words where single spaces stand between them, at a fraction of the cost
+    words = F.when(loose | (line == ""), F.regexp_extract_all(line, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).otherwise(F.split(line, " ", -1))
     return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(MASK)).otherwise(w))).otherwise(words)
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, text_hash, at, tokens, n_tokens, leaf and line (hashes) of each line that holds a word."""
+    """doc_id, text_hash, at, raw, n_tokens, leaf and line (hashes) of each line that holds a word."""
     split = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
-    made = split.select("doc_id", "text_hash", "at", tokens_of(F.col("raw")).alias("tokens")).where(F.size("tokens") > 0)
-    return made.withColumns({"n_tokens": F.size("tokens"), "leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)), "line": F.xxhash64("tokens")})
+    made = split.withColumn("tokens", tokens_of(F.col("raw"))).where(F.size("tokens") > 0)
+    return made.select("doc_id", "text_hash", "at", "raw", F.size("tokens").alias("n_tokens"),
+                       F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("line"))
 
 
-def templates(docs: DataFrame, occurrences: DataFrame, depth: int, min_docs: int, constant: float, least_words: int) -> DataFrame:
+def templates(occurrences: DataFrame, min_docs: int, constant: float, least_words: int) -> DataFrame:
     """line, template: the lines (hashes) whose template recurs."""
     long = occurrences.where(F.col("n_tokens") >= least_words)
     holders = long.select("leaf", "line", "doc_id").distinct()
     per_line = materialize(holders.groupBy("leaf", "line").agg(F.count("*").alias("holders")), "line_holders")
     leaves = per_line.groupBy("leaf").agg(F.sum("holders").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    texts = (_lines(docs, depth).where(F.col("n_tokens") >= least_words).join(leaves, "leaf", "left_semi")
-             .groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")))
-    spread = materialize(texts.join(per_line, ["leaf", "line"]).select("leaf", "line", "holders", F.posexplode("tokens").alias("place", "token")), "line_tokens")
+    # Spark's own Bloom filter of the leaves keeps the other lines out of the shuffle
+    long.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
+    leaves = materialize(leaves, "line_leaves").where(F.col("leaf") >= -(1 << 63))
+    texts = long.select("leaf", "line", "raw").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("raw").alias("raw"))
+    spread = materialize(texts.join(per_line, ["leaf", "line"]).select("leaf", "line", "holders", F.posexplode(tokens_of(F.col("raw"))).alias("place", "token")), "line_tokens")
     held = spread.groupBy("leaf", "place", "token").agg(F.sum("holders").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != MASK))
     fixed = spread.join(materialize(held.drop("n"), "constant_tokens").withColumn("fixed", F.lit(True)), ["leaf", "place", "token"], "left")
     shape = fixed.groupBy("leaf", "line").agg(
@@ -57,8 +64,8 @@ def templates(docs: DataFrame, occurrences: DataFrame, depth: int, min_docs: int
 def repeated_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT,
                    least_words: int = LEAST_WORDS, most_share: float = MOST_SHARE) -> tuple[DataFrame, DataFrame]:
     """Per text (doc_id, text_hash): n_lines; and, for texts that lose lines, the places to drop."""
-    occurrences = materialize(_lines(docs, depth).drop("tokens"), "lines")
-    shaped = materialize(templates(docs, occurrences, depth, min_docs, constant, least_words), "line_templates")
+    occurrences = materialize(_lines(docs, depth), "lines")
+    shaped = materialize(templates(occurrences, min_docs, constant, least_words), "line_templates")
     found = materialize(occurrences.where(F.col("n_tokens") >= least_words).join(shaped, "line").select("doc_id", "text_hash", "at", "n_tokens", "template"), "template_lines")
     often = (found.select("template", "doc_id").where("doc_id IS NOT NULL").distinct().groupBy("template").count()
              .where(F.col("count") >= min_docs).select("template"))
