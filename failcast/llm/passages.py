@@ -54,7 +54,9 @@ def _send(words: int, buckets: int):
         out = {c: [] for c in ("bucket", "ids", "counts", "keys", "settled")}
         for settled in (False, True):
             mine = first != settled
-            b, k, d = bucket[mine], key[mine], doc[mine]
+            k, d = key[mine], doc[mine]
+            # what is settled may pass through any bucket, so a window of many documents fills none
+            b = shard_of(d, buckets) if settled else bucket[mine]
             order = np.argsort(b, kind="stable")
             edge = np.searchsorted(b[order], np.arange(buckets + 1))
             for i, (x, y) in enumerate(zip(edge, edge[1:])):
