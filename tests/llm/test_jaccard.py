@@ -52,8 +52,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-@pytest.mark.parametrize("seed,k,percent", [(1, 3, 90), (2, 5, 80), (3, 2, 60), (4, 1, 70)])
-def test_random_texts(spark, seed, k, percent):
+@pytest.mark.parametrize("seed,k,percent,heavy", [(1, 3, 90, 24), (2, 5, 80, 24), (3, 2, 60, 4), (4, 1, 70, 2)])
+def test_random_texts(spark, monkeypatch, seed, k, percent, heavy):
+    monkeypatch.setattr(J, "HEAVY", heavy)
+    monkeypatch.setattr(J, "BLOCK", 16)  # several blocks to a shingle
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)] + ["The", "of"] * 10
     rows, texts = [], [[rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 8, 20, 60]))] for _ in range(40)]
