@@ -31,14 +31,23 @@ def feature_columns(df: DataFrame, exclude=NON_FEATURE_COLUMNS, categorical: str
     return [f.name for f in df.schema.fields if f.name not in skip] + [categorical]
 
 
+def missing_constant(df: DataFrame, feature_cols, categorical: str = "model") -> float:
+    """A value below every numeric input of ``df`` (one aggregate), to stand for missing ones."""
+    numeric = [c for c in feature_cols if c != categorical]
+    least = df.agg(*[F.min(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(numeric)]).first()
+    known = [v for v in least if v is not None and v > float("-inf")]
+    return min(MISSING, min(known, default=0.0) - 1.0)
+
+
 def assembler(feature_cols, categorical: str = "model", missing: str = "constant",
               missing_value: float = MISSING, out: str = "features") -> Pipeline:
     """Unfitted feature pipeline: categorical index (nominal metadata, so trees split it as a
     category), missing values handled, one vector column.
 
-    ``missing='constant'`` fills NULL/NaN with ``missing_value`` (below every real value,
-    so trees route missing rows to one side, as a learner with native missing support
-    would); ``'median'`` uses ``Imputer``.
+    ``missing='constant'`` fills NULL/NaN with ``missing_value``, which should lie below every
+    real value (``missing_constant`` finds one; the default fits counters), so trees route
+    missing rows to one side, as a learner with native missing support would;
+    ``'median'`` uses ``Imputer``.
     """
     numeric = [c for c in feature_cols if c != categorical]
     stages = [StringIndexer(inputCol=categorical, outputCol=f"{categorical}_idx", handleInvalid="keep",

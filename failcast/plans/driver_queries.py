@@ -456,7 +456,7 @@ def _ensemble(spark, sf):
                                              dedup="first_fault"), S.HORIZON)
     cols = ens.feature_columns(df)
     train = lab.time_range(df, S.TRAIN[0], S.TEST[0])
-    featurizer = ens.assembler(cols).fit(train)
+    featurizer = ens.assembler(cols, missing_value=ens.missing_constant(train, cols)).fit(train)
     spe = ens.SelfPacedEnsemble(ens.base_learner(seed=S.SEED, **SMALL_LEARNER), n_estimators=3, k_bins=S.K_BINS,
                                 seed=S.SEED)
     return featurizer, spe.fit(featurizer.transform(train)), df, cols

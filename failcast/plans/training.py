@@ -69,7 +69,8 @@ def train(spark: SparkSession, features: DataFrame, faults: DataFrame, cfg: Trai
     cohort = smp.training_cohort(labelled, cfg.train, cfg.tags_end, cfg.horizon_days, cfg.per_group, cfg.seed,
                                  mode=cfg.cohort_mode, leak_guard=cfg.leak_guard)
     cols = ens.feature_columns(labelled)
-    featurizer = ens.assembler(cols, missing=cfg.missing).fit(cohort)
+    value = ens.missing_constant(cohort, cols) if cfg.missing == "constant" else ens.MISSING
+    featurizer = ens.assembler(cols, missing=cfg.missing, missing_value=value).fit(cohort)
     spe = ens.SelfPacedEnsemble(ens.base_learner(seed=cfg.seed, **cfg.learner), n_estimators=cfg.n_estimators,
                                 k_bins=cfg.k_bins, seed=cfg.seed)
     model = spe.fit(featurizer.transform(cohort))

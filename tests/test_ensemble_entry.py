@@ -222,3 +222,13 @@ def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
                 return default
     with pytest.raises(ValueError):
         scratch.shared_dir(Session())
+
+
+def test_missing_value_lies_below_all_inputs(spark):
+    from failcast.operators import ensemble as ens
+    df = spark.createDataFrame([(-7.5, 1.0, "a"), (None, float("nan"), "b")], "x double, y double, model string")
+    assert ens.missing_constant(df, ["x", "y", "model"]) == -8.5
+    assert ens.missing_constant(df.limit(0), ["x", "y", "model"]) == -1.0
+    value = ens.missing_constant(df, ["x", "y", "model"])
+    got = [r.features.toArray().tolist() for r in ens.assembler(["x", "y", "model"], missing_value=value).fit(df).transform(df).collect()]
+    assert got == [[-7.5, 1.0, 0.0], [-8.5, -8.5, 1.0]]
