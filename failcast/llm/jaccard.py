@@ -34,7 +34,7 @@ VERIFY_COST = 20.0
 #: number of those is at most this times the shingles of an average document.
 COMMON_SHARE = 500
 #: Shingles of a slice, bits of a bitmap, and text bytes whose prefixes go to a bucket.
-SLICE_SHINGLES, BITS, BUCKET_BYTES = 4_000_000, 1024, 3_000_000
+SLICE_SHINGLES, BITS, BUCKET_BYTES = 1_000_000, 1024, 3_000_000
 #: Sets larger than this have a second bitmap of so many bits.
 WIDE_FROM, WIDE_BITS = 300, 8192
 #: A shingle of this many classes is compared block against block in Python, and the classes of a block.
