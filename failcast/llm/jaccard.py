@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failcast.llm.components import components
-from failcast.llm.words import blocks, find_words, mix, windows
+from failcast.llm.words import blocks, find_words, mix, return_memory, windows
 from failcast.scratch import materialize
 
 #: Most words by which a prefix is lengthened, plus 1.
@@ -43,6 +43,7 @@ HEAVY, BLOCK = 24, 512
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """For rows of bounded text: their distinct shingle hashes, sorted (words of A-Z lowered text)."""
+    return_memory()
     for rows, data, offsets in blocks(batch):
         w = find_words(data, offsets, lower=True)
         h = w.hashes()
@@ -169,6 +170,7 @@ def _send(k: int, percent: int, common: np.ndarray, weight: np.ndarray, buckets:
 
 def _meet(table: pa.Table) -> pa.Table:
     """One bucket: the prefix shingles that more than one document holds."""
+    return_memory()
     token, doc, at, flag = (np.concatenate([np.frombuffer(x, d) for x in table.column(c).to_pylist()]) for c, d in (("token", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("many", "u1")))
     order = np.argsort(token, kind="stable")
     token, doc, at, flag = token[order], doc[order], at[order], flag[order]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from failcast.llm.words import BLOCK_BYTES, find_words, mix, text_bytes, windows
+from failcast.llm.words import BLOCK_BYTES, find_words, mix, return_memory, text_bytes, windows
 
 #: Bounds of the training sample: labelled documents, and lines of each of them.
 TRAIN_DOCUMENTS = 3000
@@ -131,6 +131,7 @@ def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
 
 
 def _blocks(column: pa.Array):
+    return_memory()
     data, offsets = text_bytes(column)
     at, rows = 0, len(column)
     while at < rows:

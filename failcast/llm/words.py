@@ -7,6 +7,7 @@ text alone in a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,15 @@ BLOCK_BYTES = 1 << 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+def return_memory() -> None:
+    """Let this worker give freed arrays of 1 MB or more back to the machine at once (glibc; elsewhere nothing
+    happens), so that idle workers of other stages hold little."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = np.array(x, dtype=np.uint64)
