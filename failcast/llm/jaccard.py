@@ -237,13 +237,15 @@ def _possible(n_a, n_b, differ, percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, wide: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike enough. Bitmaps go first, then wide ones for long
-    texts; only the sets of the pairs left are made from the texts."""
+    texts, which drop a pair of ids if they rule out every pair of their texts; only the sets of the
+    pairs left are made from the texts."""
     left, right = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     pairs = pairs.join(left, "a").join(right, "b").where(_possible(F.col("n_a"), F.col("n_b"), _differ("bits_a", "bits_b"), percent))
     some = F.col("a") >= -(1 << 63)  # Spark makes its Bloom filters of filtered tables
     near = materialize(pairs.select("a", "b"), "candidates").where(some)
-    left, right = (wide.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab")
-    unlike = materialize(near.join(left, "a").join(right, "b").where(~_possible(F.col("n_a"), F.col("n_b"), _differ("wide_a", "wide_b"), percent)).select("a", "b").distinct(), "unlike")
+    left, right = (wide.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"), F.col("texts").alias(f"texts_{c}")) for c in "ab")
+    apart = near.distinct().join(left, "a").join(right, "b").where(~_possible(F.col("n_a"), F.col("n_b"), _differ("wide_a", "wide_b"), percent))
+    unlike = materialize(apart.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.col("texts_a") * F.col("texts_b")).alias("all")).where("met = all").select("a", "b"), "unlike")
     near = materialize(near.join(unlike, ["a", "b"], "left_anti"), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), "text").join(near.where(some), "b")
     hubs = docs.select(F.col("doc_id").cast("long").alias("a"), "text").join(materialize(near.select("a").distinct(), "hubs").where(some), "a", "left_semi")
@@ -338,12 +340,17 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     made = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(k), "doc_id long, n long, h1 long, h2 long, bits array<long>, wide array<long>"), "signatures")
     rows = made.where("h2 IS NOT NULL").drop("bits", "wide")
-    wide = made.where("wide IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n", "wide")
     common = made.where("h2 IS NULL").groupBy("h1").agg(F.sum("n").alias("times"))
     classes = materialize(made.where("n > 0 AND h2 IS NOT NULL AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
     # Spark's own Bloom filters keep rows that meet nothing out of the shuffles of selective joins
     docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
     several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    wide = made.where("wide IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n", "h1", "h2", "wide")
+    if several:  # with the number of each id's different texts
+        texts = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "h1", "h2").distinct().groupBy("doc_id").agg(F.count("*").alias("texts"))
+        wide = materialize(wide.dropDuplicates(["doc_id", "n", "h1", "h2"]).join(texts, "doc_id"), "wide")
+    else:
+        wide = wide.withColumn("texts", F.lit(1).cast("long"))
     postings = _postings(docs, classes, common, k, percent)
 
     # each class with the smallest of its shingles' smallest classes: one pair a class

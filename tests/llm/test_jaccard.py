@@ -87,3 +87,13 @@ def test_documents(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert got(spark, rows, 3, 90) == brute(rows, 3, 90)
+
+
+def test_long_texts_under_one_id(spark):
+    """Ids of several long texts link where any two of the texts are alike."""
+    rng = random.Random(6)
+    text = lambda: [f"w{rng.randrange(10 ** 6)}" for _ in range(500)]
+    x, y, z, u, v = (text() for _ in range(5))
+    rows = [(1, x), (1, y), (2, [*x[:-1], "end"]), (2, z), (2, z), (3, u), (4, [*u[:-1], "end"]), (4, ["short", "one", "here"]), (5, v), (6, text())]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    assert got(spark, rows, 3, 90) == brute(rows, 3, 90)
