@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from failcast.llm import bpe, embeddings, hpylm, jaccard, licenses, line_templates, mixing, passages, quality, url_rules
+from failcast.llm import (bpe, embeddings, filter_audit, hpylm, jaccard, licenses, line_templates, mixing, passages, periods, pieces,
+                          quality, url_rules)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +56,21 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periods.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merge_rounds(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.model_path())
+
+
 QUERIES = {f.__name__: f for f in (op1_pitman_yor_scores, op2_license_diagonals, op3_p_stable_neighbours, op4_curriculum_mix, op5_url_rules, op6_adaptive_jaccard,
-                                    op7_line_field_quality, op8_line_templates, op9_repeated_passages, op10_bpe_round_trip)}
+                                    op7_line_field_quality, op8_line_templates, op9_repeated_passages, op10_bpe_round_trip,
+                                    op11_periodic_runs, op12_filter_audit, op13_merge_rounds)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op4_curriculum_mix": mixing.mixed_sql(), "op5_url_rules": url_rules.page_verdicts_sql(),
-                          "op8_line_templates": line_templates.cleaned_sql()}
+                          "op8_line_templates": line_templates.cleaned_sql(), "op12_filter_audit": filter_audit.audit_sql()}

@@ -126,6 +126,15 @@ def find_words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = WORD_BY
     return Words(data, offsets, start, end, row, first)
 
 
+def word_bytes(w: Words) -> pa.Array:
+    """The words of a block behind one another, as one binary array."""
+    inside = np.zeros(len(w.data), bool)
+    size = w.end - w.start
+    edges = np.append(0, np.cumsum(size))
+    inside[np.arange(edges[-1]) + np.repeat(w.start - edges[:-1], size)] = True
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(w.data[inside].tobytes())])
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with about ``size`` bytes of text each: (rows, bytes, offsets)."""
     data, offsets = text_bytes(batch.column(column))
