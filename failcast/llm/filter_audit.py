@@ -25,7 +25,7 @@ from failcast.llm.words import blocks, find_words, word_bytes
 from failcast.scratch import discard, materialize
 
 #: A shard holds about this many bytes of text; a longer text is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 10 << 20
 
 _CAPITAL = np.zeros(256, np.int64)
 _CAPITAL[0x41:0x5B] = 1
@@ -58,13 +58,37 @@ def _shard(number: int, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndar
     kept["text_sha"] = pa.array([hashlib.sha256(raw[a:b]).digest() for a, b in zip(ends, ends[1:])], pa.binary())
     made = {"shard": pa.array([number], pa.int64()), "rows": _list(pa.StructArray.from_arrays(list(kept.values()), list(kept))),
             "row_starts": _list(pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32())),
-            "columns": _list(pa.array(column, pa.int32())), "counts": _list(pa.array(count, pa.int32())), "words": _list(words)}
+            "columns": _packed(column), "counts": _packed(count), "words": _list(words)}
     return pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
 
+def _packed(values: np.ndarray) -> pa.Array:
+    """32-bit integers, compressed, as one binary value: on the way no one looks at single ones."""
+    return pa.array([pa.compress(values.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary())
+
+
+def _unpacked(column: pa.Array, length: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(column[0].as_buffer(), 4 * length, "zstd"), "<i4")
+
+
+def _joined(batches):
+    """Batches put together up to the size of a shard."""
+    waiting, size = [], 0
+    for batch in batches:
+        here = batch.column("text").nbytes
+        if waiting and size + here > SHARD_BYTES:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, size = [], 0
+        if len(batch):
+            waiting.append(batch)
+            size += here
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def _shards(batches):
     at = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in _joined(batches):
         for rows, data, offsets in blocks(batch, size=SHARD_BYTES):
             yield _shard(at, rows, data, offsets)
             at += 1
@@ -89,8 +113,8 @@ def term_matrix(docs: DataFrame, keep=("doc_id",)) -> tuple[DataFrame, DataFrame
     written tables that both read (``discard`` them at the end).
 
     matrix: shard, rows (of each document the columns ``keep``, n_points, n_capitals, n_symbols and text_sha),
-    row_starts, columns (long, positions in the dictionary), counts. dictionary: term (0 to the number of distinct
-    words less one), word. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged and compared whole; a null or empty
+    row_starts, columns (terms, binary: little-endian 64-bit integers), counts (binary: little-endian 32-bit integers).
+    dictionary: term (0 to the number of distinct words less one), word. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged and compared whole; a null or empty
     text is an empty row. Every row of ``docs`` is a row of the matrix, repeated rows included.
 
     A frequent word costs one row a shard in the dealing by word, however often documents hold it; numbers per
@@ -100,7 +124,7 @@ def term_matrix(docs: DataFrame, keep=("doc_id",)) -> tuple[DataFrame, DataFrame
     kept = [docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("text_sha", T.BinaryType())]
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(kept))), T.StructField("row_starts", ints),
-                           T.StructField("columns", ints), T.StructField("counts", ints), T.StructField("words", T.ArrayType(T.StringType()))])
+                           T.StructField("columns", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
     shards = materialize(docs.mapInArrow(_shards, schema), "shards")
     words = shards.select("shard", F.posexplode("words").alias("at", "word"))
     numbered = materialize(words.repartition("word").sortWithinPartitions("word")
@@ -114,8 +138,7 @@ def term_matrix(docs: DataFrame, keep=("doc_id",)) -> tuple[DataFrame, DataFrame
     terms = numbered.select("shard", F.struct("at", term.alias("term")).alias("t")).groupBy("shard").agg(
         F.transform(F.array_sort(F.collect_list("t")), lambda x: x["term"]).alias("terms"))
     local = shards.drop("words").join(terms, "shard", "left")
-    own = [f for f in schema.fields if f.name in ("shard", "rows", "row_starts")]
-    matrix = local.mapInArrow(_global, T.StructType([*own, T.StructField("columns", T.ArrayType(T.LongType())), T.StructField("counts", ints)]))
+    matrix = local.mapInArrow(_global, T.StructType(schema.fields[:-1]))
     return matrix, dictionary, [shards, numbered]
 
 
@@ -124,8 +147,10 @@ def _global(batches):
     for batch in batches:
         for i in range(len(batch)):
             one = batch.slice(i, 1)
-            local, terms = one.column("columns").flatten(), one.column("terms").flatten()
-            made = [one.column("shard"), one.column("rows"), one.column("row_starts"), _list(terms.take(local).cast(pa.int64())), one.column("counts")]
+            starts, terms = one.column("row_starts").flatten(), one.column("terms").flatten().to_numpy()
+            columns, counts = (_unpacked(one.column(c), starts[-1].as_py()) for c in ("columns", "counts"))
+            made = [one.column("shard"), one.column("rows"), one.column("row_starts"), pa.array([terms[columns].astype("<i8").tobytes()], pa.binary()),
+                    pa.array([counts.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, ["shard", "rows", "row_starts", "columns", "counts"])
 
 
@@ -134,7 +159,7 @@ def _row_counts(batches):
         for i in range(len(batch)):
             one = batch.slice(i, 1)
             starts = one.column("row_starts").flatten().to_numpy().astype(np.int64)
-            sums = np.append(0, np.cumsum(one.column("counts").flatten().to_numpy().astype(np.int64)))
+            sums = np.append(0, np.cumsum(np.frombuffer(one.column("counts")[0].as_buffer(), "<i4").astype(np.int64)))
             rows = one.column("rows").flatten()
             made = [rows.field(j) for j in range(rows.type.num_fields)] + [pa.array(np.diff(sums[starts])), pa.array(np.diff(starts))]
             yield pa.RecordBatch.from_arrays(made, [*[f.name for f in rows.type], "n_words", "n_distinct"])

@@ -128,11 +128,12 @@ def find_words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = WORD_BY
 
 def word_bytes(w: Words) -> pa.Array:
     """The words of a block behind one another, as one binary array."""
-    inside = np.zeros(len(w.data), bool)
-    size = w.end - w.start
-    edges = np.append(0, np.cumsum(size))
-    inside[np.arange(edges[-1]) + np.repeat(w.start - edges[:-1], size)] = True
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(w.data[inside].tobytes())])
+    edge = np.zeros(len(w.data) + 1, np.int8)
+    edge[w.start] += 1
+    edge[w.end] -= 1  # of words that meet at a row's edge, both cancel out
+    body = w.data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    places = np.append(0, np.cumsum(w.end - w.start))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(body.tobytes())])
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

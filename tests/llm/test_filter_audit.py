@@ -1,6 +1,9 @@
 import hashlib
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
+
 from failcast.llm import filter_audit
 from failcast.scratch import discard
 from tests.conftest import SF001
@@ -74,7 +77,7 @@ def test_failures_keep_every_row(spark):
     assert got == sorted((str(i), s or "", hashlib.sha256((t or "").encode()).hexdigest(), f) for (i, s, t), f in zip(ROWS, brute_fails(ROWS)))
 
 
-def test_matrix(spark, monkeypatch):
+def test_matrix(spark):
     """The matrix holds each document's words; terms count from 0 without gaps, whatever the shards."""
     docs = spark.read.parquet(f"{SF001}/documents.parquet").repartition(5)
     matrix, dictionary, tables = filter_audit.term_matrix(docs)
@@ -84,15 +87,26 @@ def test_matrix(spark, monkeypatch):
     assert set(word.values()) == {w for t in texts.values() for w in words_of(t)}
     seen = 0
     for s in matrix.collect():
+        columns, counts = np.frombuffer(s["columns"], "<i8").tolist(), np.frombuffer(s["counts"], "<i4").tolist()
         for k, row in enumerate(s.rows):
             a, b = s.row_starts[k], s.row_starts[k + 1]
             words = words_of(texts[row.doc_id])
-            assert {word[c]: n for c, n in zip(s["columns"][a:b], s["counts"][a:b])} == {w: words.count(w) for w in set(words)}
+            assert {word[c]: n for c, n in zip(columns[a:b], counts[a:b])} == {w: words.count(w) for w in set(words)}
             seen += 1
     assert seen == len(texts)
     discard(*tables)
 
 
+def test_shards_of_any_size(monkeypatch):
+    """Batches are put together and cut again without losing a row."""
+    batches = [pa.record_batch({"doc_id": pa.array([i]), "text": pa.array([f"w{i} " * n])}) for i, n in enumerate((1, 500, 0, 3, 40, 40, 40, 2000))]
+    for size in (1, 200, 1 << 20):
+        monkeypatch.setattr(filter_audit, "SHARD_BYTES", size)
+        joined = list(filter_audit._joined(iter(batches)))
+        assert [x for b in joined for x in b.column("doc_id").to_pylist()] == list(range(8))
+        assert len(joined) == (1 if size > 10_000 else len(joined))
+
+
 def test_one_word_in_every_document(spark):
     rows = [(i, "s", "the same words " * (i % 3) + f"own{i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(16)
