@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from failcast.functions.expressions import day_number, log2p1, weighted_total
@@ -74,15 +74,42 @@ def trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_
     return df.select("*", *_row_window_columns(cols, keys, day_col, days, *names))
 
 
+def merged_moments(moments: Column, finish) -> Column:
+    """``finish(n, mean, m2)`` of values known by summaries: an array of structs (n, mean, m2), m2 the sum of squared
+    distances from the mean.
+
+    Means are taken relative to the first one, and two summaries merge by the distance of their own
+    means, so nothing large is subtracted from anything large: a device whose values jump by many
+    orders of magnitude keeps the digits of its quiet days. Summaries without values (n = 0) change nothing."""
+    def merge(a, b):
+        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+        part = b["n"] / n
+        return F.struct(n.alias("n"), (a["mean"] + d * part).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * part).alias("m2"))
+
+    def relative(known):
+        centre = F.get(known, F.lit(0))["mean"]
+        near = F.transform(known, lambda x: F.struct(x["n"].alias("n"), (x["mean"] - centre).alias("mean"), x["m2"].alias("m2")))
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+        return F.when(F.size(known) > 0, F.aggregate(near, none, merge, lambda s: finish(s["n"], s["mean"] + centre, s["m2"])))
+
+    known = F.filter(moments, lambda x: x["n"] > 0)
+    return F.get(F.transform(F.array(known), relative), F.lit(0))  # an argument's name, so that it is filtered once
+
+
+def sample_std(n: Column, mean: Column, m2: Column) -> Column:
+    """Sample standard deviation from a count and the sum of squares about the mean; NULL for one value."""
+    return F.when(n > 1, F.sqrt(m2 / (n - 1)))
+
+
 def daily_trailing_features(df: DataFrame, cols, keys=("model", "serial_number"), day_col: str = "dt",
                             days: int = 7, prefix: str | None = None) -> DataFrame:
     """``trailing_features`` however the rows spread over devices and days.
 
     Rows are first reduced to one summary per (keys, day) with map-side partial
-    aggregation, so a hot device or day never lands whole in one task; the window runs
-    over daily summaries (at most ``days + 1`` per frame, plain sums of centred moments,
-    so it stays in generated code), and the result is joined back to the rows on
-    (keys, day), where AQE splits any skewed row-side partition.
+    aggregation, so a hot device or day never lands whole in one task; the window gathers
+    the daily summaries of each frame (at most ``days + 1``), whose moments are merged pair
+    by pair (``merged_moments``), and the result is joined back to the rows on (keys, day),
+    where AQE splits any skewed row-side partition.
     """
     keys = list(keys)
     prefix = prefix if prefix is not None else f"window_{days}_"
@@ -96,35 +123,22 @@ def daily_trailing_features(df: DataFrame, cols, keys=("model", "serial_number")
     # one summary row per (device, day): count, mean, M2, max, min per metric
     aggs = []
     for i, c in enumerate(cols):
+        same = F.max(c) == F.min(c)  # a day of equal values has that mean exactly
         aggs += [
-            F.count(c).alias(f"_n{i}"),
-            F.avg(c).alias(f"_mean{i}"),
-            (F.var_pop(c) * F.count(c)).alias(f"_m2{i}"),
+            F.struct(F.count(c).alias("n"), F.when(same, F.max(c).cast("double")).otherwise(F.avg(c)).alias("mean"),
+                     F.when(same, F.lit(0.0)).otherwise(F.var_pop(c) * F.count(c)).alias("m2")).alias(f"_s{i}"),
             F.max(c).alias(f"_max{i}"),
             F.min(c).alias(f"_min{i}"),
         ]
     daily = df.groupBy(*keys, day_col).agg(*aggs)
 
-    # moments about a per-device centre c (the device's mean of daily means): per day
-    # S1 = n (mean - c), S2 = M2 + n (mean - c)^2; over the frame M2 = sum S2 - (sum S1)^2 / N.
-    # Centring keeps the sums small, so the difference does not cancel away precision.
-    device = Window.partitionBy(*keys)
-    centred = []
-    for i, c in enumerate(cols):
-        d = F.col(f"_mean{i}") - F.avg(f"_mean{i}").over(device)
-        centred += [(F.col(f"_n{i}") * d).alias(f"_s1{i}"),
-                    (F.col(f"_m2{i}") + F.col(f"_n{i}") * d * d).alias(f"_s2{i}")]
-    daily = daily.select(*keys, day_col, *[f"_{p}{i}" for i in range(len(cols)) for p in ("n", "max", "min")],
-                         *centred)
-
     w = _frame(keys, day_col, days)
+    gathered = daily.select(*keys, day_col, *[F.collect_list(f"_s{i}").over(w).alias(f"_s{i}") for i in range(len(cols))],
+                            *[(F.max(f"_max{i}").over(w) - F.min(f"_min{i}").over(w)).alias(range_name(c)) for i, c in enumerate(cols)])
     out = []
     for i, c in enumerate(cols):
-        n, s1, s2 = F.sum(f"_n{i}").over(w), F.sum(f"_s1{i}").over(w), F.sum(f"_s2{i}").over(w)
-        m2 = F.greatest(s2 - s1 * s1 / n, F.lit(0.0))
-        out.append((F.max(f"_max{i}").over(w) - F.min(f"_min{i}").over(w)).alias(range_name(c)))
-        out.append(F.when(n > 1, F.sqrt(m2 / (n - 1))).alias(std_name(c)))
-    feats = daily.select(*[F.col(k).alias(f"_k_{k}") for k in keys + [day_col]], *out)
+        out += [F.col(f"`{range_name(c)}`"), merged_moments(F.col(f"_s{i}"), sample_std).alias(std_name(c))]
+    feats = gathered.select(*[F.col(k).alias(f"_k_{k}") for k in keys + [day_col]], *out)
 
     cond = None
     for k in keys + [day_col]:
