@@ -1,11 +1,13 @@
 """Self-paced under-sampling ensemble of boosted trees on ``pyspark.ml``.
 
 The driver only loops over rounds; each round is Spark work: a hash-ordered draw
-(``failcast.operators.sampling``), one distributed fit, and one pass scoring the majority
-class with all members so far. The input is written to the shared checkpoint folder
-once; a round writes ids, a content fingerprint and the score, never the features, and
-its predecessor's copy is deleted. Lineage stays one round deep and a lost executor
-recomputes at most one round.
+(``failcast.operators.sampling``), one distributed fit, and one evaluation of the new
+member alone. The input is written to the shared checkpoint folder once, each different row
+with an address and its number of copies, in buckets by address. Scores are a second, thin
+table in the same buckets: a round adds the new member's probability to the running sum
+next to the features, without a shuffle, and its predecessor is deleted. Drawn rows fetch
+their features by address; only the drawn addresses move. Lineage stays one round deep and
+a lost executor recomputes at most one round.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from failcast.schema import NON_FEATURE_COLUMNS
 from failcast.scratch import discard, materialize
 
 MISSING = -1.0
+#: A row's address, and how many equal rows it stands for.
+ROW, COPIES = "_row", "_copies"
 
 
 def feature_columns(df: DataFrame, exclude=NON_FEATURE_COLUMNS, categorical: str = "model") -> list:
@@ -146,10 +150,6 @@ class SelfPacedEnsemble:
         return est.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}") \
             .setFeaturesCol(self.features_col).setLabelCol(self.label_col)
 
-    def _cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a frame to the shared folder and continue from it (lineage one round deep)."""
-        return materialize(df, name) if self.checkpoint else df
-
     def _fit_member(self, i: int, train: DataFrame, categories: int):
         """One learner on the round's draw (about 2 x minority rows). The draw is persisted
         for the learner's passes and released after; it is recomputable from the
@@ -160,24 +160,35 @@ class SelfPacedEnsemble:
         finally:
             train.unpersist()
 
+    def _addressed(self, df: DataFrame) -> DataFrame:
+        """The different rows of ``df`` with an address (a fingerprint of the row) and their number of copies, which are
+        counted before the shuffle."""
+        own = [*self.id_cols, self.label_col, self.features_col]
+        rows = df.select(*own).withColumn(self.label_col, F.col(self.label_col).cast("double"))
+        kind = df.schema[self.features_col].metadata
+        made = rows.groupBy(smp.content_key(own).alias(ROW)).agg(F.count(F.lit(1)).alias(COPIES), F.first(F.struct(*own)).alias("_r"))
+        return made.select(ROW, COPIES, "_r.*").withColumn(self.features_col, F.col(self.features_col).alias(self.features_col, metadata=kind))
+
     def _with_features(self, drawn: DataFrame, data: DataFrame) -> DataFrame:
-        """The drawn rows with their features. Rows are known by their content; of a content whose copies
-        were drawn in part (at most one a bin: where its quota ran out) one copy is repeated."""
-        counts = drawn.groupBy("_content").agg(F.count(F.lit(1)).alias("_drawn"))
-        there = data.groupBy("_content").agg(F.count(F.lit(1)).alias("_there"))
-        counts = materialize(counts.join(there, "_content"), "draw")
-        whole = data.join(counts.where("_drawn = _there").select("_content"), "_content", "left_semi")
-        cols = data.columns
-        part = (data.join(counts.where("_drawn < _there").select("_content", "_drawn"), "_content")
-                .groupBy("_content", "_drawn").agg(F.first(F.struct(*cols)).alias("_row"))
-                .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_drawn"))).select("_row.*"))
-        return whole.select(*cols).unionByName(part.select(*cols))
+        """The drawn rows, each as often as drawn, with their features fetched by address from the written input."""
+        times = drawn.select(ROW, F.col(COPIES).alias("_drawn"))
+        own = [*self.id_cols, self.label_col, self.features_col]
+        return smp.repeated(data.select(ROW, *own).join(times, ROW).select(*own, "_drawn"), "_drawn")
+
+    def _add_member(self, i: int, member, maj: DataFrame, scores: DataFrame | None) -> DataFrame:
+        """Scores after member ``i``: running sum and mean of the members' probabilities. Only this member is evaluated;
+        features and sums meet bucket by bucket."""
+        thin = [ROW, COPIES, *self.id_cols, self.label_col]
+        joined = maj if scores is None else maj.select(ROW, self.features_col).join(scores, ROW)
+        total = _positive_prob(member.getProbabilityCol())
+        if scores is not None:
+            total = F.col("_sum") + total
+        return member.transform(joined).select(*thin, total.alias("_sum")).withColumn("p", F.col("_sum") / F.lit(float(i + 1)))
 
     def fit(self, df: DataFrame) -> SelfPacedEnsembleModel:
         y = self.label_col
-        own = [*self.id_cols, y, self.features_col]
-        content = smp.content_key([*self.id_cols, self.features_col])
-        data = self._cut(df.select(*own).withColumn(y, F.col(y).cast("double")).withColumn("_content", content), "spe-input")
+        keep = (lambda d, name: materialize(d, name, bucket_by=ROW)) if self.checkpoint else (lambda d, name: d)
+        data = keep(self._addressed(df), "spe-input")
         attrs = df.schema[self.features_col].metadata.get("ml_attr", {}).get("attrs", {})
         categories = max([0, *(len(a.get("vals", ())) for a in attrs.get("nominal", ()))])
         maj = data.filter(F.col(y) == 0)
@@ -186,22 +197,20 @@ class SelfPacedEnsemble:
         if not counts.maj or not counts.mino:
             raise ValueError("self-paced ensemble needs rows of both classes (label 0 and label 1)")
 
-        thin = [*self.id_cols, y, "_content"]
+        thin = [ROW, COPIES, *self.id_cols, y]
         members, scores = [], None
         for i in range(self.n_estimators):
-            # copies stand together behind their id's hash, so a draw does not depend on their order
-            order = F.concat(self._order(i), F.col("_content"))
+            # rows that share an id stand behind its hash in the order of their addresses
+            order = F.concat(self._order(i), F.col(ROW))
             if i == 0:
-                drawn = smp.undersample_random(maj.select(*thin), mino.select(*thin), order)
+                drawn = smp.undersample_random(maj.select(*thin), mino.select(*thin), order, weight=COPIES)
             else:
                 drawn = smp.undersample_self_paced(scores, mino.select(*thin), order, i, self.n_estimators, self.k_bins,
-                                                   score_col="p", label_col=y, hardness_fn=self.hardness_fn)
-            train = self._with_features(drawn.where(F.col(y) == 0), maj).unionByName(mino)
-            members.append(self._fit_member(i, train.select(*own), categories))
+                                                   score_col="p", label_col=y, hardness_fn=self.hardness_fn, weight=COPIES)
+            members.append(self._fit_member(i, self._with_features(drawn, data), categories))
             if i == self.n_estimators - 1:
                 break  # the majority score is only needed to pace a next round
-            before, scored = scores, SelfPacedEnsembleModel(members).transform(maj, "p")
-            scores = self._cut(scored.select(*thin, "p"), f"spe-scores-{i}")
+            before, scores = scores, keep(self._add_member(i, members[-1], maj, scores), f"spe-scores-{i}")
             if before is not None and self.checkpoint:
                 discard(before)
         if self.checkpoint:

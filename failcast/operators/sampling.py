@@ -212,23 +212,46 @@ def draw_lowest(df: DataFrame, n: Column, order_col: str = HASH, prefix_len: int
     return whole.unionByName(part)
 
 
+def repeated(df: DataFrame, times: str, chunk: int = REPLICATE_CHUNK) -> DataFrame:
+    """Each row as often as its column ``times`` says, that column dropped; rows repeated more than once
+    spread over tasks in chunks of at most ``chunk`` rows."""
+    cols = [c for c in df.columns if c != times]
+    row = F.struct(*cols).alias("_row")
+    chunks = (df.where(F.col(times) > 1)
+              .select(row, times, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / chunk))).alias("_chunk"))
+              .repartition(F.xxhash64("_row"), "_chunk"))
+    n = F.least(F.lit(chunk).cast("long"), F.col(times) - F.col("_chunk") * chunk)
+    many = chunks.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("_i")).select("_row.*")
+    return df.where(F.col(times) == 1).select(*cols).unionByName(many)
+
+
 def _digits(rows: int) -> int:
     """Hex digits of the order key that cut ``rows`` rows into slices of about a thousand."""
     return min(8, max(1, math.ceil(math.log(max(rows, 1) / 1000, 16)))) if rows > 1000 else 1
 
 
-def _slice_counts(df: DataFrame, digits: int, order_col: str, group_col: str, h_col: str | None = None) -> DataFrame:
+def _rows(weight: str | None) -> Column:
+    """Number of rows, where a row stands for ``weight`` equal ones."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
+def count_rows(df: DataFrame, weight: str | None = None) -> int:
+    return df.agg(_rows(weight)).first()[0] or 0
+
+
+def _slice_counts(df: DataFrame, digits: int, order_col: str, group_col: str, h_col: str | None = None, weight: str | None = None) -> DataFrame:
     """Rows (and hardness) per group and slice of the order key, written once."""
-    total = [F.sum(h_col).alias("h")] if h_col else []
+    total = [F.sum(F.col(h_col) * F.col(weight) if weight else F.col(h_col)).alias("h")] if h_col else []
     sub = F.substring(F.col(order_col), 1, digits).alias("slice")
-    return materialize(df.groupBy(group_col, sub).agg(F.count(F.lit(1)).alias("c"), *total), "slices")
+    return materialize(df.groupBy(group_col, sub).agg(_rows(weight).alias("c"), *total), "slices")
 
 
-def _draw_quotas(df: DataFrame, counts: DataFrame, quotas: dict, digits: int, order_col: str, group_col: str) -> DataFrame:
+def _draw_quotas(df: DataFrame, counts: DataFrame, quotas: dict, digits: int, order_col: str, group_col: str, weight: str | None = None) -> DataFrame:
     """Per group its ``quotas[group]`` rows lowest in (order key, content), in one read of ``df``.
 
     The slice in which a group's quota runs out is found on the slice counts; one filtered
-    read takes the rows up to it, and only that slice is ranked."""
+    read takes the rows up to it, and only that slice is ranked. With ``weight`` a row stands for that many
+    equal ones and no other row has its order key; the drawn rows carry how many of them are drawn."""
     wanted = F.create_map(*[x for g, q in quotas.items() for x in (F.lit(int(g)), F.lit(int(q)).cast("long"))])[F.col(group_col)]
     before = F.sum("c").over(Window.partitionBy(group_col).orderBy("slice")) - F.col("c")
     edges = (counts.withColumn("before", before).withColumn("quota", wanted)
@@ -239,17 +262,22 @@ def _draw_quotas(df: DataFrame, counts: DataFrame, quotas: dict, digits: int, or
     sub, last = F.substring(F.col(order_col), 1, digits), of(0, "string")
     taken = materialize(df.where(sub <= last), "drawn")
     below = taken.where((sub < last) | (last == "g"))
-    return below.unionByName(_take_lowest_entries(taken.where(sub == last), df.columns, of(1, "long"), order_col, group_col))
+    if weight is None:
+        return below.unionByName(_take_lowest_entries(taken.where(sub == last), df.columns, of(1, "long"), order_col, group_col))
+    here = Window.partitionBy(group_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(of(1, "long") - F.coalesce(F.sum(weight).over(here), F.lit(0)), F.lit(0))
+    ranked = taken.where(sub == last).withColumn(weight, F.least(left, F.col(weight)))
+    return below.unionByName(ranked.where(F.col(weight) > 0))
 
 
-def undersample_random(majority: DataFrame, minority: DataFrame, order: Column, n=None) -> DataFrame:
+def undersample_random(majority: DataFrame, minority: DataFrame, order: Column, n=None, weight: str | None = None) -> DataFrame:
     """Cold start: draw ``min(|minority|, |majority|)`` majority rows by hash order (or ``n``),
-    label them as majority, and append the minority. Two reads of the majority class."""
-    n_min = minority.count() if n is None else int(n)
+    label them as majority, and append the minority. Two reads of the majority class.
+    ``weight``: see ``_draw_quotas``."""
+    n_min = count_rows(minority, weight) if n is None else int(n)
     df = majority.withColumn(HASH, order).withColumn("_all", F.lit(0))
-    rows = majority.count()
-    digits = _digits(rows)
-    drawn = _draw_quotas(df, _slice_counts(df, digits, HASH, "_all"), {0: n_min}, digits, HASH, "_all").drop(HASH, "_all")
+    digits = _digits(majority.count())
+    drawn = _draw_quotas(df, _slice_counts(df, digits, HASH, "_all", weight=weight), {0: n_min}, digits, HASH, "_all", weight).drop(HASH, "_all")
     return drawn.unionByName(minority, allowMissingColumns=True)
 
 
@@ -265,23 +293,24 @@ def paced_quotas(stats: list, n_min: int, i: int, n: int, flat: bool) -> dict:
 
 def undersample_self_paced(majority: DataFrame, minority: DataFrame, order: Column, i: int, n: int, k: int,
                            score_col: str = "p", label_col: str = "label", hardness_fn=None,
-                           keep_bin: bool = False) -> DataFrame:
+                           keep_bin: bool = False, weight: str | None = None) -> DataFrame:
     """One paced round: hardness -> k bins -> quotas -> exact per-bin hash draw, then the
     minority appended. Rows without a score are in no bin and are never drawn.
+    ``weight``: see ``_draw_quotas``.
 
     Three reads of the majority class: hardness bounds and row count; rows and hardness per
     bin and slice of the order key; the drawn rows."""
     scored = hardness(majority, score_col, label_col, hardness_fn).where(F.col("hardness").isNotNull() & ~F.isnan("hardness"))
-    n_min = minority.count()
+    n_min = count_rows(minority, weight)
     bounds = scored.agg(F.min("hardness").alias("lo"), F.max("hardness").alias("hi"), F.count(F.lit(1)).alias("rows")).first()
     lo, hi = bounds.lo or 0.0, bounds.hi or 0.0
     binned = scored.withColumn("bin", _bin_of(F.col("hardness"), F.lit(lo), F.lit(hi), k)).withColumn(HASH, order)
     digits = _digits(bounds.rows // max(1, k))
-    counts = _slice_counts(binned, digits, HASH, "bin", "hardness")
+    counts = _slice_counts(binned, digits, HASH, "bin", "hardness", weight)
     stats = [(r.bin, r.rows, r.mean) for r in counts.groupBy("bin").agg(F.sum("c").alias("rows"), (F.sum("h") / F.sum("c")).alias("mean")).collect()]
     if stats:
         quotas = paced_quotas(stats, n_min, i, n, flat=len(stats) == 1 if k >= 2 else hi == lo)
-        drawn = _draw_quotas(binned, counts, quotas, digits, HASH, "bin").drop(HASH)
+        drawn = _draw_quotas(binned, counts, quotas, digits, HASH, "bin", weight).drop(HASH)
     else:
         drawn = binned.drop(HASH)
     if not keep_bin:

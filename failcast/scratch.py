@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
@@ -31,18 +32,33 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts]) if parts else base
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+#: Catalog names of bucketed tables, by their folder.
+_NAMES: dict[str, str] = {}
+
+
+def materialize(df: DataFrame, name: str = "table", bucket_by: str | None = None) -> DataFrame:
     """Write ``df`` once as a parquet table under the shared checkpoint folder and continue
     from the written copy.
 
     For inputs of multi-pass operators (quota draws, curve metrics, ensemble rounds): the
     upstream plan runs once instead of once per pass (an eager ``checkpoint()`` of an
     uncached plan would run it twice), plans stay small, later reads prune columns, and
-    a lost executor re-reads the copy instead of recomputing the lineage."""
+    a lost executor re-reads the copy instead of recomputing the lineage.
+
+    ``bucket_by`` deals the rows into as many buckets as there are shuffle partitions, so tables
+    bucketed by one column join on it without a shuffle."""
     spark = df.sparkSession
     path = shared_dir(spark, "materialized", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if bucket_by is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"scratch_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(table)
+    _NAMES[path.rsplit("/", 1)[-1]] = table
+    made = spark.table(table)
+    # metadata of columns (the kinds of a vector's inputs) is kept as it was
+    return made.select(*[F.col(f.name).alias(f.name, metadata=f.metadata) if f.metadata else F.col(f.name) for f in df.schema.fields])
 
 
 def discard(*tables: DataFrame) -> None:
@@ -51,5 +67,8 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         roots = {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/materialized/" in f}
         for root in roots:
+            name = _NAMES.pop(root.rsplit("/", 1)[-1], None)
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             path = spark._jvm.org.apache.hadoop.fs.Path(root)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

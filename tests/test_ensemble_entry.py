@@ -136,7 +136,7 @@ def test_rounds_write_ids_and_scores_only(spark, monkeypatch):
     from failcast.operators import ensemble as ens
     written, deleted = {}, []
     keep, drop = ens.materialize, ens.discard
-    monkeypatch.setattr(ens, "materialize", lambda df, name="t": written.setdefault(name, df.columns) and keep(df, name))
+    monkeypatch.setattr(ens, "materialize", lambda df, name="t", **how: written.setdefault(name, df.columns) and keep(df, name, **how))
     monkeypatch.setattr(ens, "discard", lambda *t: (deleted.extend(t), drop(*t)))
     ens.SelfPacedEnsemble(ens.base_learner(n_trees=2, max_depth=2), n_estimators=3, k_bins=4).fit(_toy(spark))
     rounds = [c for n, c in written.items() if n.startswith("spe-scores")]
@@ -152,11 +152,61 @@ def test_copies_of_rows_are_drawn_by_count(spark):
     many = df.where("label = 0").limit(1)
     for _ in range(6):
         many = many.unionByName(many)
-    data = df.unionByName(many).withColumn("_content", smp.content_key(["serial_number", "model", "dt", "features"]))
     spe = ens.SelfPacedEnsemble(id_cols=("serial_number", "model", "dt"))
+    data = spe._addressed(df.unionByName(many))
     maj = data.where("label = 0")
-    drawn = smp.undersample_random(maj.drop("features"), maj.drop("features").limit(0), F.concat(spe._order(0), F.col("_content")), n=50)
-    assert drawn.count() == 50 and spe._with_features(drawn, maj).count() == 50
+    thin = maj.drop("features")
+    drawn = smp.undersample_random(thin, thin.limit(0), F.concat(spe._order(0), F.col("_row")), n=50, weight="_copies")
+    assert drawn.agg(F.sum("_copies")).first()[0] == 50 and spe._with_features(drawn, data).count() == 50
+
+
+def test_a_round_evaluates_one_member(spark, monkeypatch):
+    """Every member but the last scores the majority once, and later rounds do not score it again."""
+    from pyspark.ml.classification import GBTClassificationModel
+    from failcast.operators import ensemble as ens
+    seen = []
+    plain = GBTClassificationModel.transform
+    monkeypatch.setattr(GBTClassificationModel, "transform", lambda m, df, *a: (seen.append(m.uid), plain(m, df, *a))[1])
+    model = ens.SelfPacedEnsemble(ens.base_learner(n_trees=2, max_depth=2), n_estimators=4, k_bins=4).fit(_toy(spark))
+    assert seen == [m.uid for m in model.members[:3]]
+
+
+def test_running_mean_equals_the_members_together(spark):
+    from failcast.operators import ensemble as ens
+    spe = ens.SelfPacedEnsemble(ens.base_learner(n_trees=2, max_depth=2), n_estimators=3, k_bins=4)
+    model, data = spe.fit(_toy(spark)), spe._addressed(_toy(spark))
+    scores = None
+    for i, m in enumerate(model.members):
+        scores = spe._add_member(i, m, data, scores)
+    got = {r._row: r.p for r in scores.collect()}
+    assert got == {r._row: r.probability for r in model.transform(data).collect()}
+
+
+def test_scores_meet_features_without_a_shuffle(spark):
+    from failcast.operators import ensemble as ens
+    from failcast.scratch import discard, materialize
+    spe = ens.SelfPacedEnsemble(ens.base_learner(n_trees=2, max_depth=2), n_estimators=2, k_bins=4)
+    model = spe.fit(_toy(spark))
+    data = materialize(spe._addressed(_toy(spark)), "input", bucket_by="_row")
+    assert data.schema["features"].metadata["ml_attr"]["num_attrs"] == 2
+    scores = materialize(spe._add_member(0, model.members[0], data, None), "scores", bucket_by="_row")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spe._add_member(1, model.members[1], data, scores)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    names = {t.name for t in spark.catalog.listTables()}
+    discard(data, scores)
+    assert len(names) - len({t.name for t in spark.catalog.listTables()}) == 2
+
+
+def test_every_copy_of_a_hot_row_can_be_drawn(spark):
+    """A third of all rows are one row: it is drawn as often as the quota needs it, in chunks."""
+    from failcast.operators import sampling as smp
+    df = spark.createDataFrame([("a", 25), ("b", 1), ("c", 4), ("d", 0)], "x string, n long")
+    assert sorted(r.x for r in smp.repeated(df, "n", chunk=4).collect()) == ["a"] * 25 + ["b"] + ["c"] * 4
 
 
 def test_model_and_featurizer_saved_together(spark, tmp_path):
