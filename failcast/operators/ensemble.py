@@ -12,15 +12,16 @@ a lost executor recomputes at most one round.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failcast.functions.expressions import hash_order
 from failcast.operators import sampling as smp
+from failcast.operators import trees
 from failcast.schema import NON_FEATURE_COLUMNS
 from failcast.scratch import discard, materialize
 
@@ -43,8 +44,45 @@ def missing_constant(df: DataFrame, feature_cols, categorical: str = "model") ->
     return min(MISSING, min(known, default=0.0) - 1.0)
 
 
-def assembler(feature_cols, categorical: str = "model", missing: str = "constant",
-              missing_value: float = MISSING, out: str = "features") -> Pipeline:
+#: The reference learner's limits on categories: rows that a category of its own needs, and most categories.
+MIN_GROUP_ROWS, MAX_GROUPS = 500, 32
+#: A code that no category has, where no category is frequent: trees want two codes.
+_NO_CATEGORY = "__none"
+
+
+def frequent_categories(df: DataFrame, col: str, min_rows: int = MIN_GROUP_ROWS, max_groups: int = MAX_GROUPS) -> list:
+    """At most ``max_groups - 1`` categories of at least ``min_rows`` rows, the most frequent first (ties by code point).
+
+    Categories are counted with map-side partial sums; only the few that get a code come to the driver."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n_rows"))
+    top = counts.where(F.col("n_rows") >= int(min_rows)).orderBy(F.desc("n_rows"), "category").limit(int(max_groups) - 1)
+    return [r.category for r in top.collect()]
+
+
+def category_codes(df: DataFrame, col: str, min_rows: int = MIN_GROUP_ROWS, max_groups: int = MAX_GROUPS) -> DataFrame:
+    """Every category of ``df`` with its rows and code: frequent categories 0, 1, ... by ``frequent_categories``, and one
+    common code behind them for all rare ones and NULL."""
+    labels = frequent_categories(df, col, min_rows, max_groups)
+    own = F.create_map(*[x for i, c in enumerate(labels) for x in (F.lit(c), F.lit(i))]) if labels else None
+    counts = df.groupBy(F.col(col).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.withColumn("code", F.coalesce(own[F.col("category")], F.lit(len(labels))) if labels else F.lit(0))
+
+
+class CategoryGroups(Estimator):
+    """Codes of ``category_codes`` as a column with nominal metadata: at most ``max_groups`` values however many categories
+    there are, so trees need no more bins than that. Categories that the fit has not seen take the common code."""
+
+    def __init__(self, inputCol: str, outputCol: str, min_rows: int = MIN_GROUP_ROWS, max_groups: int = MAX_GROUPS):
+        super().__init__()
+        self.inputCol, self.outputCol, self.min_rows, self.max_groups = inputCol, outputCol, min_rows, max_groups
+
+    def _fit(self, dataset: DataFrame) -> StringIndexerModel:
+        labels = frequent_categories(dataset, self.inputCol, self.min_rows, self.max_groups)
+        return StringIndexerModel.from_labels(labels or [_NO_CATEGORY], inputCol=self.inputCol, outputCol=self.outputCol, handleInvalid="keep")
+
+
+def assembler(feature_cols, categorical: str = "model", missing: str = "constant", missing_value: float = MISSING, out: str = "features",
+              min_group_rows: int | None = None, max_groups: int = MAX_GROUPS) -> Pipeline:
     """Unfitted feature pipeline: categorical index (nominal metadata, so trees split it as a
     category), missing values handled, one vector column.
 
@@ -52,10 +90,15 @@ def assembler(feature_cols, categorical: str = "model", missing: str = "constant
     real value (``missing_constant`` finds one; the default fits counters), so trees route
     missing rows to one side, as a learner with native missing support would;
     ``'median'`` uses ``Imputer``.
+
+    With ``min_group_rows`` categories are grouped as by ``category_codes``; without it each has a code of its own.
     """
     numeric = [c for c in feature_cols if c != categorical]
-    stages = [StringIndexer(inputCol=categorical, outputCol=f"{categorical}_idx", handleInvalid="keep",
-                            stringOrderType="alphabetAsc")]
+    if min_group_rows is None:
+        stages = [StringIndexer(inputCol=categorical, outputCol=f"{categorical}_idx", handleInvalid="keep",
+                                stringOrderType="alphabetAsc")]
+    else:
+        stages = [CategoryGroups(categorical, f"{categorical}_idx", min_group_rows, max_groups)]
     if missing == "constant":
         fills = ", ".join(f"coalesce(nanvl(`{c}`, NULL), {missing_value!r}) AS `_f_{c}`" for c in numeric)
         stages.append(SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"))
@@ -80,6 +123,11 @@ def base_learner(n_trees: int = 20, max_depth: int = 6, step_size: float = 0.1,
                          seed=seed, **params)
 
 
+def model_inputs(feature_cols, categorical: str = "model") -> list:
+    """Columns of a featurized table behind the features of ``assembler``, in their order."""
+    return [f"_f_{c}" for c in feature_cols if c != categorical] + [f"{categorical}_idx"]
+
+
 def _positive_prob(col: str):
     return vector_to_array(F.col(col))[1]
 
@@ -114,9 +162,18 @@ class SelfPacedEnsembleModel:
         stages = PipelineModel.load(path).stages
         return cls(stages[0].stages), stages[1] if len(stages) > 1 else None
 
-    def feature_importance(self, spark: SparkSession, names) -> DataFrame:
-        """Per feature: sum over members of the importance rounded to 3 places.
-        The table is members x features (bounded by the model), built once."""
+    def compiled(self, spark: SparkSession, inputs) -> Column:
+        """The probability as one expression over the columns ``inputs`` (``model_inputs``), from the saved trees alone."""
+        return trees.compiled_score(trees.node_table(spark, self.members), inputs)
+
+    def feature_importance(self, spark: SparkSession, names, kind: str = "gain") -> DataFrame:
+        """Per feature: sum over members of the importance rounded to 3 places. ``kind='gain'``: the members' own
+        importances, a table of members x features (bounded by the model); ``'split'``: how often a feature
+        splits a node, the reference learner's default, counted on the saved trees."""
+        if kind == "split":
+            return trees.split_counts(trees.node_table(spark, self.members), names).select("feature", F.col("splits").cast("double").alias("importance"))
+        if kind != "gain":
+            raise ValueError(f"kind must be 'gain' or 'split', not {kind!r}")
         rows = [(i, n, float(v)) for i, m in enumerate(self.members)
                 for n, v in zip(names, m.featureImportances.toArray())]
         df = spark.createDataFrame(rows, "member int, feature string, importance double")

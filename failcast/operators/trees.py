@@ -59,7 +59,8 @@ def compiled_score(nodes: DataFrame, inputs) -> Column:
     """The ensemble's probability as one expression over the columns ``inputs`` (in the order of the features).
 
     A member's margin is the weighted sum of its trees and its probability 1 / (1 + exp(-2 margin)); the ensemble's
-    is the members' mean. Only the model's nodes come to the driver (members x trees x nodes)."""
+    is the members' mean. Only the model's nodes come to the driver (members x trees x nodes). A model whose
+    trees outgrow one generated method (64 KB; some 300 splits) is run by Spark outside of whole-stage code."""
     members: dict = {}
     for r in nodes.collect():
         members.setdefault(r.member, {}).setdefault(r.tree, (r.weight, {}))[1][r.node] = r

@@ -18,6 +18,7 @@ from failcast.operators import ensemble as ens
 from failcast.operators import labels as lab
 from failcast.operators import metrics as met
 from failcast.operators import sampling as smp
+from failcast.operators import trees
 from failcast.plans import scenario as S
 from failcast.schema import ALERT_SCHEMA
 from failcast.sources.standins import EVENT_METRICS, EVENTS_SPEC, device_day, event_fault_tags, load_table
@@ -450,15 +451,14 @@ def q_first_alerts_sql(spark, sf):
 SMALL_LEARNER = dict(n_trees=5, max_depth=3)
 
 
-def _ensemble(spark, sf):
-    """Featurizer + 3-member ensemble fitted on the labelled device-days before the test range."""
+def _ensemble(spark, sf, learner=SMALL_LEARNER, rounds=3, k_bins=S.K_BINS, **groups):
+    """Featurizer + ensemble (of 3 members by default) fitted on the labelled device-days before the test range."""
     df = lab.label_horizon(lab.attach_faults(_features(spark, sf), event_fault_tags(spark, sf),
                                              dedup="first_fault"), S.HORIZON)
     cols = ens.feature_columns(df)
     train = lab.time_range(df, S.TRAIN[0], S.TEST[0])
-    featurizer = ens.assembler(cols, missing_value=ens.missing_constant(train, cols)).fit(train)
-    spe = ens.SelfPacedEnsemble(ens.base_learner(seed=S.SEED, **SMALL_LEARNER), n_estimators=3, k_bins=S.K_BINS,
-                                seed=S.SEED)
+    featurizer = ens.assembler(cols, missing_value=ens.missing_constant(train, cols), **groups).fit(train)
+    spe = ens.SelfPacedEnsemble(ens.base_learner(seed=S.SEED, **learner), n_estimators=rounds, k_bins=k_bins, seed=S.SEED)
     return featurizer, spe.fit(featurizer.transform(train)), df, cols
 
 
@@ -528,6 +528,52 @@ def q_importance_facts(spark, sf):
     return imp.select("feature", F.col("importance").between(0, len(model.members) + 0.01).alias("in_range"))
 
 
+def _against_trees(spark, sf, fitted) -> DataFrame:
+    """One row: the members' scores of all labelled days against the saved trees compiled to one expression, and
+    whether positive training days score higher on average (which a learner that learned nothing fails)."""
+    featurizer, model, df, cols = fitted
+    days = featurizer.transform(df)
+    both = ens.score(days.withColumn("compiled", model.compiled(spark, ens.model_inputs(cols))), model)
+    past = (F.col("dt") >= F.lit(S.TRAIN[0]).cast("date")) & (F.col("dt") < F.lit(S.TEST[0]).cast("date"))
+    mean = lambda label: F.avg(F.when(past & (F.col("label") == label), F.col("compiled")))
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), (F.round(F.max(F.abs(F.col("probability") - F.col("compiled"))), 9) + 0.0).alias("largest_difference"),
+                    (mean(1) > mean(0) + 0.05).alias("separates"))
+
+
+@query("compiled_trees")
+def q_compiled_trees(spark, sf):
+    return _against_trees(spark, sf, _ensemble(spark, sf))
+
+
+def reference_size_trees(spark, sf):
+    """``compiled_trees`` at the reference's size: 20 members of 20 trees, depth 6 (about 50 leaves), 40 hardness bins,
+    categories of at least 500 rows in at most 32 groups. Minutes on any table, so it is run by
+    ``tools/reference_size.py`` and not registered."""
+    fitted = _ensemble(spark, sf, learner={}, rounds=20, k_bins=40, min_group_rows=ens.MIN_GROUP_ROWS)
+    return _against_trees(spark, sf, fitted)
+
+
+@query("split_counts")
+def q_split_counts(spark, sf):
+    """Per tree of the saved members: a tree that splits k times has k + 1 leaves; and the split-count importances, through the
+    JSON sink and back, count every inner node of the model."""
+    _, model, _, cols = _ensemble(spark, sf)
+    path = _scratch(spark, "importance")
+    write_importance(model.feature_importance(spark, cols, kind="split"), path)
+    counted = spark.read.schema("feature string, importance double").json(path).agg(F.sum("importance").alias("s"), F.count_distinct("feature").alias("n")).first()
+    nodes = trees.node_table(spark, model.members)
+    per_tree = nodes.groupBy("member", "tree").agg(F.count_if(F.col("left") >= 0).alias("inner"), F.count_if(F.col("left") < 0).alias("leaves"))
+    inner = per_tree.agg(F.sum("inner")).scalar()
+    return per_tree.select("member", "tree", (F.col("leaves") == F.col("inner") + 1).alias("whole"), (F.col("inner") > 0).alias("splits"),
+                           (inner == F.lit(counted.s)).alias("all_counted"), F.lit(counted.n == len(cols)).alias("all_features"))
+
+
+@query("category_codes")
+def q_category_codes(spark, sf):
+    """Suppliers as categories: those with 600 lines or more have a code, at most 31 of them; all others share one."""
+    return ens.category_codes(load_table(spark, sf, "lineitem"), "l_suppkey", min_rows=600, max_groups=32)
+
+
 @query("ensemble_score")
 def q_ensemble_score(spark, sf):
     return _ensemble_scored(spark, sf).select(*KEYS, "label", r6("probability").alias("probability"))

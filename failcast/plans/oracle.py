@@ -480,3 +480,14 @@ ORACLE["ensemble_facts"] = with_(dd=DD) + (
     f"SELECT {KEYS}, true AS in_unit, true AS label_fits, true AS reload_equal FROM dd WHERE {TEST_RANGE}")
 _INPUTS = EVENT_METRICS + EVENTS_SPEC.window_names() + ["anomaly_sum"] + EVENTS_SPEC.pair_names() + ["model"]
 ORACLE["importance_facts"] = "SELECT feature, true AS in_range FROM (VALUES " + ", ".join(f"('{c}')" for c in _INPUTS) + ") v(feature)"
+
+
+# --- saved trees and categories -------------------------------------------------------------
+
+ORACLE["compiled_trees"] = with_(**LABEL_CTES) + "SELECT count(*) AS n_rows, CAST(0.0 AS DOUBLE) AS largest_difference, true AS separates FROM lab"
+ORACLE["split_counts"] = ("SELECT m.member, t.tree, true AS whole, true AS splits, true AS all_counted, true AS all_features "
+                          "FROM (SELECT unnest([0, 1, 2]) AS member) m, (SELECT unnest([0, 1, 2, 3, 4]) AS tree) t")
+ORACLE["category_codes"] = (
+    "SELECT category, n_rows, CAST(CASE WHEN n_rows >= 600 AND rank <= 31 THEN rank - 1 ELSE least(31, (SELECT count(*) FROM (SELECT l_suppkey FROM lineitem "
+    "GROUP BY l_suppkey HAVING count(*) >= 600))) END AS INTEGER) AS code FROM (SELECT CAST(l_suppkey AS VARCHAR) AS category, count(*) AS n_rows, "
+    "row_number() OVER (ORDER BY count(*) DESC, CAST(l_suppkey AS VARCHAR)) AS rank FROM lineitem GROUP BY l_suppkey)")

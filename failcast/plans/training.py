@@ -36,6 +36,8 @@ class TrainConfig:
     k_bins: int = 40
     learner: dict = field(default_factory=dict)
     missing: str = "constant"
+    min_group_rows: int | None = ens.MIN_GROUP_ROWS
+    max_groups: int = ens.MAX_GROUPS
 
 
 def feature_table(spark: SparkSession, telemetry: DataFrame, spec: FeatureSpec = SMART_SPEC,
@@ -70,7 +72,8 @@ def train(spark: SparkSession, features: DataFrame, faults: DataFrame, cfg: Trai
                                  mode=cfg.cohort_mode, leak_guard=cfg.leak_guard)
     cols = ens.feature_columns(labelled)
     value = ens.missing_constant(cohort, cols) if cfg.missing == "constant" else ens.MISSING
-    featurizer = ens.assembler(cols, missing=cfg.missing, missing_value=value).fit(cohort)
+    featurizer = ens.assembler(cols, missing=cfg.missing, missing_value=value, min_group_rows=cfg.min_group_rows,
+                               max_groups=cfg.max_groups).fit(cohort)
     spe = ens.SelfPacedEnsemble(ens.base_learner(seed=cfg.seed, **cfg.learner), n_estimators=cfg.n_estimators,
                                 k_bins=cfg.k_bins, seed=cfg.seed)
     model = spe.fit(featurizer.transform(cohort))
