@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 
 #: Catalog names of bucketed tables, by their folder.
 _NAMES: dict[str, str] = {}
+#: Folders written inside each open ``scope``, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str = "table", bucket_by: str | None = None) -> DataFrame:
@@ -49,6 +53,8 @@ def materialize(df: DataFrame, name: str = "table", bucket_by: str | None = None
     bucketed by one column join on it without a shuffle."""
     spark = df.sparkSession
     path = shared_dir(spark, "materialized", f"{name}-{uuid.uuid4().hex}")
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     if bucket_by is None:
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
@@ -67,8 +73,36 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         roots = {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/materialized/" in f}
         for root in roots:
-            name = _NAMES.pop(root.rsplit("/", 1)[-1], None)
-            if name:
-                spark.sql(f"DROP TABLE IF EXISTS {name}")
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, root)
+
+
+def _delete(spark: SparkSession, root: str) -> None:
+    name = _NAMES.pop(root.rsplit("/", 1)[-1], None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end the tables that ``materialize`` wrote inside it.
+
+    For operators of many steps: their result is written after the scope's work, by ``finished``, and rests on
+    nothing else."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for root in _SCOPES.pop():
+            _delete(spark, root)
+
+
+def finished(df: DataFrame, name: str = "result") -> DataFrame:
+    """``df`` written once; the table outlives the innermost scope (and belongs to the one around it)."""
+    made = materialize(df, name)
+    if _SCOPES:
+        path = _SCOPES[-1].pop()
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+    return made
