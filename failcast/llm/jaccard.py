@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 
 from failcast.llm.components import components
 from failcast.llm.words import blocks, find_words, mix, return_memory, windows
-from failcast.scratch import materialize
+from failcast.scratch import finished, materialize, scope
 
 #: Most words by which a prefix is lengthened, plus 1.
 MOST_MATCHES = 4
 #: Cost of a verification against that of reading a posting.
 VERIFY_COST = 20.0
-#: Shingles in at least 1 of so many documents of a slice of the input are counted as common; the
-#: number of those is at most this times the shingles of an average document.
-COMMON_SHARE = 500
+#: Shingles in at least 1 of so many documents of a slice of the input are counted as common, and the most
+#: frequent ones of them are told to all tasks. Which ones only decides the order of shingles: any order
+#: gives the same links.
+COMMON_SHARE, MOST_COMMON = 500, 200_000
 #: Shingles of a slice, bits of a bitmap, and text bytes whose prefixes go to a bucket.
 SLICE_SHINGLES, BITS, BUCKET_BYTES = 1_000_000, 1024, 3_000_000
 #: Sets larger than this have a second bitmap of so many bits.
@@ -196,7 +197,7 @@ def _with_sets(rows: DataFrame, k: int) -> DataFrame:
 
 def _postings(docs: DataFrame, classes: DataFrame, common: DataFrame, k: int, percent: int) -> DataFrame:
     """token, doc, n, matches, hub: prefix shingles that two classes or more share."""
-    often = common.collect()  # at most COMMON_SHARE times the shingles of an average document
+    often = common.orderBy(F.desc("times"), "h1").limit(MOST_COMMON).collect()
     values, times = np.array([r.h1 for r in often], np.int64).view(np.uint64), np.array([r.times for r in often], float)
     order = np.argsort(values)
     weight = np.minimum(255, 1 + 8 * np.log2(np.maximum(times[order], 1))).astype(np.uint64)
@@ -259,7 +260,7 @@ def _blocks_meet(percent: int):
     """Runs of rows of one shingle and one pair of blocks, in order: the pairs that may be linked."""
     count = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
-    def run_pairs(doc, n, label, matches, second, bits):
+    def run_pairs(doc, n, label, matches, second, bits, wide, has_wide):
         out = []
         for i in range(len(doc)):
             m = np.abs(n[i + 1:] - n[i]) * 100 <= (100 - percent) * np.maximum(n[i + 1:], n[i])
@@ -271,6 +272,10 @@ def _blocks_meet(percent: int):
                 differ = count[bits[at] ^ bits[i]].sum(axis=1, dtype=np.int64)
                 twice = n[at] + n[i] - differ  # twice the largest possible intersection
                 at = at[100 * twice >= percent * (2 * (n[at] + n[i]) - twice)]
+                if has_wide[i]:  # long sets fill the small bitmaps
+                    differ = np.where(has_wide[at], count[wide[at] ^ wide[i]].sum(axis=1, dtype=np.int64), 0)
+                    twice = n[at] + n[i] - differ
+                    at = at[100 * twice >= percent * (2 * (n[at] + n[i]) - twice)]
                 out.append((np.minimum(doc[at], doc[i]), np.maximum(doc[at], doc[i]), np.minimum(matches[at], matches[i])))
         return out
 
@@ -285,7 +290,17 @@ def _blocks_meet(percent: int):
         runs = len(edge) - 1 if last else len(edge) - 2
         doc, n, label, matches, second = (rows.column(c).to_numpy() for c in ("doc", "n", "label", "matches", "second"))
         bits = rows.column("bits").combine_chunks().flatten().to_numpy().reshape(size, -1).view(np.uint16)
-        out = [x for a, b in zip(edge[:max(0, runs)], edge[1: runs + 1]) for x in run_pairs(doc[a:b], n[a:b], label[a:b], matches[a:b], second[a:b], bits[a:b])]
+        given = rows.column("wide").combine_chunks()
+        has_wide = given.is_valid().to_numpy(zero_copy_only=False)
+        wide = given.flatten().to_numpy().reshape(-1, WIDE_BITS // 64).view(np.uint16)
+        place = np.cumsum(has_wide) - 1
+
+        def of_run(a, b):
+            here = np.zeros((b - a, WIDE_BITS // 16), np.uint16)
+            here[has_wide[a:b]] = wide[place[a:b][has_wide[a:b]]]
+            return run_pairs(doc[a:b], n[a:b], label[a:b], matches[a:b], second[a:b], bits[a:b], here, has_wide[a:b])
+
+        out = [x for a, b in zip(edge[:max(0, runs)], edge[1: runs + 1]) for x in of_run(a, b)]
         cols = [np.concatenate([np.zeros(0, np.int64), *[x[i] for x in out]]) for i in range(3)]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["a", "b", "asked"]), rows.slice(edge[max(0, runs)])
 
@@ -305,7 +320,7 @@ def _far(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share as many prefix shingles as the shorter lengthening
     asks for and that sizes and bitmaps allow. Shingles of few classes are joined with themselves; those of
     many are compared in blocks, and only pairs that may be linked come out."""
-    bits = classes.select(F.col("rep").alias("doc"), "bits")
+    bits = classes.select(F.col("rep").alias("doc"), "bits", "wide")
     x, y = rest.where(F.col("classes") < HEAVY).alias("x"), rest.where(F.col("classes") < HEAVY).alias("y")
     meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label")) & _alike(F.col("x.n"), F.col("y.n"), percent)
     light = x.join(y, meets).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.least("x.matches", "y.matches").alias("asked"))
@@ -337,11 +352,18 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component_id is the smallest doc_id reachable by links, itself included. Null, empty and
     blank texts have no shingles and link with nothing. Rows that share an id count as one document;
     rows without an id link with nothing and have a null component.
+    The result is written; all other tables that the join writes are deleted at its end.
     """
+    with scope(docs.sparkSession):
+        return finished(_linked(docs, k, percent), "linked")
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     made = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(k), "doc_id long, n long, h1 long, h2 long, bits array<long>, wide array<long>"), "signatures")
     rows = made.where("h2 IS NOT NULL").drop("bits", "wide")
     common = made.where("h2 IS NULL").groupBy("h1").agg(F.sum("n").alias("times"))
-    classes = materialize(made.where("n > 0 AND h2 IS NOT NULL AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
+    classes = materialize(made.where("n > 0 AND h2 IS NOT NULL AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(
+        F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "classes")
     # Spark's own Bloom filters keep rows that meet nothing out of the shuffles of selective joins
     docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
     several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
@@ -376,7 +398,11 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component kept, the one of the smallest id; rows without an id stay."""
+    """``docs`` with one document of each component kept, the one of the smallest id; rows without an id stay.
+
+    Rows that share an id are one document: if it stays, each of its different texts stays once, and of rows with
+    equal id and text one stays."""
     kept = link_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = "__text_sha"
+    named = docs.join(kept, "doc_id", "left_semi").withColumn(text, F.sha2("text", 256)).dropDuplicates(["doc_id", text])
+    return named.drop(text).unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])

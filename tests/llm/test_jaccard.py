@@ -80,7 +80,7 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_shingles int")
     kept = J.one_of_each(docs, 3, 90)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, 1, 3, 4, 5, 6, 9, 10, 13], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, 1, 3, 4, 5, 6, 9, 10, 10, 13], key=str)  # both texts of 10 stay, its copies go
 
 
 def test_documents(spark):
@@ -97,3 +97,35 @@ def test_long_texts_under_one_id(spark):
     rows = [(1, x), (1, y), (2, [*x[:-1], "end"]), (2, z), (2, z), (3, u), (4, [*u[:-1], "end"]), (4, ["short", "one", "here"]), (5, v), (6, text())]
     rows = [(i, " ".join(t)) for i, t in rows]
     assert got(spark, rows, 3, 90) == brute(rows, 3, 90)
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    rows = [(1, "one two three four five six", "x"), (1, "seven eight nine ten eleven twelve", "y"), (1, "seven eight nine ten eleven twelve", "y"),
+            (2, "one two three four five six", "z"), (3, None, "n"), (3, None, "n"), (3, "own words only here now", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(((r.doc_id, r.text) for r in J.one_of_each(docs).collect()), key=str) == sorted(
+        [(1, rows[0][1]), (1, rows[1][1]), (3, None), (3, "own words only here now")], key=str)
+
+
+def test_many_long_texts_with_a_shared_passage(spark):
+    """Sets that fill a small bitmap: only pairs that are alike come out of the comparison of blocks."""
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(200)]
+    rows = []
+    for i in range(90):
+        own = [f"w{rng.randrange(10 ** 6)}" for _ in range(1500)]
+        rows.append((2 * i, passage + own))
+        if i % 9 == 0:
+            rows.append((2 * i + 1, passage + own[:-2] + ["another", "end"]))
+    rows = [(i, " ".join(t)) for i, t in rows]
+    assert got(spark, rows, 3, 90) == brute(rows, 3, 90)
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+    from failcast.scratch import shared_dir
+    docs = spark.createDataFrame([(i, "a b c d e f g " * (i % 4)) for i in range(40)], "doc_id long, text string")
+    folder = shared_dir(spark, "materialized").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = J.link_components(docs, 3, 90)
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["linked"] and out.count() == 40
