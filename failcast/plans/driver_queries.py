@@ -393,6 +393,16 @@ def q_feature_cache(spark, sf):
     return _doubles_rounded(read_features(spark, path))
 
 
+@query("feature_cache_refresh")
+def q_feature_cache_refresh(spark, sf):
+    """The cache written from the days before the test range, then brought up to date with all days."""
+    from failcast.plans import cache
+    path, days = _scratch(spark, "features"), materialize(device_day(spark, sf))
+    cache.refresh(days.where(F.col("dt") < F.lit(S.TEST[0]).cast("date")), EVENTS_SPEC, path, unique_days=True)
+    cache.refresh(days, EVENTS_SPEC, path, unique_days=True)
+    return _doubles_rounded(spark.read.parquet(path))
+
+
 @query("alert_file")
 def q_alert_file(spark, sf):
     first = alr.first_alerts(alr.threshold_alerts(_with_thresh(spark, sf), "p", "thresh"))

@@ -491,3 +491,4 @@ ORACLE["category_codes"] = (
     "SELECT category, n_rows, CAST(CASE WHEN n_rows >= 600 AND rank <= 31 THEN rank - 1 ELSE least(31, (SELECT count(*) FROM (SELECT l_suppkey FROM lineitem "
     "GROUP BY l_suppkey HAVING count(*) >= 600))) END AS INTEGER) AS code FROM (SELECT CAST(l_suppkey AS VARCHAR) AS category, count(*) AS n_rows, "
     "row_number() OVER (ORDER BY count(*) DESC, CAST(l_suppkey AS VARCHAR)) AS rank FROM lineitem GROUP BY l_suppkey)")
+ORACLE["feature_cache_refresh"] = ORACLE["feature_cache"]

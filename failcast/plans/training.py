@@ -11,10 +11,10 @@ from failcast.operators import features as feat
 from failcast.operators import labels as lab
 from failcast.operators import metrics as met
 from failcast.operators import sampling as smp
+from failcast.plans import cache
 from failcast.plans import evaluation as ev
 from failcast.schema import FAULT_KEYS, HORIZON_DAYS, SAMPLE_PER_GROUP, SAMPLE_SEED, SMART_SPEC, FeatureSpec
 from failcast.scratch import materialize
-from failcast.sources.telemetry import read_features, write_features
 
 
 @dataclass
@@ -42,16 +42,12 @@ class TrainConfig:
 
 def feature_table(spark: SparkSession, telemetry: DataFrame, spec: FeatureSpec = SMART_SPEC,
                   cache_path: str | None = None, unique_days: bool = False) -> DataFrame:
-    """The recipe over telemetry, reusing a complete cache at ``cache_path`` when present
-    (written partitioned by month, so later day ranges prune whole months)."""
-    if cache_path:
-        cached = read_features(spark, cache_path)
-        if cached is not None:
-            return cached
-    table = feat.build_features(telemetry, spec, unique_days=unique_days)
+    """The recipe over telemetry. With ``cache_path`` the table is kept there, partitioned by month so that later day
+    ranges prune whole months, and brought up to date by ``cache.refresh``: another recipe builds it anew, changed days
+    rewrite the months that see them, and unchanged telemetry reads what is there."""
     if not cache_path:
-        return table
-    write_features(table, cache_path, spec.day_col)
+        return feat.build_features(telemetry, spec, unique_days=unique_days)
+    cache.refresh(telemetry, spec, cache_path, unique_days)
     return spark.read.parquet(cache_path)
 
 
