@@ -38,6 +38,8 @@ COMMON_SHARE, MOST_COMMON = 500, 200_000
 SLICE_SHINGLES, BITS, BUCKET_BYTES = 1_000_000, 1024, 3_000_000
 #: Sets larger than this have a second bitmap of so many bits.
 WIDE_FROM, WIDE_BITS = 300, 8192
+#: Where blocks meet, rows bring the second bitmap folded to this size.
+FOLDED_BITS = WIDE_BITS // 2
 #: A shingle of this many classes is compared block against block in Python, and the classes of a block.
 HEAVY, BLOCK = 24, 512
 
@@ -292,11 +294,11 @@ def _blocks_meet(percent: int):
         bits = rows.column("bits").combine_chunks().flatten().to_numpy().reshape(size, -1).view(np.uint16)
         given = rows.column("wide").combine_chunks()
         has_wide = given.is_valid().to_numpy(zero_copy_only=False)
-        wide = given.flatten().to_numpy().reshape(-1, WIDE_BITS // 64).view(np.uint16)
+        wide = given.flatten().to_numpy().reshape(-1, FOLDED_BITS // 64).view(np.uint16)
         place = np.cumsum(has_wide) - 1
 
         def of_run(a, b):
-            here = np.zeros((b - a, WIDE_BITS // 16), np.uint16)
+            here = np.zeros((b - a, FOLDED_BITS // 16), np.uint16)
             here[has_wide[a:b]] = wide[place[a:b][has_wide[a:b]]]
             return run_pairs(doc[a:b], n[a:b], label[a:b], matches[a:b], second[a:b], bits[a:b], here, has_wide[a:b])
 
@@ -362,8 +364,10 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     made = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(k), "doc_id long, n long, h1 long, h2 long, bits array<long>, wide array<long>"), "signatures")
     rows = made.where("h2 IS NOT NULL").drop("bits", "wide")
     common = made.where("h2 IS NULL").groupBy("h1").agg(F.sum("n").alias("times"))
+    half = FOLDED_BITS // 64  # longs; a shingle's bit is its remainder, so the halves fold into one another
+    folded = F.zip_with(F.slice("wide", 1, half), F.slice("wide", half + 1, half), lambda x, y: x.bitwiseOR(y))
     classes = materialize(made.where("n > 0 AND h2 IS NOT NULL AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(
-        F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "classes")
+        F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first(folded).alias("wide")), "classes")
     # Spark's own Bloom filters keep rows that meet nothing out of the shuffles of selective joins
     docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
     several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
