@@ -8,6 +8,7 @@ text alone in a block of its own.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,20 +40,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _M)
-_MULT = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
-_POWERS = np.ones(1, dtype=np.uint64)
-_INVERSE = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSE
-    if len(_POWERS) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _MULT, np.uint64), np.full(size, pow(_MULT, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS, _INVERSE = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS, _INVERSE
+_MULT = np.uint64(0xD1342543DE82EF95)
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
 
 
 #: The separators ``[\x20\x09-\x0D]``: everything else is part of a word.
@@ -80,12 +70,35 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes."""
-        up, down = _powers(len(self.data) + 1)
-        summed = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODE[self.data] * up[: len(self.data)], out=summed[1:])
-        h = (summed[self.end] - summed[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _M)
+        """64-bit hash of each word's bytes, which pass a finaliser eight at a time.
+
+        Words of up to eight bytes differ in their hashes wherever they differ at the same length; of longer ones, two
+        differently mixed states must both meet. Words of over ``LONG_WORD`` bytes take BLAKE2b."""
+        size = self.end - self.start
+        body = np.zeros(len(self.data) + 8, dtype=np.uint8)
+        body[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", body, strides=(1,))  # the eight bytes from each place on
+
+        def bytes_at(who: np.ndarray | slice, done: int) -> np.ndarray:
+            spare = (np.maximum(8 - (size[who] - done), 0) * 8).astype(np.uint64)
+            return (eight[self.start[who] + done] << spare) >> spare
+
+        out = size.astype(np.uint64) * _M
+        one = bytes_at(slice(None), 0)
+        out = mix(out ^ one)
+        who, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        many, a, b = who, out[who], one[who] * _MULT
+        place = np.arange(len(who))
+        while len(place):
+            now = bytes_at(many[place], done)
+            a[place] = mix(a[place] ^ now)
+            b[place] = (b[place] ^ (b[place] >> np.uint64(29))) * _MULT + now
+            done += 8
+            place = place[size[many[place]] > done]
+        out[many] = mix(a + mix(b))
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i]: self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def texts(self) -> list[bytes]:
         raw = self.data.tobytes()
@@ -153,7 +166,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        total = total * np.uint64(_MULT) + hashes[j: j + n]
+        total = (total ^ (total >> np.uint64(29))) * _MULT + hashes[j: j + n]
     whole = np.ones(n, dtype=bool)
     for edge in np.unique(first[1:-1]):  # runs over a row's edge
         whole[max(0, edge - k + 1): edge] = False

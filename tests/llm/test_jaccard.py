@@ -129,3 +129,16 @@ def test_scratch_tables_are_deleted(spark):
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     out = J.link_components(docs, 3, 90)
     assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["linked"] and out.count() == 40
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_long_patterned_words(spark, size):
+    """Two words that a polynomial hash modulo a power of two cannot tell apart are different words."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{word} {tail}"), (2, f"{other} {tail}"), (3, f"{word} {tail}")]
+    found = got(spark, rows, 3, 90)
+    assert found == brute(rows, 3, 90) and [r[2] for r in found] == [1, 2, 1]  # 10 of 12 shingles are shared

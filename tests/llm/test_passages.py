@@ -98,3 +98,16 @@ def test_passages_are_told(spark):
 def test_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert sorted((tuple(r) for r in P.removed(docs, 13).collect()), key=str) == brute([(r.doc_id, r.text) for r in docs.collect()], 13)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_long_patterned_words(spark, size):
+    """The words of a sequence that defeats polynomial hashes modulo a power of two, and its complement."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{word} {tail}"), (2, f"{other} {tail}"), (3, f"{word} {tail}")]
+    got = run(spark, rows, 13)
+    assert got == brute(rows, 13) and [r[2] for r in got] == [0, 0, 13]
