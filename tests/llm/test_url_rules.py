@@ -1,6 +1,8 @@
 import random
 import re
 
+import duckdb
+
 from failcast.llm import url_rules as U
 from tests.conftest import SF01
 
@@ -45,6 +47,29 @@ def test_hard_urls(spark):
     assert U.filter_urls(pages.limit(0)).collect() == []
 
 
+#: Verdicts and patterns written by hand.
+BARE = {"http://spam-farm.org/": "block ^spam-", "http://www.spam-farm.org/": "block ^spam-", "http://casino.com": "block ^casino^",
+        "http://x.casino.com/a": "block ^casino^", "http://adult.example.org/x": "block ^adult^", "http://xxx.com": "block ^xxx^",
+        "http://cheap-blue-pills.com/": "block ^cheap-*pills^", "http://free-money.biz/win": "block ^free-money^", "http://pills": "block ^pills^",
+        "http://a.com/spam": "block ^spam^", "http://no-spam.com/": "block -spam^", "http://spam-policy.com/": "allow ^spam-policy^",
+        "http://casinos.com/": "allow None", "http://mycasino.com/": "allow None", "http://nospam-x.org/": "allow None",
+        "http://a.com/wp-admin/z": "block /wp-admin/", "http://a.com/wp-admin": "allow None", "http://spam.net/": "block ^spam^"}
+
+
+def test_bare_hosts(spark, tmp_path):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(BARE)], "page_id long, url string")
+    got = {r.url: f"{r.verdict} {r.pattern}" for r in U.filter_urls(pages).collect()}
+    assert got == BARE
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(list(BARE) + [u for u in HARD if u])))
+    cur = con.execute(U.page_verdicts_sql())
+    names = [c[0] for c in cur.description]
+    sql = {r["page_id"]: r for r in (dict(zip(names, x)) for x in cur.fetchall())}
+    for i, u in enumerate(list(BARE) + [u for u in HARD if u]):
+        assert tuple(sql[i][c] for c in ("host", "path", "rule", "verdict", "pattern")) == brute(u), u
+
+
 def test_random_urls_and_rules(spark):
     rng = random.Random(1)
     bits = ["net", "org", "com", "a", "ads", "x1", "track", "en", "fr"]
