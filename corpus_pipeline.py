@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failcast.llm import bpe, jaccard, line_templates, mixing, quality
-from failcast.scratch import materialize
+from failcast.scratch import discard, materialize
 
 #: Texts can be long, so Arrow batches are kept to few rows.
 ARROW_ROWS = "1000"
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline")
+        if before is not None:
+            discard(before)  # nothing reads it any more
+        before = docs
     return docs
