@@ -2,14 +2,16 @@
 
 Recurring windows of words are confirmed first: every slice of the input sends each of its
 distinct windows once, as a 64-bit hash with the smallest document that holds it, to the
-hash's bucket, where the smallest document of all is found. What a document must lose, its
-maximal runs of such windows, are its recurring passages. Documents are then dealt into
-shards; each shard compiles its documents' passages into an Aho-Corasick automaton
-(pyahocorasick) and streams its documents through it, and every occurrence of a document's
-passages is cut out of it.
-
-A window that many documents hold is settled inside each slice: later documents of the
-slice lose it whatever other slices hold, so only one row a slice goes to the bucket.
+hash's bucket, where the smallest document of all, the window's owner, is found. Documents
+are dealt into shards, and a shard is told which windows of its documents recur, with their
+owners. There, maximal runs of windows owned by smaller documents are passages; they are
+compiled into an Aho-Corasick automaton (pyahocorasick), each with the largest owner of its
+windows, and every document of the shard is streamed through it. A document loses what the
+automaton finds in it of passages whose owner is smaller than itself, whichever document
+brought the passage along; nothing else removes a word.
+
+A window that many documents hold is settled inside each slice: the slice's first holder
+stands as its owner for later documents of the slice, so only one row a slice goes to the bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from failcast.llm.words import blocks, find_words, windows
 #: Windows of a slice, and text bytes that a bucket or a shard should take.
 SLICE_WINDOWS, BUCKET_BYTES, SHARD_BYTES = 1_500_000, 12_000_000, 3_000_000
 
-SENT = "bucket int, ids binary, counts binary, keys binary, settled binary"
+SENT = "bucket int, ids binary, counts binary, keys binary, shards binary"
 
 
 def _by_document(doc: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -38,9 +40,18 @@ def _documents(ids: bytes, counts: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4"))
 
 
-def _send(words: int, buckets: int):
-    """Per slice and bucket: the slice's distinct windows under their smallest document, and
-    (settled) the windows that other documents of the slice hold as well."""
+def _once(shard: np.ndarray, key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (shard, key) once, with its smallest owner, in order."""
+    order = np.lexsort((owner, key, shard))
+    shard, key, owner = shard[order], key[order], owner[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])
+    return shard[new], key[new], owner[new]
+
+
+def _send(words: int, buckets: int, shards: int):
+    """Per slice and bucket: the slice's distinct windows under their smallest document; and, with the shards that
+    they are for, the windows that later documents of the slice hold as well."""
     def rows_of(parts):
         key, doc = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((doc, key))
@@ -50,19 +61,19 @@ def _send(words: int, buckets: int):
         key, doc = key[new], doc[new]
         first = np.ones(len(key), dtype=bool)
         first[1:] = key[1:] != key[:-1]
-        bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-        out = {c: [] for c in ("bucket", "ids", "counts", "keys", "settled")}
-        for settled in (False, True):
-            mine = first != settled
-            k, d = key[mine], doc[mine]
-            # what is settled may pass through any bucket, so a window of many documents fills none
-            b = shard_of(d, buckets) if settled else bucket[mine]
-            order = np.argsort(b, kind="stable")
+        holder = doc[first][np.cumsum(first) - 1]
+        shard, again, owner = _once(shard_of(doc[~first], shards), key[~first], holder[~first])
+        out = {c: [] for c in ("bucket", "ids", "counts", "keys", "shards")}
+        # what is settled goes by its shard, so a window of many documents fills no bucket
+        for k, d, b, to in ((key[first], doc[first], (key[first] >> np.uint64(32)) % np.uint64(buckets), None),
+                            (again, owner, shard % buckets, shard)):
+            order = np.lexsort((d, b))
             edge = np.searchsorted(b[order], np.arange(buckets + 1))
             for i, (x, y) in enumerate(zip(edge, edge[1:])):
                 if y > x:
-                    ids, counts, keys = _by_document(d[order[x:y]], k[order[x:y]])
-                    for c, v in zip(out, (i, ids, counts, keys, b"1" if settled else b"")):
+                    some = order[x:y]
+                    ids, counts, keys = _by_document(d[some], k[some])
+                    for c, v in zip(out, (i, ids, counts, keys, b"" if to is None else to[some].astype("<u4").tobytes())):
                         out[c].append(v)
         return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in list(out)[1:]]], list(out))
 
@@ -83,26 +94,23 @@ def _send(words: int, buckets: int):
 
 
 def _settle(shards: int):
-    """One bucket: the windows that each document must lose, dealt by the document's shard."""
+    """One bucket: for each shard, the windows that recur in its documents, by owner."""
     def run(table: pa.Table) -> pa.Table:
-        key, doc, lose_key, lose_doc = [], [], [], []
-        for ids, counts, keys, settled in zip(*[table.column(c).to_pylist() for c in ("ids", "counts", "keys", "settled")]):
-            to_key, to_doc = (lose_key, lose_doc) if settled else (key, doc)
-            to_key.append(np.frombuffer(keys, "<u8")), to_doc.append(_documents(ids, counts))
-        if key:
-            k, d = np.concatenate(key), np.concatenate(doc)
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            first = np.ones(len(k), dtype=bool)
-            first[1:] = k[1:] != k[:-1]
-            owner = d[first][np.cumsum(first) - 1]  # the smallest document that holds the window
-            lose_key.append(k[d > owner]), lose_doc.append(d[d > owner])
-        k, d = np.concatenate(lose_key), np.concatenate(lose_doc)
-        shard = shard_of(d, shards)
-        order = np.argsort(shard, kind="stable")
-        shard, k, d = shard[order], k[order], d[order]
+        key, doc, for_shard, for_key, for_owner = [np.zeros(0, "<u8")], [np.zeros(0, "<i8")], [], [], []
+        for ids, counts, keys, to in zip(*[table.column(c).to_pylist() for c in ("ids", "counts", "keys", "shards")]):
+            if to:
+                for_shard.append(np.frombuffer(to, "<u4").astype(np.int64))
+            (for_key if to else key).append(np.frombuffer(keys, "<u8")), (for_owner if to else doc).append(_documents(ids, counts))
+        k, d = np.concatenate(key), np.concatenate(doc)
+        order = np.lexsort((d, k))
+        k, d = k[order], d[order]
+        first = np.ones(len(k), dtype=bool)
+        first[1:] = k[1:] != k[:-1]
+        owner = d[first][np.cumsum(first) - 1]  # the smallest document that holds the window
+        lost = d > owner
+        shard, k, owner = _once(*(np.concatenate(x) for x in ([shard_of(d[lost], shards), *for_shard], [k[lost], *for_key], [owner[lost], *for_owner])))
         edge = np.searchsorted(shard, np.arange(shards + 1))
-        rows = [(i, *_by_document(d[x:y], k[x:y])) for i, (x, y) in enumerate(zip(edge, edge[1:])) if y > x]
+        rows = [(i, *_by_document(owner[x:y], k[x:y])) for i, (x, y) in enumerate(zip(edge, edge[1:])) if y > x]
         cols = list(zip(*rows)) if rows else [[], [], [], []]
         return pa.table([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "ids", "counts", "keys"])
     return run
@@ -113,65 +121,88 @@ def shard_of(doc: np.ndarray, shards: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
+def _owners(recurring: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's recurring windows in order, each with its smallest owner."""
+    parts = [(np.frombuffer(k, "<u8"), _documents(i, c)) for i, c, k in zip(*[recurring.column(c).to_pylist() for c in ("ids", "counts", "keys")])]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, owner = (np.concatenate(x) for x in zip(*parts))
+    return _once(np.zeros(len(key), np.int64), key, owner)[1:]
+
+
+def _passages(doc: np.ndarray, row: np.ndarray, grams: np.ndarray, at: np.ndarray, key: np.ndarray, owner: np.ndarray):
+    """(row, first window, last window, owner) of each maximal run of windows that smaller documents own; the owner is
+    the largest of its windows'. ``doc``: each row's id."""
+    if not len(key) or not len(grams):
+        return
+    place = np.minimum(np.searchsorted(key, grams), len(key) - 1)
+    mine = np.flatnonzero((key[place] == grams) & (owner[place] < doc[row[at]]))
+    if not len(mine):
+        return
+    new = np.ones(len(mine), dtype=bool)
+    new[1:] = (np.diff(at[mine]) > 1) | (np.diff(row[at[mine]]) > 0)
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(mine)) - 1
+    yield from zip(row[at[mine[begin]]].tolist(), at[mine[begin]].tolist(), at[mine[last]].tolist(),
+                   np.maximum.reduceat(owner[place[mine]], begin).tolist())
+
+
 def _cut(words: int):
-    """One shard: its documents' passages as an automaton, all its documents streamed through it."""
-    def run(docs: pa.Table, lost: pa.Table) -> pa.Table:
+    """One shard: the passages of its documents as an automaton, all its documents streamed through it."""
+    def run(docs: pa.Table, recurring: pa.Table) -> pa.Table:
         import ahocorasick
 
-        out = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept", "passages")}
-        parts = [(_documents(i, c), np.frombuffer(k, "<u8")) for i, c, k in zip(*[lost.column(c).to_pylist() for c in ("ids", "counts", "keys")])]
-        doc, key = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        automaton, size, texts, own = ahocorasick.Automaton(ahocorasick.STORE_INTS), [], [], []
+        key, owner = _owners(recurring)
+        automaton, size, owned_by, texts = ahocorasick.Automaton(ahocorasick.STORE_INTS), [], [], []
         for rows, data, offsets in (x for b in docs.to_batches() for x in blocks(b)):
             w = find_words(data, offsets)
             grams, at = windows(w.hashes(), w.first, words)
-            edge = np.searchsorted(at, w.first).tolist()
-            spelled = w.texts()
-            for i, name in enumerate(rows.column("doc_id").to_pylist()):
-                a, b = w.first[i], w.first[i + 1]
-                mine, numbers = spelled[a:b], []
-                x, y = (0, 0) if name is None else np.searchsorted(doc, [name, name + 1]).tolist()
-                if y > x:
-                    lose = key[x:y]
-                    here = grams[edge[i]: edge[i + 1]]
-                    place = np.minimum(np.searchsorted(lose, here), len(lose) - 1)
-                    begins = np.flatnonzero(lose[place] == here)
-                    breaks = np.flatnonzero(np.diff(begins) > 1)
-                    # a passage is a maximal run of consecutive windows
-                    for s, e in zip(np.append(begins[:1], begins[breaks + 1]).tolist(), np.append(begins[breaks], begins[-1:]).tolist()):
-                        passage = b" %s " % b" ".join(mine[s: e + words])
-                        passage = passage.decode()
-                        known = automaton.get(passage, -1)
-                        if known < 0:
-                            known = len(automaton)
-                            automaton.add_word(passage, known)
-                            size.append(e + words - s)
-                        numbers.append(known)
-                texts.append((name, mine)), own.append(set(numbers))
-        if len(automaton):
+            spelled, names, first = w.texts(), rows.column("doc_id"), w.first.tolist()
+            # a row without an id loses nothing
+            ids = names.fill_null(NOBODY).to_numpy(zero_copy_only=False)
+            for _, begin, end, by in _passages(ids, w.row, grams, at, key, owner):
+                passage = (b" %s " % b" ".join(spelled[begin: end + words])).decode()
+                if automaton.get(passage, -1) < 0:
+                    automaton.add_word(passage, len(size))
+                    size.append(end + words - begin), owned_by.append(by)
+            texts += [(name, spelled[a:b]) for name, a, b in zip(names.to_pylist(), first, first[1:])]
+        if size:
             automaton.make_automaton()
-        for (name, mine), numbers in zip(texts, own):
-            gone, found = np.zeros(len(mine), dtype=bool), []
-            if numbers:
-                line = (b" %s " % b" ".join(mine)).decode()
-                at = np.cumsum(np.array([0] + [len(x) + 1 for x in line[1:-1].split(" ")]))  # place of the space before each word
-                for last, number in automaton.iter(line):
-                    if number in numbers:
-                        e = int(np.searchsorted(at, last))
-                        gone[e - size[number]: e] = True
-                        found.append((e - size[number], e))
-            out["doc_id"].append(name), out["n_words"].append(len(mine)), out["n_removed"].append(int(gone.sum()))
-            out["kept"].append(b" ".join([x for x, g in zip(mine, gone.tolist()) if not g] if numbers else mine).decode())
-            found.sort(key=lambda x: (x[0], -x[1]))
-            reach = np.maximum.accumulate([e for _, e in found]).tolist() if found else []
-            out["passages"].append([{"start": s, "stop": e} for i, (s, e) in enumerate(found) if not i or e > reach[i - 1]])  # none inside another
+        sizes, owners = np.array(size, np.int64), np.array(owned_by, np.int64)
+        out = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept", "passages")}
+        for name, mine in texts:
+            line = (b" %s " % b" ".join(mine)).decode()
+            start, stop = _located(automaton, line, name, sizes, owners) if size and name is not None else (NONE, NONE)
+            inside = np.cumsum(np.bincount(start, minlength=len(mine) + 1) - np.bincount(stop, minlength=len(mine) + 1))[:-1] > 0
+            out["doc_id"].append(name), out["n_words"].append(len(mine)), out["n_removed"].append(int(inside.sum()))
+            out["kept"].append(b" ".join([x for x, gone in zip(mine, inside.tolist()) if not gone]).decode() if len(start) else line[1:-1])
+            out["passages"].append([{"start": s, "stop": e} for s, e in zip(start.tolist(), stop.tolist())])
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
         return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
     return run
 
 
+#: No document owns a window below this id; an empty list of places.
+NOBODY, NONE = -(1 << 63), np.zeros(0, np.int64)
+
+
+def _located(automaton, line: str, doc: int, size: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops, in words, of the passages of smaller documents found in ``line`` (its words between single
+    spaces, one at each end), none inside another."""
+    found = np.array(list(automaton.iter(line)), np.int64).reshape(-1, 2)
+    found = found[owner[found[:, 1]] < doc]
+    if not len(found):
+        return NONE, NONE
+    gaps = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 0x20)  # the space before each word, and the last
+    stop = np.searchsorted(gaps, found[:, 0])
+    start = stop - size[found[:, 1]]
+    order = np.lexsort((-stop, start))
+    start, stop = start[order], stop[order]
+    outer = np.ones(len(start), dtype=bool)
+    outer[1:] = stop[1:] > np.maximum.accumulate(stop)[:-1]
+    return start[outer], stop[outer]
+
+
 def without_repeats(docs: DataFrame, words: int = 13) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept (the words that stay, one space between) and
     passages (start and stop of each located passage, words from 0).
@@ -184,15 +215,15 @@ def without_repeats(docs: DataFrame, words: int = 13) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = int(total // BUCKET_BYTES) + 1, int(total // SHARD_BYTES) + 1
-    sent = docs.where("doc_id IS NOT NULL").mapInArrow(_send(words, buckets), SENT)
-    lost = sent.groupBy("bucket").applyInArrow(_settle(shards), "shard int, ids binary, counts binary, keys binary")
+    sent = docs.where("doc_id IS NOT NULL").mapInArrow(_send(words, buckets, shards), SENT)
+    recurring = sent.groupBy("bucket").applyInArrow(_settle(shards), "shard int, ids binary, counts binary, keys binary")
 
     @F.arrow_udf("int")
     def shard(ids: pa.Array) -> pa.Array:
         return pa.array(shard_of(ids.fill_null(0).to_numpy(zero_copy_only=False), shards), pa.int32())
 
     dealt = docs.withColumn("shard", F.when(F.col("doc_id").isNotNull(), shard("doc_id")).otherwise(F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")))
-    return dealt.groupBy("shard").cogroup(lost.groupBy("shard")).applyInArrow(
+    return dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(
         _cut(words), "doc_id long, n_words long, n_removed long, kept string, passages array<struct<start:long,stop:long>>")
 
 

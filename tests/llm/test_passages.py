@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from failcast.llm import passages as P
+from failcast.llm.words import text_bytes
 from tests.conftest import SF001, SF01
 
 
@@ -65,19 +66,27 @@ def test_slices_settle_alike():
     texts = [" ".join(rng.choice(list("abcd"), 12)) for _ in range(60)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
 
+    held = [{tuple(t.split()[a:a + 3]) for a in range(10)} for t in texts]
+    hashed = {}
+    for rows, data, offsets in P.blocks(batch):
+        w = P.find_words(data, offsets)
+        for k, i in zip(*P.windows(w.hashes(), w.first, 3)):
+            hashed[tuple(x.decode() for x in w.texts()[i:i + 3])] = int(k)
+
     def lost(step):
         P_slice, P.SLICE_WINDOWS = P.SLICE_WINDOWS, 0 if step < 60 else 10 ** 9
         try:
-            sent = [b for a in range(0, 60, step) for b in P._send(3, 2)(iter([batch.slice(a, step)]))]
+            sent = [b for a in range(0, 60, step) for b in P._send(3, 2, 2)(iter([batch.slice(a, step)]))]
         finally:
             P.SLICE_WINDOWS = P_slice
         table = pa.Table.from_batches(sent)
+        told = pa.concat_tables([P._settle(2)(table.filter(pa.compute.equal(table["bucket"], b))) for b in (0, 1)])
         out = set()
-        for b in (0, 1):
-            got = P._settle(2)(table.filter(pa.compute.equal(table["bucket"], b)))
-            for i, c, k in zip(*[got.column(x).to_pylist() for x in ("ids", "counts", "keys")]):
-                out |= set(zip(P._documents(i, c).tolist(), np.frombuffer(k, "<u8").tolist()))
+        for s in (0, 1):
+            owner = dict(zip(*(x.tolist() for x in P._owners(told.filter(pa.compute.equal(told["shard"], s))))))
+            out |= {(i, g) for i in range(60) if P.shard_of(np.array([i]), 2)[0] == s for g in held[i] if owner.get(hashed[g], 60) < i}
         return out
+    assert lost(1) == {(i, g) for i in range(60) for g in held[i] if any(g in x for x in held[:i])}
     assert lost(7) == lost(60) == lost(1)
 
 
@@ -111,3 +120,31 @@ def test_long_patterned_words(spark, size):
     rows = [(1, f"{word} {tail}"), (2, f"{other} {tail}"), (3, f"{word} {tail}")]
     got = run(spark, rows, 13)
     assert got == brute(rows, 13) and [r[2] for r in got] == [0, 0, 13]
+
+
+def test_only_the_automaton_removes(spark, monkeypatch):
+    """Without hits of the automaton nothing goes; a passage told by one document goes from the others of its shard."""
+    import ahocorasick
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = pa.table({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": [text, text + " x", "y " + text]})
+    w = P.find_words(*text_bytes(docs["text"].combine_chunks()))
+    grams, at = P.windows(w.hashes(), w.first, 13)
+    ids, counts, keys = P._by_document(np.full(8, 1), grams[:8])
+    told = pa.table({"ids": [ids], "counts": [counts], "keys": [keys]})
+    assert P._cut(13)(docs, told)["n_removed"].to_pylist() == [0, 20, 20]
+    seen, real = [], ahocorasick.Automaton
+
+    class Deaf:
+        def __init__(self, *args):
+            self.real = real(*args)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def iter(self, line):
+            seen.append(line)
+            return iter(())
+    monkeypatch.setattr(ahocorasick, "Automaton", Deaf)
+    assert P._cut(13)(docs, told)["n_removed"].to_pylist() == [0, 0, 0] and len(seen) == 3
