@@ -75,3 +75,24 @@ def test_batches_are_small_only_meanwhile(spark, monkeypatch):
         assert spark.conf.get(key) == "3m"
     finally:
         spark.conf.unset(key)
+
+
+def test_a_shard_goes_on_in_pieces(spark, monkeypatch):
+    """Rows of the matrix are bounded in cells; pieces hold every document once, in its shard's order."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)
+    whole, _, _ = shard_of(TEXTS)
+    for cells in (1, 90, 1 << 17):
+        monkeypatch.setattr(filter_audit, "CELLS", cells)
+        _, dictionary, tables = made = filter_audit.term_matrix(docs)
+        shards = tables[0].drop("packs").toArrow().combine_chunks()
+        numbered = {r["part"]: r for r in tables[1].where("shard IS NOT NULL").collect()}
+        terms = pa.array([[{"part": k, "n": numbered[k]["n"], "numbers": bytes(numbered[k]["numbers"])} for k in sorted(numbered)]])
+        before, seen = {}, 0
+        for k in sorted(numbered):
+            before[k], seen = seen, seen + numbered[k]["n"]
+        pieces = list(filter_audit._global(before)(iter(shards.append_column("terms", terms).to_batches())))
+        got = [(row["doc_id"], b - a) for p in pieces for row, a, b in zip(p["rows"].flatten().to_pylist(), p["row_starts"].to_pylist()[0], p["row_starts"].to_pylist()[0][1:])]
+        assert got == [(i, len(set((t or "").split(" ") if i == 4 else (t or "").split()) - {""})) for i, t in enumerate(TEXTS)]
+        assert all(len(p["columns"][0].as_py()) // 8 <= max(cells, 100) for p in pieces) and (len(pieces) > 1) == (cells < 1000)
+        assert sum(r.n_words for r in filter_audit.row_counts(made[0]).collect()) == sum(len((t or "").replace("\u3000", "_").split()) for t in TEXTS)
+        filter_audit.discard(*tables)
