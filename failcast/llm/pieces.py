@@ -344,10 +344,14 @@ class Pieces:
         lengths[first] -= 1
         raw = self.spelled[_gather(lengths, begins)].tobytes()
         ends = np.append(0, np.cumsum(lengths))[edges].tolist()
+        # an id without text ends a run of byte pieces: what stands on both sides makes no character
+        cut = np.flatnonzero((lengths[1:] == 0) & self.is_byte[ids[:-1]]) + 1
+        row = np.searchsorted(edges, cut, "right") - 1
+        parted = set(row[(cut > edges[row]) & (cut + 1 < edges[row + 1])].tolist())
         out = []
         for k, (a, b) in enumerate(zip(ends, ends[1:])):
             try:
-                out.append(raw[a:b].decode())
+                out.append(raw[a:b].decode() if k not in parted else self._broken(ids[edges[k]: edges[k + 1]], begins[edges[k]: edges[k + 1]], lengths[edges[k]: edges[k + 1]]))
             except UnicodeDecodeError:
                 out.append(self._broken(ids[edges[k]: edges[k + 1]], begins[edges[k]: edges[k + 1]], lengths[edges[k]: edges[k + 1]]))
         return out

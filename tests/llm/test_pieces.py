@@ -60,6 +60,11 @@ def test_any_ids(ids):
     assert text_of([ids, ids]) == [lib.decode(ids)] * 2
 
 
+def test_a_control_id_parts_byte_pieces(library):
+    for ids in ([228, 1, 131, 131], [228, 1, 2, 131, 131, 2], [1, 228, 131, 131, 2], [228, 131, 1], [1, 131, 228]):
+        assert text_of([ids, [1, 228], ids]) == [library.decode(x) for x in (ids, [1, 228], ids)]
+
+
 def test_long_words(library):
     """Letters without spaces, where merges in a row make better pairs than the one at hand."""
     rng = np.random.default_rng(5)
