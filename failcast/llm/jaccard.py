@@ -245,7 +245,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, wide: DataF
     left, right = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     pairs = pairs.join(left, "a").join(right, "b").where(_possible(F.col("n_a"), F.col("n_b"), _differ("bits_a", "bits_b"), percent))
     some = F.col("a") >= -(1 << 63)  # Spark makes its Bloom filters of filtered tables
-    near = materialize(pairs.select("a", "b"), "candidates").where(some)
+    near = materialize(pairs.select("a", "b"), "candidates")
+    if near.isEmpty():  # no jobs for what can find nothing: the driver keeps the plans of all of them
+        return near
+    near = near.where(some)
     left, right = (wide.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"), F.col("texts").alias(f"texts_{c}")) for c in "ab")
     apart = near.distinct().join(left, "a").join(right, "b").where(~_possible(F.col("n_a"), F.col("n_b"), _differ("wide_a", "wide_b"), percent))
     unlike = materialize(apart.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.col("texts_a") * F.col("texts_b")).alias("all")).where("met = all").select("a", "b"), "unlike")
@@ -389,9 +392,11 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rest = _mixed(postings, links)
     hubs = rest.groupBy("token").agg(F.min(F.struct("doc", "n", "label")).alias("h")).select("token", "h.doc", "h.n", "h.label").toDF("token", "a", "a_n", "a_label")
     stars = rest.join(hubs, "token").where((F.col("label") != F.col("a_label")) & _alike(F.col("n"), F.col("a_n"), percent))
-    links = materialize(links.unionByName(_verified(stars.select("a", F.col("doc").alias("b")).distinct(), docs, classes, wide, k, percent)), "links")
+    more = _verified(stars.select("a", F.col("doc").alias("b")).distinct(), docs, classes, wide, k, percent)
     # then all pairs of different components that share as many prefix shingles as they must
-    rest = _mixed(rest, links)
+    if not more.isEmpty():  # else the components are as they were, and so are their shingles
+        links = materialize(links.unionByName(more), "links")
+        rest = _mixed(rest, links)
     links = links.unionByName(_verified(_far(rest, classes, percent), docs, classes, wide, k, percent))
     found = rows.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left")
     if several:  # ids with several rows tie their texts' classes together

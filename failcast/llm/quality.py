@@ -47,7 +47,7 @@ RANGES = {
 }
 _WIDTH = [len(v) + 1 for v in RANGES.values()]
 _BASE = np.concatenate([[0], np.cumsum(_WIDTH)[:-1]])
-N_FEATURES = sum(_WIDTH)
+N_FEATURES = sum(_WIDTH)  # a byte holds each number
 
 
 @dataclass(frozen=True)
@@ -141,9 +141,9 @@ def _blocks(column: pa.Array):
 
 
 def line_features(text: Column, most: int = TRAIN_LINES) -> Column:
-    """Feature numbers of the first ``most`` lines that hold a word, flat, for training; none for a text
+    """Feature numbers of the first ``most`` lines that hold a word, flat, a byte each, for training; none for a text
     that the base rules reject anyway."""
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary")
     def features(column: pa.Array) -> pa.Array:
         out = []
         for n, data, offsets in _blocks(column):
@@ -151,8 +151,8 @@ def line_features(text: Column, most: int = TRAIN_LINES) -> Column:
             edge = np.searchsorted(lines.row, np.arange(n + 1))
             words, repeats = lines.base["n_words"], lines.base["n_repeat_words"]
             failed = (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATS * words)
-            out += [[] if bad else lines.features[a:min(b, a + most)].ravel().tolist() for a, b, bad in zip(edge, edge[1:], failed)]
-        return pa.array(out, pa.list_(pa.int32()))
+            out += [b"" if bad else lines.features[a:min(b, a + most)].astype(np.uint8).tobytes() for a, b, bad in zip(edge, edge[1:], failed)]
+        return pa.array(out, pa.binary())
 
     return features(text)
 
@@ -160,7 +160,8 @@ def line_features(text: Column, most: int = TRAIN_LINES) -> Column:
 def train(features: list[list[int]], labels: list[int], steps: int = 150, rate: float = 0.1, ridge: float = 1e-2) -> LineField:
     """Maximum-likelihood weights (Adam on the exact gradient by forward-backward over padded sequences).
 
-    Sequences without lines teach nothing; with no sequence or one class only, every line is content.
+    Sequences without lines teach nothing; with no sequence or one class only, every line is content. Feature numbers
+    take a byte each and scores are made a line at a time, for this runs in the driver's memory.
     """
     kept = [(np.array(f).reshape(-1, len(RANGES)), y) for f, y in zip(features, labels) if len(f)]
     if len({y for _, y in kept}) < 2:
@@ -168,7 +169,7 @@ def train(features: list[list[int]], labels: list[int], steps: int = 150, rate:
     kept.sort(key=lambda x: len(x[0]), reverse=True)
     size = np.array([len(f) for f, _ in kept])
     deep, n = size[0], len(kept)
-    x = np.zeros((deep, n, len(RANGES)), dtype=np.int64)
+    x = np.zeros((deep, n, len(RANGES)), dtype=np.uint8)
     for i, (f, _) in enumerate(kept):
         x[: len(f), i] = f
     y = np.array([t for _, t in kept])
@@ -176,10 +177,11 @@ def train(features: list[list[int]], labels: list[int], steps: int = 150, rate:
     share = 0.5 / np.bincount(y, minlength=2)[y]  # both classes weigh the same
     theta = [np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta]
+    score, ahead, behind = (np.zeros((deep, n, 2)) for _ in range(3))  # behind stays 0 at every sequence's end
     for step in range(1, steps + 1):
         emit, move, begin = theta
-        score = emit[x].sum(axis=2)  # (deep, n, 2)
-        ahead, behind = np.zeros((deep, n, 2)), np.zeros((deep, n, 2))
+        for t in range(deep):
+            score[t] = emit[x[t]].sum(axis=1)
         ahead[0] = score[0] + begin
         for t in range(1, deep):
             k = live[t]
@@ -223,7 +225,10 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) ->
     rows = (documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
             .select("doc_id", "quality", line_features(F.col("text")).alias("f")).collect())
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.f))
-    return train([r.f for r in rows], [r.quality for r in rows])
+    field = train([np.frombuffer(r.f, np.uint8) for r in rows], [r.quality for r in rows])
+    del rows
+    return_memory(small=True)
+    return field
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -52,6 +52,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    from failcast.llm import components as module
+    written, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append(name) or write(df, name))
+    stars = [(9, 1), (1, 8), (1, 9), (30, 20), (25, 20), (4, 4), (None, 3)]
+    found = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in found} == {(1, 1), (8, 1), (9, 1), (20, 20), (25, 20), (30, 20)} and len(found) == 6
+    assert written == ["links"]
+    for links in ([(1, 2), (2, 3)], [(1, 3), (2, 3)]):  # two stars' worth of links, none of them a star by the smallest node
+        written.clear()
+        found = components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert {(r.node, r.component) for r in found} == {(1, 1), (2, 1), (3, 1)} and len(written) == 5
+
+
+def test_rounds_that_find_nothing_write_nothing(spark, monkeypatch):
+    written, write = [], J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, name: written.append(name) or write(df, name))
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcd"]
+    assert got(spark, list(enumerate(texts)), 3, 80) == [(i, 28, i) for i in range(4)]
+    assert "unlike" not in written and written.count("labels") == 1 and written.count("mixed") == 1
+    written.clear()
+    near = texts + [texts[2] + " end", texts[2] + " end more"]
+    assert got(spark, list(enumerate(near)), 3, 80) == [(0, 28, 0), (1, 28, 1), (2, 28, 2), (3, 28, 3), (4, 29, 2), (5, 30, 2)]
+    assert written.count("unlike") == 1
+
+
 @pytest.mark.parametrize("seed,k,percent,heavy", [(1, 3, 90, 24), (2, 5, 80, 24), (3, 2, 60, 4), (4, 1, 70, 2)])
 def test_random_texts(spark, monkeypatch, seed, k, percent, heavy):
     monkeypatch.setattr(J, "HEAVY", heavy)

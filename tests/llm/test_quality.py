@@ -85,3 +85,30 @@ def test_edge_rows(spark, field):
     assert Q.judged(docs.limit(0), field).collect() == []
     one = Q.fit(docs, spark.createDataFrame([(2, 1), (None, 0), (7, None)], "doc_id long, quality int"))
     assert Q.judged(docs, one).count() == 5
+
+
+def test_training_takes_little_memory_and_gives_the_same_weights():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    lines = lambda n: np.stack([b + rng.integers(0, w, n) for b, w in zip(Q._BASE, Q._WIDTH)], axis=1)
+    texts, labels = [lines(100) for _ in range(400)], [i % 2 for i in range(400)]
+    packed = [x.astype(np.uint8).ravel() for x in texts]
+    assert all((p.reshape(x.shape) == x).all() for p, x in zip(packed, texts))
+    tracemalloc.start()
+    field = Q.train(packed, labels, steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * sum(p.nbytes for p in packed)  # 8 bytes and three pairs of scores a line; it was 33
+    plain = Q.train([x.ravel().tolist() for x in texts], labels, steps=2)
+    assert all((getattr(field, k) == getattr(plain, k)).all() for k in ("emit", "step", "begin"))
+
+
+def test_features_of_training_are_bytes(spark):
+    text = "one two three\nfour five .\n" * 3 + "word " * 60
+    df = spark.createDataFrame([(text,), (None,), ("short",)], "text string")
+    distinct = spark.createDataFrame([("\n".join(f"w{i} x{i} y{i}" for i in range(40)),)], "text string")
+    f = [bytes(r.f) for r in df.select(Q.line_features(df.text).alias("f")).collect()]
+    assert f[1:] == [b"", b""] and Q.N_FEATURES <= 256
+    got = distinct.select(Q.line_features(distinct.text, 7).alias("f")).collect()[0].f
+    want = Q.read_lines(*text_bytes(pa.array([distinct.collect()[0].text]))).features[:7]
+    assert np.frombuffer(got, np.uint8).tolist() == want.ravel().tolist()
